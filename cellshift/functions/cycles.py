@@ -29,7 +29,9 @@ def micros(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(c)
     if isinstance(dtype, T.TimestampNTZType):
-        # From the fields, so that the session time zone plays no part.
+        if df.sparkSession.conf.get("spark.sql.session.timeZone") == "UTC":
+            return F.unix_micros(c.cast("timestamp"))
+        # A cast would shift by the session time zone: build it from the fields.
         seconds = F.unix_date(c.cast("date")) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60
         fraction = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
         return seconds.cast("bigint") * 1_000_000 + fraction

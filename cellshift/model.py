@@ -20,12 +20,15 @@ CHANGE_COLUMNS = ["op", *CELL_COLUMNS]
 MUTATION_COLUMNS = [*PATH, "op", "value", "ts", "seq"]
 TRACKING_COLUMNS = [*ROW_KEYS, "state", "column_name", "value", "ts"]
 
-# A row key plus one `cell` struct. Two structs are equal when their fields are,
-# nulls included, so a join on these keys is null-safe and still lines up with
-# the hash partitioning a groupBy or a window on the same keys leaves behind;
-# a `<=>` on the nullable columns would be rewritten to other expressions and
-# shuffle again.
-CELL_KEYS = [*ROW_KEYS, "cell"]
+# Join keys of a cell: its row key and everything else of its path in one `cell`
+# struct; of a row: one `row` struct. Two structs are equal when their fields are,
+# nulls included, so joins are null-safe without `<=>`, which would be rewritten to
+# other expressions. And a struct is never a constant, even if one keyspace and
+# family were given as literals: constants are dropped from join keys but not from
+# grouping keys. Both keep a join lined up with the partitioning that a groupBy or a
+# window on the same keys left behind.
+CELL_KEYS = ["row_key", "cell"]
+_IN_CELL = [c for c in PATH if c != "row_key"]
 
 
 def _schema(names: list[str], nullable: set[str]) -> T.StructType:
@@ -47,18 +50,23 @@ TRACKING_SCHEMA = _schema(TRACKING_COLUMNS, set())
 
 
 def with_cell(df: DataFrame) -> DataFrame:
-    """Fold the nullable half of the path into the `cell` struct."""
-    rest = [c for c in df.columns if c not in ("super_column", "column_name")]
-    return df.select(*rest, F.struct("super_column", "column_name").alias("cell"))
+    """Replace the path by CELL_KEYS."""
+    rest = [c for c in df.columns if c not in _IN_CELL]
+    return df.select(*rest, F.struct(*_IN_CELL).alias("cell"))
 
 
 def cell_path() -> list[Column]:
-    """The five path columns, read back from CELL_KEYS."""
-    return [
-        *[F.col(c) for c in ROW_KEYS],
-        F.col("cell.super_column").alias("super_column"),
-        F.col("cell.column_name").alias("column_name"),
-    ]
+    """The path, read back from CELL_KEYS."""
+    return [F.col(c) if c == "row_key" else F.col(f"cell.{c}").alias(c) for c in PATH]
+
+
+def row_struct() -> Column:
+    return F.struct(*ROW_KEYS).alias("row")
+
+
+def cell_row() -> Column:
+    """The `row` struct, read back from CELL_KEYS."""
+    return F.struct(*cell_path()[: len(ROW_KEYS)]).alias("row")
 
 
 def as_changes(df: DataFrame, op: Column | str, **replaced: Column) -> DataFrame:

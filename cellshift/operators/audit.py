@@ -18,6 +18,7 @@ from cellshift.model import (
     cell_path,
     with_cell,
 )
+from cellshift.operators.grouping import newest
 
 # Fixed value: how far before the cycle a bootstrap dates the newer cells.
 BOOTSTRAP_OFFSET = 900
@@ -69,26 +70,20 @@ def changes_by_audit(
 ) -> DataFrame:
     """Inserted and updated cells, from cells and audit cells in one long table.
 
-    Only cells newer than the cycle can be in a class, so older ones are left out
-    before the shuffle; audit cells travel without their value.
+    Only cells newer than the cycle can be in a class, so the older ones are left
+    out by the scan. Audit cells take part with their time alone. Both sides are
+    reduced to one record per path before they are shuffled, and the join reuses
+    that partitioning.
     """
     check_cycle(last_cycle, allow_small)
-    audit = F.col("is_audit")
-    rows = split_audit_name(cells).where(audit | (F.col("ts") > last_cycle))
-    # Both kinds under one path; the value only for the effective cell.
-    tagged = with_cell(rows).select(
-        *CELL_KEYS,
-        F.when(~audit, F.col("value")).alias("value"),
-        F.when(~audit, F.col("ts")).alias("effective_ts"),
-        F.when(audit, F.col("ts")).alias("audit_ts"),
+    rows = split_audit_name(cells)
+    recent = with_cell(rows.where(~F.col("is_audit") & (F.col("ts") > last_cycle)))
+    audit = with_cell(rows.where("is_audit")).groupBy(*CELL_KEYS).agg(F.max("ts").alias("audit_ts"))
+    effective = newest(recent, CELL_KEYS, ["ts", "value"]).select(*CELL_KEYS, "value", "ts")
+    op = classify(F.col("ts"), F.coalesce("audit_ts", F.lit(0)), last_cycle, boundary)
+    classified = effective.join(audit, CELL_KEYS, "left").select(
+        op.alias("op"), *cell_path(), "value", "ts"
     )
-    pairs = tagged.groupBy(*CELL_KEYS).agg(
-        F.max_by("value", "effective_ts").alias("value"),
-        F.coalesce(F.max("effective_ts"), F.lit(0)).alias("ts"),
-        F.coalesce(F.max("audit_ts"), F.lit(0)).alias("audit_ts"),
-    )
-    op = classify(F.col("ts"), F.col("audit_ts"), last_cycle, boundary)
-    classified = pairs.select(op.alias("op"), *cell_path(), "value", "ts")
     return as_changes(classified.where(F.col("op").isNotNull()), F.col("op"))
 
 

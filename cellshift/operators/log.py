@@ -24,6 +24,8 @@ from cellshift.model import (
     UPSERT,
     as_changes,
     cell_path,
+    cell_row,
+    row_struct,
     with_cell,
 )
 from cellshift.operators.grouping import RANK, newest, recency
@@ -38,20 +40,29 @@ def _is_deletion() -> Column:
 
 def key_deletions(mutations: DataFrame) -> DataFrame:
     """Newest deletion of each row, of the whole row or of any of its super columns."""
+    return _row_deletions(mutations).select("row.*", "deleted_at")
+
+
+def _row_deletions(mutations: DataFrame) -> DataFrame:
     deletions = mutations.where(_is_deletion())
-    return deletions.groupBy(*ROW_KEYS).agg(F.max("ts").alias("deleted_at"))
+    return deletions.groupBy(row_struct()).agg(F.max("ts").alias("deleted_at"))
 
 
 def super_deletions(mutations: DataFrame) -> DataFrame:
     """Newest deletion of each super column."""
+    return _super_deletions(mutations).select("super.*", "deleted_at")
+
+
+def _super_deletions(mutations: DataFrame) -> DataFrame:
     deletions = mutations.where(_is_deletion() & F.col("super_column").isNotNull())
-    return deletions.groupBy(*SUPER_KEYS).agg(F.max("ts").alias("deleted_at"))
+    owner = F.struct(*SUPER_KEYS).alias("super")
+    return deletions.groupBy(owner).agg(F.max("ts").alias("deleted_at"))
 
 
 def after_deletion(mutations: DataFrame) -> DataFrame:
     """Mutations newer than the deletion of their row; all where there is none."""
-    deletions = key_deletions(mutations)
-    joined = mutations.join(deletions, ROW_KEYS, "left")
+    rows = mutations.select("*", row_struct())
+    joined = rows.join(_row_deletions(mutations), "row", "left")
     alive = F.col("deleted_at").isNull() | (F.col("ts") > F.col("deleted_at"))
     return joined.where(alive).select(*mutations.columns)
 
@@ -64,11 +75,15 @@ def _first_insertions(mutations: DataFrame) -> DataFrame:
 
 def row_tombstones(mutations: DataFrame) -> DataFrame:
     """One `del` per cell inserted before the deletion of its row."""
-    cells = _first_insertions(mutations)
-    dead = cells.join(key_deletions(mutations), ROW_KEYS)
+    cells = _first_insertions(mutations).select("*", cell_row())
+    dead = cells.join(_row_deletions(mutations), "row")
     dead = dead.where(F.col("inserted_at") < F.col("deleted_at"))
-    rows = dead.select(*cell_path(), F.lit(TOMBSTONE).alias("value"), F.col("deleted_at").alias("ts"))
-    return as_changes(rows, DEL)
+    return _buried(dead)
+
+
+def _buried(cells: DataFrame) -> DataFrame:
+    value, ts = F.lit(TOMBSTONE).alias("value"), F.col("deleted_at").alias("ts")
+    return as_changes(cells.select(*cell_path(), value, ts), DEL)
 
 
 def super_tombstones(mutations: DataFrame) -> DataFrame:
@@ -78,22 +93,27 @@ def super_tombstones(mutations: DataFrame) -> DataFrame:
     mutations of the row's other super columns stay as they are.
     """
     found = mutations.where(_is_deletion() & F.col("super_column").isNotNull())
-    last = found.groupBy(*ROW_KEYS).agg(
-        F.max(F.struct("ts", (-F.col("seq")).alias("first"), "super_column")).alias("last")
+    newest_first_read = F.struct("ts", (-F.col("seq")).alias("first"), "super_column")
+    last = (
+        found.groupBy(row_struct())
+        .agg(F.max(newest_first_read).alias("last"))
+        .select(
+            "row",
+            F.col("last.ts").alias("deleted_at"),
+            F.col("last.super_column").alias("deleted_super"),
+        )
     )
-    last = last.select(
-        *ROW_KEYS,
-        F.col("last.ts").alias("deleted_at"),
-        F.col("last.super_column").alias("deleted_super"),
+    cells = _first_insertions(mutations).select("*", cell_row()).join(last, "row")
+    dead = cells.where(
+        (F.col("cell.super_column") == F.col("deleted_super"))
+        & (F.col("inserted_at") < F.col("deleted_at"))
     )
-    same = F.col("super_column").eqNullSafe(F.col("deleted_super"))
-
-    cells = _first_insertions(mutations).select(*cell_path(), "inserted_at")
-    dead = cells.join(last, ROW_KEYS).where(same & (F.col("inserted_at") < F.col("deleted_at")))
-    dead = dead.withColumns({"value": F.lit(TOMBSTONE), "ts": F.col("deleted_at")})
-    others = mutations.join(last, ROW_KEYS)
-    others = others.where(~same & (F.col("ts") < F.col("deleted_at")))
-    return as_changes(dead, DEL).unionByName(as_changes(others, F.col("op")))
+    others = mutations.select("*", row_struct()).join(last, "row")
+    others = others.where(
+        ~F.col("super_column").eqNullSafe(F.col("deleted_super"))
+        & (F.col("ts") < F.col("deleted_at"))
+    )
+    return _buried(dead).unionByName(as_changes(others, F.col("op")))
 
 
 def latest_mutations(mutations: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
@@ -130,7 +150,7 @@ def _row_facts(mutations: DataFrame, scope: str) -> DataFrame:
     deletion = _is_deletion()
     if scope == "super":
         deletion = deletion & F.col("super_column").isNull()
-    facts = mutations.groupBy(*ROW_KEYS).agg(
+    facts = mutations.groupBy(row_struct()).agg(
         F.max(F.when(deletion, F.col("ts"))).alias("deleted_at"),
         F.max(_is_deletion()).alias("has_deletion"),
         F.count("*").alias("mutations"),
@@ -165,20 +185,16 @@ def changes_by_log(
         cells = newest(with_cell(mutations), CELL_KEYS, order)
     # Few rows have a deletion. Spark broadcasts their facts if the measured size
     # allows; otherwise it splits the partition of a hot row.
-    cells = cells.join(_row_facts(mutations, scope), ROW_KEYS, "left")
-    deleted_at = F.col("deleted_at")
+    facts = _row_facts(mutations, scope)
+    cells = cells.select("*", cell_row()).join(facts, "row", "left")
+    gone_at = F.col("deleted_at")
     if scope == "super":
-        supers = super_deletions(mutations).withColumnRenamed("deleted_at", "super_deleted_at")
-        supers = supers.withColumnRenamed("super_column", "deleted_super")
-        supers = supers.withColumnsRenamed({k: f"d_{k}" for k in ROW_KEYS})
-        on = [F.col(k) == F.col(f"d_{k}") for k in ROW_KEYS]
-        on.append(F.col("cell.super_column") == F.col("deleted_super"))
-        cells = cells.join(supers, on, "left")
-        deleted_at = F.greatest("deleted_at", "super_deleted_at")
-    cells = cells.withColumn("gone_at", deleted_at)
+        supers = _super_deletions(mutations).withColumnRenamed("deleted_at", "super_deleted_at")
+        owner = F.struct(*cell_path()[: len(SUPER_KEYS)]).alias("super")
+        cells = cells.select("*", owner).join(supers, "super", "left")
+        gone_at = F.greatest("deleted_at", "super_deleted_at")
 
     single = F.coalesce(F.col("mutations") == 1, F.lit(False))
-    gone_at = F.col("gone_at")
     alive = gone_at.isNull() | (F.col("ts") > gone_at)
     if not classified:
         op = F.when(F.col("op") == INS, UPSERT).otherwise(F.col("op"))

@@ -94,7 +94,7 @@ def maintain_tracking(tracking: DataFrame, window: tuple[int, int], now: int) ->
     used = _pending(tracking, window)
     still_pending = tracking.where((F.col("state") != UP_OLD) & ~consumed)
     old = tracking.where(F.col("state") == UP_OLD)
-    kept_old = old.join(used.select(*CELL).distinct(), CELL, "left_anti")
+    kept_old = old.join(used.select(*CELL), CELL, "left_anti")
     # One row per cell and state, so at most two candidates per cell.
     candidates = used.where(F.col("state") != DEL).withColumn(
         "is_update", (F.col("state") == UP_NEW).cast("int")

@@ -188,10 +188,17 @@ def parse_log_text(spark, sf):
 
 
 @query
-def reject_log_text(spark, sf):
-    """Super rows read as standard ones: a line whose twelfth field on is one value
-    passes, a deleted super column has no operation there."""
-    return rejected_log_lines(render_log(fx.mutations_super(spark, sf), is_super=True))
+def parse_flagged_log_text(spark, sf):
+    """Lines with any flag: writes and deletions are read, the rest is rejected."""
+    lines = fx.flagged_lines(spark, sf)
+    parsed = parse_log(lines).select("row_key", "column_name", "op", "value", "ts")
+    rejected = rejected_log_lines(lines).select(
+        *[F.lit(None).cast("string").alias(c) for c in ("row_key", "column_name")],
+        F.lit("reject").alias("op"),
+        "value",
+        F.lit(None).cast("bigint").alias("ts"),
+    )
+    return parsed.unionByName(rejected)
 
 
 @query

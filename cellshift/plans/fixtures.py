@@ -337,6 +337,18 @@ def flagged_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def flagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same columns as log lines that show the raw flag."""
+    rows = flagged_mutations(spark, sf_dir)
+    line = (
+        F.lit(KEYSPACE), F.col("row_key"), F.lit("1"), F.lit(TABLE), F.lit("true"),
+        F.lit("-2147483648"), F.lit("-9223372036854775808"), F.lit("1"), F.col("column_name"),
+        F.col("flag").cast("string"), F.col("ts").cast("string"), F.col("value"),
+    )
+    text = F.concat(F.lit("["), F.concat_ws("][", *line), F.lit("]"))
+    return rows.select(text.alias("value"))
+
+
 def mixed_keyspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mutations of several keyspaces, some unknown."""
     keyspace = F.lit(KEYSPACE)

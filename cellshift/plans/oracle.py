@@ -353,6 +353,13 @@ ORACLE_SQL: dict[str, str] = {
     "render_log_super": _LOG_SUPER,
     "parse_log_text": f"""SELECT {PATH}, op, coalesce(value, NULL) AS value, ts FROM ({MUTATIONS})
       UNION ALL SELECT {PATH}, op, value, ts FROM ({MUTATIONS_SUPER})""",
+    "parse_flagged_log_text": f"""SELECT {_USER} AS row_key, {_FIELD} AS column_name,
+      CASE event_type WHEN 'view' THEN 'ins' ELSE 'del' END AS op, {_money('value')} AS value,
+      epoch_us(ts) AS ts FROM events WHERE event_type IN ('view', 'error')
+      UNION ALL SELECT NULL, NULL, 'reject', '[usertable][' || user_id || '][1][data][true]' ||
+      '{LIVE}[' || {_FIELD} || '][' || CASE event_type WHEN 'click' THEN 2 WHEN 'signup' THEN 4
+      ELSE 8 END || '][' || epoch_us(ts) || '][' || {_money('value')} || ']', NULL
+      FROM events WHERE event_type NOT IN ('view', 'error')""",
     "export_cells_tombstones": _TOMBSTONES,
     "hex_to_string": "SELECT c_custkey, c_name AS name FROM customer",
     "tracking_window_filter": f"SELECT * FROM ({VERSIONS}) WHERE ts > {LOW} AND ts < {HIGH}",

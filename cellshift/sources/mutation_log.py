@@ -77,7 +77,7 @@ def _shapes(is_super: bool) -> dict[int, tuple[Column, ...]]:
 
 
 def _mutation(is_super: bool) -> Column:
-    """The line as a struct; null for an unknown shape or operation."""
+    """The line as an array of one mutation; null for an unknown shape or operation."""
     f = F.col("f")
     mutation = F.lit(None)
     for size, (super_column, column_name, op, value, ts) in _shapes(is_super).items():
@@ -91,7 +91,8 @@ def _mutation(is_super: bool) -> Column:
             value.alias("value"),
             ts.cast("bigint").alias("ts"),
         )
-        mutation = F.when((F.size(f) == size) & op.isNotNull(), fields).otherwise(mutation)
+        known = (F.size(f) == size) & op.isNotNull()
+        mutation = F.when(known, F.array(fields)).otherwise(mutation)
     return mutation
 
 
@@ -110,11 +111,10 @@ def parse_log(lines: DataFrame, is_super: bool = False) -> DataFrame:
         seq = F.lit(None).cast("bigint")
     else:
         seq = F.monotonically_increasing_id()
-    # No line gives more than one mutation: exploding skips the rejected ones and
-    # keeps the parsing from being repeated in a filter.
-    one_or_none = F.explode(F.array_compact(F.array(_mutation(is_super))))
-    parsed = _fields(lines.select("value", seq.alias("seq")), is_super)
-    return parsed.select("seq", one_or_none.alias("m")).select("m.*", "seq").select(*MUTATION_COLUMNS)
+    # Expanding an array of one or none skips the rejected lines without parsing
+    # every line a second time in a filter.
+    fields = _fields(lines.select("value", seq.alias("seq")), is_super)
+    return fields.select("seq", F.inline(_mutation(is_super))).select(*MUTATION_COLUMNS)
 
 
 def rejected_log_lines(lines: DataFrame, is_super: bool = False) -> DataFrame:
