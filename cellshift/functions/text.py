@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cellshift.model import MUTATION_COLUMNS, PATH, ROW_KEYS
@@ -31,19 +33,22 @@ STYLES = {
 }
 
 
-def render_changes(df: DataFrame, style: str = "change") -> DataFrame:
+def render_changes(
+    df: DataFrame, style: str = "change", keep: Sequence[str] = ()
+) -> DataFrame:
     """(key, value) text of typed records.
 
     `change` and `log` are the results of the scan, audit and log methods,
     `tracking` those of the tracking table, `differential` and `snapshot` the
     lines of those two; `audit`, `record` and the bootstrap styles are the
-    records the methods exchange. Style `audit` expects `is_audit`.
+    records the methods exchange. Style `audit` expects `is_audit`. Columns in
+    `keep`, such as the `seq` of mutations, stay beside the text.
     """
     keys, separator, values = STYLES[style]
     value = _joined(separator, *values)
     if style == "audit":
         value = F.concat(F.when(F.col("is_audit"), "audit:").otherwise(""), value)
-    return df.select(_joined("/", *keys).alias("key"), value.alias("value"))
+    return df.select(_joined("/", *keys).alias("key"), value.alias("value"), *keep)
 
 
 def render_lines(rendered: DataFrame, separator: str = "\t") -> DataFrame:

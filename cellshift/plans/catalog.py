@@ -139,7 +139,7 @@ def change_values_text(spark, sf):
 @query
 def parse_log_records_query(spark, sf):
     mutations = fx.mutations_super(spark, sf)
-    records = render_changes(mutations, "record")
+    records = render_changes(mutations, "record", keep=["seq"])
     return parse_log_records(records)
 
 

@@ -341,7 +341,7 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "change_keys_text": _KEYS_TEXT,
     "change_values_text": _VALUES_TEXT,
-    "parse_log_records": f"SELECT {PATH}, op, value, ts FROM ({MUTATIONS_SUPER})",
+    "parse_log_records": f"SELECT {PATH}, op, value, ts, seq FROM ({MUTATIONS_SUPER})",
     "parse_audit_records": f"""SELECT row_key, super_column, column_name, is_audit, value, ts
       FROM ({_split(AUDIT_SUPER)})""",
     "parse_bootstrap_records": f"""SELECT row_key, column_name, value, ts FROM ({CELLS_STD})
