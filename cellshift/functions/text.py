@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellshift.model import MUTATION_COLUMNS, PATH, ROW_KEYS
+from cellshift.model import AUDIT_PREFIX, MUTATION_COLUMNS, PATH, ROW_KEYS
 
 NULL_TEXT = "null"
 
@@ -47,7 +47,7 @@ def render_changes(
     keys, separator, values = STYLES[style]
     value = _joined(separator, *values)
     if style == "audit":
-        value = F.concat(F.when(F.col("is_audit"), "audit:").otherwise(""), value)
+        value = F.concat(F.when(F.col("is_audit"), AUDIT_PREFIX).otherwise(""), value)
     return df.select(_joined("/", *keys).alias("key"), value.alias("value"), *keep)
 
 
@@ -60,23 +60,34 @@ def _named(c: Column) -> Column:
     return F.when(c != NULL_TEXT, c)
 
 
-# Fields that may hold the separator are taken by position from both ends.
-_RECORD = r"(?s)^([^/]*)/([^/]*)/([^/]*)/(.*)/(-?\d+)$"
-_ROW = r"(?s)^([^/]*)/([^/]*)/(.*)$"
+def _without_last(c: Column, last: Column) -> Column:
+    """`c` without its last part and the separator before it."""
+    return F.substring(c, F.lit(1), F.length(c) - F.length(last) - 1)
+
+
+def split_last(c: Column, separator: str) -> tuple[Column, Column]:
+    """What is before the last separator, and what is after it."""
+    last = F.substring_index(c, separator, -1)
+    return _without_last(c, last), last
+
+
+# Below, fields that may hold the separator are the ones left over when the others
+# have been taken from both ends.
 
 
 def parse_log_records(df: DataFrame) -> DataFrame:
     """Inverse of style `record`; `seq` is kept when the input carries it."""
-    record = [F.regexp_extract("value", _RECORD, i) for i in range(1, 6)]
-    row = [F.regexp_extract("key", _ROW, i) for i in range(1, 4)]
-    column_name = _named(record[2])
+    row = F.split("key", "/", 3)
+    op, super_column, column, rest = (F.split("value", "/", 4)[i] for i in range(4))
+    value, ts = split_last(rest, "/")
+    column_name = _named(column)
     out = df.select(
-        *[c.alias(n) for c, n in zip(row, ROW_KEYS)],
-        _named(record[1]).alias("super_column"),
+        *[row[i].alias(n) for i, n in enumerate(ROW_KEYS)],
+        _named(super_column).alias("super_column"),
         column_name.alias("column_name"),
-        record[0].alias("op"),
-        F.when(column_name.isNotNull(), record[3]).alias("value"),
-        record[4].cast("bigint").alias("ts"),
+        op.alias("op"),
+        F.when(column_name.isNotNull(), value).alias("value"),
+        ts.cast("bigint").alias("ts"),
         *[F.col(c) for c in df.columns if c == "seq"],
     )
     return out.select(*[c for c in MUTATION_COLUMNS if c in out.columns])
@@ -84,23 +95,39 @@ def parse_log_records(df: DataFrame) -> DataFrame:
 
 def parse_audit_values(df: DataFrame) -> DataFrame:
     """Inverse of style `audit`: the time stamp follows the last `-`."""
-    key = r"(?s)^(.*)/([^/]*)/([^/]*)$"
-    value = r"(?s)^(audit:)?(.*)-(\d+)$"
+    before, column_name = split_last(F.col("key"), "/")
+    row_key, super_column = split_last(before, "/")
+    is_audit = F.col("value").startswith(AUDIT_PREFIX)
+    tagged, ts = split_last(F.col("value"), "-")
+    untagged = F.substring(tagged, len(AUDIT_PREFIX) + 1, 2**31 - 1)
     return df.select(
-        F.regexp_extract("key", key, 1).alias("row_key"),
-        _named(F.regexp_extract("key", key, 2)).alias("super_column"),
-        F.regexp_extract("key", key, 3).alias("column_name"),
-        (F.regexp_extract("value", value, 1) != "").alias("is_audit"),
-        F.regexp_extract("value", value, 2).alias("value"),
-        F.regexp_extract("value", value, 3).cast("bigint").alias("ts"),
+        row_key.alias("row_key"),
+        _named(super_column).alias("super_column"),
+        column_name.alias("column_name"),
+        is_audit.alias("is_audit"),
+        F.when(is_audit, untagged).otherwise(tagged).alias("value"),
+        ts.cast("bigint").alias("ts"),
     )
 
 
 def parse_bootstrap(df: DataFrame, with_value: bool) -> DataFrame:
     """Inverse of the bootstrap styles: `col:ts` or `col:value:ts`."""
-    # Name up to the first `:` and stamp from the last one, or name up to the last.
-    pattern = r"(?s)^([^:]*):(.*):(-?\d+)$" if with_value else r"(?s)^(.*):(-?\d+)$"
-    names = ["column_name", "value", "ts"] if with_value else ["column_name", "ts"]
-    fields = {n: F.regexp_extract("value", pattern, i) for i, n in enumerate(names, 1)}
-    fields["ts"] = fields["ts"].cast("bigint")
-    return df.select(F.col("key").alias("row_key"), *[c.alias(n) for n, c in fields.items()])
+    named, ts = split_last(F.col("value"), ":")
+    fields = {"column_name": named}
+    if with_value:
+        parts = F.split(named, ":", 2)
+        fields = {"column_name": parts[0], "value": parts[1]}
+    return df.select(
+        F.col("key").alias("row_key"),
+        *[c.alias(n) for n, c in fields.items()],
+        ts.cast("bigint").alias("ts"),
+    )
+
+
+def parse_path(path: Column) -> list[Column]:
+    """The five parts of a `ks/cf/key/super/col` path; a row key may hold `/`."""
+    head = F.split(path, "/", 3)
+    before, column_name = split_last(head[2], "/")
+    row_key, super_column = split_last(before, "/")
+    parts = [head[0], head[1], row_key, _named(super_column), column_name]
+    return [c.alias(n) for n, c in zip(PATH, parts)]

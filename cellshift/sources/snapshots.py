@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cellshift.functions.text import parse_path
 from cellshift.model import CELL_COLUMNS, CELL_SCHEMA, PATH, PATH_HASH
 
 
@@ -52,15 +53,9 @@ def parse_snapshot(lines: DataFrame) -> DataFrame:
     row key may hold `/`.
     """
     parts = F.split("value", "\t", 2)
-    path = r"(?s)^([^/]*)/([^/]*)/(.*)/([^/]*)/([^/]*)$"
-    fields = [F.regexp_extract(parts[0], path, i) for i in range(1, 6)]
     stamped = F.split(parts[1], "/", 2)
     return lines.select(
-        fields[0].alias("keyspace"),
-        fields[1].alias("column_family"),
-        fields[2].alias("row_key"),
-        F.when(fields[3] != "null", fields[3]).alias("super_column"),
-        fields[4].alias("column_name"),
+        *parse_path(parts[0]),
         stamped[1].alias("value"),
         stamped[0].cast("bigint").alias("ts"),
     )
