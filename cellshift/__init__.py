@@ -11,6 +11,7 @@ from cellshift.model import (
     MUTATION_SCHEMA,
     TRACKING_SCHEMA,
 )
+from cellshift.functions.cells import drop_system, hex_to_string, ops_from_flags, split_audit_name
 from cellshift.functions.cycles import new_cycle
 from cellshift.functions.text import parse_log_records, render_changes
 from cellshift.operators.audit import bootstrap_audit, changes_by_audit, changes_by_audit_wide
@@ -33,10 +34,16 @@ from cellshift.sources.cells import (
 from cellshift.sources.mutation_log import parse_log, read_log, render_log, write_log
 from cellshift.sources.sinks import append_changes, sort_by_key, write_changes
 from cellshift.sources.snapshots import load_snapshot, parse_snapshot, store_snapshot
+from cellshift.sources.snapshots import load_snapshot_table, store_snapshot_table
 from cellshift.sources.state import cycle_window, read_cycle, save_cycle
-from cellshift.sources.tables import create_cell_table, create_tracking
+from cellshift.sources.tables import (
+    create_cell_table,
+    create_tracking,
+    load_tracking,
+    write_tracking,
+)
 from cellshift.sources.tombstones import export_cells
-from cellshift.streaming.cycles import run_cycle
+from cellshift.streaming.cycles import current_changes, run_cycle, run_tracking_cycle
 
 __all__ = [
     "AUDIT_PREFIX",
@@ -56,14 +63,20 @@ __all__ = [
     "column_names",
     "create_cell_table",
     "create_tracking",
+    "current_changes",
     "cycle_window",
+    "drop_system",
     "engine_session",
     "export_cells",
     "flatten_standard",
     "flatten_super",
+    "hex_to_string",
     "load_snapshot",
+    "load_snapshot_table",
+    "load_tracking",
     "maintain_tracking",
     "new_cycle",
+    "ops_from_flags",
     "parse_log",
     "parse_log_records",
     "parse_snapshot",
@@ -73,11 +86,15 @@ __all__ = [
     "render_changes",
     "render_log",
     "run_cycle",
+    "run_tracking_cycle",
     "save_cycle",
     "slice_columns",
     "sort_by_key",
+    "split_audit_name",
     "store_snapshot",
+    "store_snapshot_table",
     "tag_union",
     "write_changes",
     "write_log",
+    "write_tracking",
 ]

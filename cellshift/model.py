@@ -20,14 +20,15 @@ CHANGE_COLUMNS = ["op", *CELL_COLUMNS]
 MUTATION_COLUMNS = [*PATH, "op", "value", "ts", "seq"]
 TRACKING_COLUMNS = [*ROW_KEYS, "state", "column_name", "value", "ts"]
 
-# Join keys of a cell: its row key and everything else of its path in one `cell`
-# struct; of a row: one `row` struct. Two structs are equal when their fields are,
-# nulls included, so joins are null-safe without `<=>`, which would be rewritten to
-# other expressions. And a struct is never a constant, even if one keyspace and
-# family were given as literals: constants are dropped from join keys but not from
-# grouping keys. Both keep a join lined up with the partitioning that a groupBy or a
-# window on the same keys left behind.
-CELL_KEYS = ["row_key", "cell"]
+# Join keys of a cell: a hash of its path, its row key and everything else of the
+# path in one `cell` struct; of a row: one `row` struct. Two structs are equal when
+# their fields are, nulls included, so joins are null-safe without `<=>`, which would
+# be rewritten to other expressions. And a struct is never a constant, even if one
+# keyspace and family were given as literals: constants are dropped from join keys
+# but not from grouping keys. Both keep a join lined up with the partitioning that a
+# groupBy or a window on the same keys left behind. The hash decides nearly every
+# comparison of a sort by looking at one number, and is what snapshots are bucketed on.
+CELL_KEYS = [PATH_HASH, "row_key", "cell"]
 _IN_CELL = [c for c in PATH if c != "row_key"]
 
 
@@ -50,8 +51,10 @@ TRACKING_SCHEMA = _schema(TRACKING_COLUMNS, set())
 
 
 def with_cell(df: DataFrame) -> DataFrame:
-    """Replace the path by CELL_KEYS."""
+    """Replace the path by CELL_KEYS; a stored hash is kept."""
     rest = [c for c in df.columns if c not in _IN_CELL]
+    if PATH_HASH not in rest:
+        rest.append(F.xxhash64(*PATH).alias(PATH_HASH))
     return df.select(*rest, F.struct(*_IN_CELL).alias("cell"))
 
 

@@ -40,12 +40,13 @@ def latest_cells(cells: DataFrame) -> DataFrame:
 
 
 def _matched(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, list[Column]]:
-    # Bucketed snapshots bring the hash of the path they are bucketed on; joining on
-    # it as well lets Spark match the buckets.
-    stored = [PATH_HASH] if PATH_HASH in old.columns and PATH_HASH in new.columns else []
-    o = with_cell(old.select(*CELL_COLUMNS, *stored)).alias("o")
-    n = with_cell(new.select(*CELL_COLUMNS, *stored)).alias("n")
-    return o, n, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in [*stored, *CELL_KEYS]]
+    # Bucketed snapshots bring the hash they are bucketed on: Spark matches buckets.
+    def keyed(cells: DataFrame) -> DataFrame:
+        stored = [PATH_HASH] if PATH_HASH in cells.columns else []
+        return with_cell(cells.select(*CELL_COLUMNS, *stored))
+
+    o, n = keyed(old).alias("o"), keyed(new).alias("n")
+    return o, n, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in CELL_KEYS]
 
 
 def _differs() -> Column:
@@ -122,13 +123,14 @@ def changes_by_differential(
     old: DataFrame | None,
     new: DataFrame | None,
     ops: Collection[str] | None = None,
-    unique: bool = True,
+    unique: bool = False,
 ) -> DataFrame:
     """Inserted, deleted and updated cells between two snapshots.
 
-    `unique=False` accepts snapshots that repeat a path; its last cell counts. With
-    `ops` only those classes are computed, each by the cheapest join. When either
-    snapshot is missing (None) nothing is compared and the result is empty.
+    Where a snapshot repeats a path, its last cell counts. `unique=True` states that
+    neither does, as in a dump of a keyed table: then they are joined, with no
+    grouping, and a single class in `ops` by the cheapest join. When either snapshot
+    is missing (None) nothing is compared and the result is empty.
     """
     if old is None or new is None:
         given = old if old is not None else new

@@ -305,12 +305,14 @@ def snapshot_tagged_union(spark, sf):
 
 @query
 def differential(spark, sf):
-    return changes_by_differential(fx.snap_old(spark, sf), fx.snap_new(spark, sf))
+    """Order keys are unique, so each dump has one cell per path."""
+    return changes_by_differential(fx.snap_old(spark, sf), fx.snap_new(spark, sf), unique=True)
 
 
 @query
 def differential_super(spark, sf):
-    return changes_by_differential(fx.snap_old_super(spark, sf), fx.snap_new_super(spark, sf))
+    old, new = fx.snap_old_super(spark, sf), fx.snap_new_super(spark, sf)
+    return changes_by_differential(old, new, unique=True)
 
 
 @query
@@ -319,7 +321,7 @@ def differential_dedup(spark, sf):
     versions = fx.versions(spark, sf)
     old = versions.where(F.col("ts") <= fx.HIGH)
     new = versions.where(F.col("ts") >= fx.LOW)
-    return changes_by_differential(old, new, unique=False)
+    return changes_by_differential(old, new)
 
 
 @query
@@ -329,17 +331,20 @@ def snapshot_dedup(spark, sf):
 
 @query
 def diff_inserts(spark, sf):
-    return changes_by_differential(fx.snap_old(spark, sf), fx.snap_new(spark, sf), [INS])
+    old, new = fx.snap_old(spark, sf), fx.snap_new(spark, sf)
+    return changes_by_differential(old, new, [INS], unique=True)
 
 
 @query
 def diff_deletes(spark, sf):
-    return changes_by_differential(fx.snap_old(spark, sf), fx.snap_new(spark, sf), [DEL])
+    old, new = fx.snap_old(spark, sf), fx.snap_new(spark, sf)
+    return changes_by_differential(old, new, [DEL], unique=True)
 
 
 @query
 def diff_updates(spark, sf):
-    return changes_by_differential(fx.snap_old(spark, sf), fx.snap_new(spark, sf), [UPD])
+    old, new = fx.snap_old(spark, sf), fx.snap_new(spark, sf)
+    return changes_by_differential(old, new, [UPD], unique=True)
 
 
 @query
@@ -348,7 +353,8 @@ def stored_differential(spark, sf):
     base = f"{run_dir(spark)}/snapshots"
     store_snapshot(fx.snap_old(spark, sf), base, 1)
     store_snapshot(fx.snap_new(spark, sf), base, 2)
-    return changes_by_differential(load_snapshot(spark, base, 1), load_snapshot(spark, base, 2))
+    old, new = load_snapshot(spark, base, 1), load_snapshot(spark, base, 2)
+    return changes_by_differential(old, new, unique=True)
 
 
 # --- tracking -------------------------------------------------------------------------

@@ -43,10 +43,11 @@ ORDER = ("ts", "batch", "seq")
 _KEY_SCHEMA = "keyspace string, column_family string, row_key string"
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The folder's rows, or none before the first batch."""
+def _read(spark: SparkSession, base: str, schema: str, *folders: str) -> DataFrame:
+    """Rows below `base`, of all folders or of those named; none where there are none."""
+    paths = [f"{base}/{f}" for f in folders] or [base]
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("basePath", base).parquet(*paths)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -85,24 +86,25 @@ def collapse_batch(
             "bucket": bucket,
         }
     )
-    # Few files per bucket, but several tasks for a hot one.
-    spread = F.pmod(F.xxhash64("column_name", "seq"), F.lit(4))
-    _write(rows.repartition("bucket", spread), f"{base}/history", "bucket", "batch")
+    # One file per bucket where they are small, several tasks for a hot one.
+    _write(rows.hint("rebalance", "bucket"), f"{base}/history", "bucket", "batch")
 
     history_schema = f"{_ddl(MUTATION_SCHEMA)}, bucket int, batch bigint"
-    history = _read(spark, f"{base}/history", history_schema).where(F.col("batch") <= number)
-    own = history.where(F.col("batch") == number)
+    own = _read(spark, f"{base}/history", history_schema, f"bucket=*/batch={number}")
     keys = own.select("bucket", *ROW_KEYS).distinct()
-    # At most `buckets` numbers come to the driver; they prune the history scan.
-    hit = sorted(r[0] for r in own.select("bucket").distinct().collect())
+    # At most `buckets` numbers come to the driver; only their folders are listed.
+    hit = [r[0] for r in own.select("bucket").distinct().collect()]
+    if not hit:
+        return
+    history = _read(
+        spark, f"{base}/history", history_schema, *[f"bucket={b}" for b in sorted(hit)]
+    ).where(F.col("batch") <= number)
     _write(
         keys.select(*ROW_KEYS, F.lit(number).cast("bigint").alias("batch")),
         f"{base}/touched",
         "batch",
     )
-    touched = history.where(F.col("bucket").isin(hit)).join(
-        keys, ["bucket", *ROW_KEYS], "left_semi"
-    )
+    touched = history.join(keys, ["bucket", *ROW_KEYS], "left_semi")
     changes = changes_by_log(touched, mode, scope, order=ORDER)
     _write(
         changes.withColumn("batch", F.lit(number).cast("bigint")), f"{base}/changes", "batch"

@@ -76,7 +76,7 @@ def test_nothing_changed(pair):
 def test_last_copy_of_a_path_counts(cells):
     old = cells(("r", "c", "a", 1), ("r", "c", "b", 2), ("r", "c", "b", 2))
     new = cells(("r", "c", "b", 2), ("r", "c", "a", 1))
-    assert changes_by_differential(old, new, unique=False).count() == 0
+    assert changes_by_differential(old, new).count() == 0
     assert rows(latest_cells(old), "value") == [("b",)]
 
 
@@ -128,11 +128,11 @@ def test_bucketed_snapshots_are_compared_without_a_shuffle(spark, pair):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        found = changes_by_differential(old, new)
+        found = changes_by_differential(old, new, unique=True)
         assert rows(found, *SHOWN) == EXPECTED
         assert "Exchange" not in plan(found)
         for op in ("ins", "del", "upd"):
-            found = changes_by_differential(old, new, [op])
+            found = changes_by_differential(old, new, [op], unique=True)
             assert "Exchange" not in plan(found)
             assert rows(found, *SHOWN) == [r for r in EXPECTED if r[0] == op]
     finally:
