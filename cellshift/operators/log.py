@@ -44,8 +44,18 @@ def key_deletions(mutations: DataFrame) -> DataFrame:
 
 
 def _row_deletions(mutations: DataFrame) -> DataFrame:
-    deletions = mutations.where(_is_deletion())
-    return deletions.groupBy(row_struct()).agg(F.max("ts").alias("deleted_at"))
+    return _per_row(mutations.where(_is_deletion()), F.max("ts").alias("deleted_at"))
+
+
+def _per_row(df: DataFrame, *aggregates: Column) -> DataFrame:
+    """Aggregates per row key, to be joined on the `row` struct.
+
+    The struct is built after the grouping on purpose. A join on the grouping keys
+    would take the grouped side as it is, and Spark splits the partition of a hot row
+    only if both sides of the join come right out of a shuffle.
+    """
+    grouped = df.groupBy(*ROW_KEYS).agg(*aggregates)
+    return grouped.select(row_struct(), *[c for c in grouped.columns if c not in ROW_KEYS])
 
 
 def super_deletions(mutations: DataFrame) -> DataFrame:
@@ -55,8 +65,8 @@ def super_deletions(mutations: DataFrame) -> DataFrame:
 
 def _super_deletions(mutations: DataFrame) -> DataFrame:
     deletions = mutations.where(_is_deletion() & F.col("super_column").isNotNull())
-    owner = F.struct(*SUPER_KEYS).alias("super")
-    return deletions.groupBy(owner).agg(F.max("ts").alias("deleted_at"))
+    grouped = deletions.groupBy(*SUPER_KEYS).agg(F.max("ts").alias("deleted_at"))
+    return grouped.select(F.struct(*SUPER_KEYS).alias("super"), "deleted_at")
 
 
 def after_deletion(mutations: DataFrame) -> DataFrame:
@@ -94,14 +104,10 @@ def super_tombstones(mutations: DataFrame) -> DataFrame:
     """
     found = mutations.where(_is_deletion() & F.col("super_column").isNotNull())
     newest_first_read = F.struct("ts", (-F.col("seq")).alias("first"), "super_column")
-    last = (
-        found.groupBy(row_struct())
-        .agg(F.max(newest_first_read).alias("last"))
-        .select(
-            "row",
-            F.col("last.ts").alias("deleted_at"),
-            F.col("last.super_column").alias("deleted_super"),
-        )
+    last = _per_row(found, F.max(newest_first_read).alias("last")).select(
+        "row",
+        F.col("last.ts").alias("deleted_at"),
+        F.col("last.super_column").alias("deleted_super"),
     )
     cells = _first_insertions(mutations).select("*", cell_row()).join(last, "row")
     dead = cells.where(
@@ -150,7 +156,8 @@ def _row_facts(mutations: DataFrame, scope: str) -> DataFrame:
     deletion = _is_deletion()
     if scope == "super":
         deletion = deletion & F.col("super_column").isNull()
-    facts = mutations.groupBy(row_struct()).agg(
+    facts = _per_row(
+        mutations,
         F.max(F.when(deletion, F.col("ts"))).alias("deleted_at"),
         F.max(_is_deletion()).alias("has_deletion"),
         F.count("*").alias("mutations"),

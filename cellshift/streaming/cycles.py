@@ -29,6 +29,7 @@ from cellshift.model import (
     MUTATION_SCHEMA,
     ROW_KEYS,
     UP_OLD,
+    row_struct,
 )
 from cellshift.operators.grouping import RANK, newest
 from cellshift.operators.log import changes_by_log
@@ -91,7 +92,7 @@ def collapse_batch(
 
     history_schema = f"{_ddl(MUTATION_SCHEMA)}, bucket int, batch bigint"
     own = _read(spark, f"{base}/history", history_schema, f"bucket=*/batch={number}")
-    keys = own.select("bucket", *ROW_KEYS).distinct()
+    keys = own.select(*ROW_KEYS).distinct()
     # At most `buckets` numbers come to the driver; only their folders are listed.
     hit = [r[0] for r in own.select("bucket").distinct().collect()]
     if not hit:
@@ -100,11 +101,13 @@ def collapse_batch(
         spark, f"{base}/history", history_schema, *[f"bucket={b}" for b in sorted(hit)]
     ).where(F.col("batch") <= number)
     _write(
-        keys.select(*ROW_KEYS, F.lit(number).cast("bigint").alias("batch")),
+        keys.withColumn("batch", F.lit(number).cast("bigint")),
         f"{base}/touched",
         "batch",
     )
-    touched = history.join(keys, ["bucket", *ROW_KEYS], "left_semi")
+    # Joined on the struct, built after the grouping: a hot row can be split.
+    rows_hit = keys.select(row_struct())
+    touched = history.select("*", row_struct()).join(rows_hit, "row", "left_semi").drop("row")
     changes = changes_by_log(touched, mode, scope, order=ORDER)
     _write(
         changes.withColumn("batch", F.lit(number).cast("bigint")), f"{base}/changes", "batch"
@@ -116,7 +119,9 @@ def current_changes(spark: SparkSession, base: str) -> DataFrame:
     touched = _read(spark, f"{base}/touched", f"{_KEY_SCHEMA}, batch bigint")
     last = touched.groupBy(*ROW_KEYS).agg(F.max("batch").alias("batch"))
     changes = _read(spark, f"{base}/changes", f"{_ddl(CHANGE_SCHEMA)}, batch bigint")
-    return changes.join(last, [*ROW_KEYS, "batch"], "left_semi").select(*CHANGE_COLUMNS)
+    version = F.struct(*ROW_KEYS, "batch").alias("version")
+    current = changes.select("*", version).join(last.select(version), "version", "left_semi")
+    return current.select(*CHANGE_COLUMNS)
 
 
 def run_cycle(

@@ -49,8 +49,8 @@ SHUFFLES = {
     "audit_changes": 2,
     "log_latest": 1,
     "log_net_changes": 1,
-    "log_changes_upsert": 3,
-    "log_changes_classified": 4,
+    "log_changes_upsert": 4,
+    "log_changes_classified": 5,
     "scan_standard": 0,
     "scan_super": 0,
     "audit_changes_wide": 0,
