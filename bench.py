@@ -1,10 +1,11 @@
 """Time the queries at one scale and print one JSON line.
 
-    BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [query ...]
+    BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py [query ... | all]
 
-Each query runs once to warm up, then BENCH_RUNS times into a noop sink; its time is
-the median in seconds. `value` is the sum over all queries. Each query is planned
-anew in every run, and its shuffles are counted in the plan that was executed.
+Each query is counted and run once to warm up, then run BENCH_RUNS times into a noop
+sink; its time is the median in seconds and `value` the sum. Each run plans the query
+anew. `shuffles` are the exchanges planned before run-time changes. Without names the
+extraction methods and what they rest on are timed, with `all` every query.
 """
 
 from __future__ import annotations
@@ -22,6 +23,35 @@ from cellshift import engine_session
 from cellshift.plans.catalog import QUERIES
 
 
+HEADLINE = [
+    "flatten_standard",
+    "flatten_super",
+    "scan_standard",
+    "scan_super",
+    "audit_bootstrap",
+    "audit_changes",
+    "audit_changes_super",
+    "audit_changes_wide",
+    "snapshot_standard",
+    "snapshot_super",
+    "differential",
+    "differential_super",
+    "differential_dedup",
+    "diff_inserts",
+    "diff_deletes",
+    "diff_updates",
+    "tracking_bootstrap",
+    "tracking_changes",
+    "tracking_window",
+    "tracking_maintain",
+    "parse_log_text",
+    "log_changes_upsert",
+    "log_changes_classified",
+    "log_changes_super_scope",
+    "export_cells_tombstones",
+]
+
+
 def session(cpus: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -50,7 +80,9 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = session(os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8)))
-    names = sys.argv[1:] or [n for n in QUERIES if n not in ("stream_log_changes",)]
+    names = sys.argv[1:] or HEADLINE
+    if names == ["all"]:
+        names = list(QUERIES)
 
     seconds, exchanges, counts = {}, {}, {}
     for name in names:

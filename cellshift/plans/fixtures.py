@@ -180,13 +180,15 @@ def audit_wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
 # --- events as versions, tracking rows and mutations -------------------------------
 
 
-def _number() -> Column:
-    return F.regexp_extract("props", r"(\d+)", 1)
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events with the number in `props`, taken out once for all its uses."""
+    events = table(spark, sf_dir, "events")
+    return events.withColumn("number", F.regexp_extract("props", r"(\d+)", 1))
 
 
 def _field() -> Column:
     """`field0 .. field9`, by the last digit of the number in `props`."""
-    return F.concat(F.lit("field"), F.right(_number(), F.lit(1)))
+    return F.concat(F.lit("field"), F.right("number", F.lit(1)))
 
 
 def _day() -> Column:
@@ -195,7 +197,7 @@ def _day() -> Column:
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a version of cell (user, event type): few, hot paths."""
-    events = table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     return events.select(
         F.lit(KEYSPACE).alias("keyspace"),
         F.lit(TABLE).alias("column_family"),
@@ -209,7 +211,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tracking_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a tracking row; (row, state, column) may repeat."""
-    events = table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     event = F.col("event_type")
     state = (
         F.when(event.isin("click", "purchase"), UP_NEW)
@@ -237,9 +239,9 @@ def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user and day as mutations of one row; a tenth of the errors
     delete the row."""
-    events = table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     error = F.col("event_type") == "error"
-    row_deletion = error & (_number().cast("int") < 10)
+    row_deletion = error & (F.col("number").cast("int") < 10)
     return events.select(
         F.lit(KEYSPACE).alias("keyspace"),
         F.lit(TABLE).alias("column_family"),
@@ -256,9 +258,9 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mutations_super(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as mutations of a user's row with one super column per day; some
     errors delete the row, some the super column."""
-    events = table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     error = F.col("event_type") == "error"
-    number = _number().cast("int")
+    number = F.col("number").cast("int")
     row_deletion = error & (number < 2)
     deletion = error & (number < 10)
     return events.select(
@@ -278,7 +280,7 @@ def tombstone_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as cells with deletion markers: errors are deleted cells of a standard
     row; in the super rows the super column `error` is deleted and clicks are
     deleted sub-columns."""
-    events = table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     event = F.col("event_type")
     ts = micros(events, "ts")
     none = F.lit(None).cast("bigint")
@@ -320,7 +322,7 @@ EVENT_KEYSPACES = {"view": "local", "signup": "system", "click": None}
 
 def flagged_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as logged columns with a raw flag in place of the operation."""
-    events = table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     flag = F.lit(None).cast("int")
     for event, number in EVENT_FLAGS.items():
         flag = F.when(F.col("event_type") == event, number).otherwise(flag)
@@ -354,7 +356,7 @@ def mixed_keyspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyspace = F.lit(KEYSPACE)
     for event, name in EVENT_KEYSPACES.items():
         keyspace = F.when(F.col("event_type") == event, name).otherwise(keyspace)
-    events = table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     return events.select(
         keyspace.alias("keyspace"),
         F.col("user_id").cast("string").alias("row_key"),

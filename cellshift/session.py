@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Joins whose partitions all turn out small are hashed instead of sorted.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     # A snapshot table bucketed on the path hash joins on hash and path without a
     # shuffle.
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
