@@ -43,7 +43,12 @@ from cellshift.sources.tables import (
     write_tracking,
 )
 from cellshift.sources.tombstones import export_cells
-from cellshift.streaming.cycles import current_changes, run_cycle, run_tracking_cycle
+from cellshift.streaming.cycles import (
+    compact_state,
+    current_changes,
+    run_cycle,
+    run_tracking_cycle,
+)
 
 __all__ = [
     "AUDIT_PREFIX",
@@ -61,6 +66,7 @@ __all__ = [
     "changes_by_scan",
     "changes_by_tracking",
     "column_names",
+    "compact_state",
     "create_cell_table",
     "create_tracking",
     "current_changes",

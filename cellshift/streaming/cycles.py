@@ -6,7 +6,7 @@ whole history, so after every batch the results equal one run over all input.
 
 All state lives in Parquet folders next to each other:
 
-    history/bucket=B/batch=N    mutations, bucketed by row
+    history/bucket=B/batch=N    mutations, bucketed by row; `arrived` is their batch
     touched/batch=N             rows whose results batch N replaced
     changes/batch=N             their results
 
@@ -39,10 +39,9 @@ from cellshift.sources.tables import load_tracking, write_tracking
 
 BUCKETS = 64
 # Read order across batches: time, then batch, then order within the batch.
-ORDER = ("ts", "batch", "seq")
-
-_KEY_SCHEMA = "keyspace string, column_family string, row_key string"
-
+ORDER = ("ts", "arrived", "seq")
+# The batch number of everything `compact_state` has merged.
+MERGED = -1
 
 def _read(spark: SparkSession, base: str, schema: str, *folders: str) -> DataFrame:
     """Rows below `base`, of all folders or of those named; none where there are none."""
@@ -68,6 +67,11 @@ def _ddl(schema) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
 
 
+_HISTORY = f"{_ddl(MUTATION_SCHEMA)}, arrived bigint, bucket int, batch bigint"
+_TOUCHED = "keyspace string, column_family string, row_key string, batch bigint"
+_CHANGES = f"{_ddl(CHANGE_SCHEMA)}, batch bigint"
+
+
 def collapse_batch(
     batch: DataFrame,
     number: int,
@@ -83,6 +87,7 @@ def collapse_batch(
     rows = batch.select(*MUTATION_COLUMNS).withColumns(
         {
             "seq": F.coalesce("seq", F.monotonically_increasing_id()),
+            "arrived": F.lit(number).cast("bigint"),
             "batch": F.lit(number).cast("bigint"),
             "bucket": bucket,
         }
@@ -90,15 +95,14 @@ def collapse_batch(
     # One file per bucket where they are small, several tasks for a hot one.
     _write(rows.hint("rebalance", "bucket"), f"{base}/history", "bucket", "batch")
 
-    history_schema = f"{_ddl(MUTATION_SCHEMA)}, bucket int, batch bigint"
-    own = _read(spark, f"{base}/history", history_schema, f"bucket=*/batch={number}")
+    own = _read(spark, f"{base}/history", _HISTORY, f"bucket=*/batch={number}")
     keys = own.select(*ROW_KEYS).distinct()
     # At most `buckets` numbers come to the driver; only their folders are listed.
     hit = [r[0] for r in own.select("bucket").distinct().collect()]
     if not hit:
         return
     history = _read(
-        spark, f"{base}/history", history_schema, *[f"bucket={b}" for b in sorted(hit)]
+        spark, f"{base}/history", _HISTORY, *[f"bucket={b}" for b in sorted(hit)]
     ).where(F.col("batch") <= number)
     _write(
         keys.withColumn("batch", F.lit(number).cast("bigint")),
@@ -116,12 +120,42 @@ def collapse_batch(
 
 def current_changes(spark: SparkSession, base: str) -> DataFrame:
     """The results of all batches: for each row those of the last batch to touch it."""
-    touched = _read(spark, f"{base}/touched", f"{_KEY_SCHEMA}, batch bigint")
+    touched = _read(spark, f"{base}/touched", _TOUCHED)
+    changes = _read(spark, f"{base}/changes", _CHANGES)
+    return _current(touched, changes).select(*CHANGE_COLUMNS)
+
+
+def _current(touched: DataFrame, changes: DataFrame) -> DataFrame:
     last = touched.groupBy(*ROW_KEYS).agg(F.max("batch").alias("batch"))
-    changes = _read(spark, f"{base}/changes", f"{_ddl(CHANGE_SCHEMA)}, batch bigint")
     version = F.struct(*ROW_KEYS, "batch").alias("version")
-    current = changes.select("*", version).join(last.select(version), "version", "left_semi")
-    return current.select(*CHANGE_COLUMNS)
+    return changes.select("*", version).join(last.select(version), "version", "left_semi")
+
+
+def compact_state(spark: SparkSession, base: str, target: str) -> None:
+    """Write the state under `base` to the new folder `target`, merged into few files.
+
+    Run it between cycles and give `target` to the next one, with the same checkpoint.
+    All batches but the last become one; the last stays apart, so that it can still be
+    tried again.
+    """
+    touched = _read(spark, f"{base}/touched", _TOUCHED)
+    changes = _read(spark, f"{base}/changes", _CHANGES)
+    history = _read(spark, f"{base}/history", _HISTORY)
+    last = touched.agg(F.max("batch")).first()[0]
+    if last is None:
+        return
+    merged = F.when(F.col("batch") < last, MERGED).otherwise(F.col("batch")).cast("bigint")
+
+    def move(df: DataFrame, folder: str, *partitions: str) -> None:
+        moved = df.withColumn("batch", merged).hint("rebalance", *partitions)
+        _write(moved, f"{target}/{folder}", *partitions)
+
+    move(history, "history", "bucket", "batch")
+    earlier = F.col("batch") < last
+    move(touched.where(earlier).dropDuplicates(ROW_KEYS).unionByName(touched.where(~earlier)),
+         "touched", "batch")
+    before = _current(touched.where(earlier), changes.where(earlier)).drop("version")
+    move(before.unionByName(changes.where(~earlier)), "changes", "batch")
 
 
 def run_cycle(

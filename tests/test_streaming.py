@@ -6,6 +6,7 @@ from test_log import random_log
 from cellshift import changes_by_log, create_tracking, parse_log, run_cycle, write_log
 from cellshift.streaming.cycles import (
     collapse_batch,
+    compact_state,
     current_changes,
     load_tracking,
     maintain_batch,
@@ -43,6 +44,28 @@ def test_a_repeated_batch_changes_nothing(spark, mutations, tmp_path):
     assert rows(current_changes(spark, base)) == rows(changes_by_log(mutations(*made)))
 
 
+def test_compaction_keeps_results_and_history(spark, mutations, tmp_path):
+    made = random_log(13, [None, "s"])
+    parts = [mutations(*made[i : i + 150]) for i in range(0, 600, 150)]
+    bases = [str(tmp_path / name) for name in "abc"]
+    compact_state(spark, bases[0], str(tmp_path / "unused"))  # nothing there yet
+    for number in (0, 1):
+        collapse_batch(parts[number], number, bases[0], buckets=4)
+    compact_state(spark, bases[0], bases[1])
+    collapse_batch(parts[1], 1, bases[1], buckets=4)  # the last batch is tried again
+    expected = changes_by_log(mutations(*made[:300]))
+    assert rows(current_changes(spark, bases[1])) == rows(expected)
+    collapse_batch(parts[2], 2, bases[1], buckets=4)
+    compact_state(spark, bases[1], bases[2])
+    collapse_batch(parts[3], 3, bases[2], buckets=4)
+    assert rows(current_changes(spark, bases[2])) == rows(changes_by_log(mutations(*made)))
+    assert {p.name for p in (tmp_path / "c" / "changes").glob("batch=*")} == {
+        "batch=-1",
+        "batch=2",
+        "batch=3",
+    }
+
+
 def test_a_later_deletion_clears_earlier_results(spark, mutations, tmp_path):
     base = str(tmp_path)
     collapse_batch(mutations(("r", None, "a", "ins", "1", 1, 0)), 0, base, "upsert", buckets=2)
