@@ -5,9 +5,10 @@ import pytest
 from conftest import SF, plan, rows
 
 import __spark_entry__ as driver
+from cellshift.plans import catalog, oracle
 
 TABLES = ["orders", "events", "customer", "lineitem"]
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, oracle.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
