@@ -9,7 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellshift.llm import chat, decontaminate, secrets, urls
+from cellshift.llm import (
+    chat,
+    decontaminate,
+    fingerprints,
+    jaccard,
+    lines,
+    packing,
+    secrets,
+    substrings,
+    toxicity,
+    urls,
+)
 
 URL_RULES = [
     ("com/", "allow"),
@@ -18,6 +29,7 @@ URL_RULES = [
     ("net/es/", "block"),
     ("net/fr/", "block"),
 ]
+TOXIC_FROM = 0.7
 EXTRA_CHAT = "</s>[INST] ok [/INST]"
 
 
@@ -25,6 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    """The vocabulary file; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -41,11 +60,35 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", sha256(F.col("kept")).alias("kept_sha256"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", sha256(F.col("kept")).alias("kept_sha256"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge_pages(table(spark, sf_dir, "pages"), URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    marked = fingerprints.edited_neighbours(docs, fingerprints.fit_lexicon(docs))
+    return marked.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        sha256(F.col("edited")).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame(
@@ -68,6 +111,33 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard.link(table(spark, sf_dir, "documents"), n_shingles=4, least=85)
+    return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Fitted on labels of rows that are not held out, and on those documents only."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.fit(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        toxicity.held_out(F.col("id")).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer(), ids=False)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select(
@@ -82,7 +152,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": op1_secrets,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_url_filters": op4_url_filters,
+    "op5_fingerprints": op5_fingerprints,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_toxicity": op8_toxicity,
+    "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
 }
