@@ -31,7 +31,7 @@ from cellshift.sources.cells import (
     read_cells,
     slice_columns,
 )
-from cellshift.sources.mutation_log import parse_log, read_log, render_log, write_log
+from cellshift.sources.mutation_log import log_lines, parse_log, read_log, render_log, split_log, write_log
 from cellshift.sources.sinks import append_changes, sort_by_key, write_changes
 from cellshift.sources.snapshots import load_snapshot, parse_snapshot, store_snapshot
 from cellshift.sources.snapshots import load_snapshot_table, store_snapshot_table
@@ -44,10 +44,12 @@ from cellshift.sources.tables import (
 )
 from cellshift.sources.tombstones import export_cells
 from cellshift.streaming.cycles import (
-    compact_state,
     current_changes,
+    current_tracking,
+    rejected_lines,
     run_cycle,
     run_tracking_cycle,
+    void_batches,
 )
 
 __all__ = [
@@ -66,10 +68,10 @@ __all__ = [
     "changes_by_scan",
     "changes_by_tracking",
     "column_names",
-    "compact_state",
     "create_cell_table",
     "create_tracking",
     "current_changes",
+    "current_tracking",
     "cycle_window",
     "drop_system",
     "engine_session",
@@ -80,6 +82,7 @@ __all__ = [
     "load_snapshot",
     "load_snapshot_table",
     "load_tracking",
+    "log_lines",
     "maintain_tracking",
     "new_cycle",
     "ops_from_flags",
@@ -89,6 +92,7 @@ __all__ = [
     "read_cells",
     "read_cycle",
     "read_log",
+    "rejected_lines",
     "render_changes",
     "render_log",
     "run_cycle",
@@ -98,8 +102,10 @@ __all__ = [
     "sort_by_key",
     "split_audit_name",
     "store_snapshot",
+    "split_log",
     "store_snapshot_table",
     "tag_union",
+    "void_batches",
     "write_changes",
     "write_log",
     "write_tracking",

@@ -25,7 +25,7 @@ def check_cycle(cycle: int, allow_small: bool = False) -> int:
 def micros(df: DataFrame, name: str) -> Column:
     """Column `name` as micros; BIGINT is taken to be micros already."""
     dtype = df.schema[name].dataType
-    c = F.col(name)
+    c = F.col("`" + name.replace("`", "``") + "`")
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(c)
     if isinstance(dtype, T.TimestampNTZType):
@@ -42,9 +42,10 @@ def after(df: DataFrame, name: str, cycle: int) -> Column:
     """`name > cycle`, stated in the column's own type so that the scan can use it."""
     dtype = df.schema[name].dataType
     instant = datetime(1970, 1, 1) + timedelta(microseconds=cycle)
+    c = F.col("`" + name.replace("`", "``") + "`")
     if isinstance(dtype, T.TimestampType):
-        return F.col(name) > F.lit(instant.replace(tzinfo=timezone.utc))
+        return c > F.lit(instant.replace(tzinfo=timezone.utc))
     if isinstance(dtype, T.TimestampNTZType):
         text = instant.isoformat(sep=" ", timespec="microseconds")
-        return F.col(name) > F.expr(f"timestamp_ntz'{text}'")
-    return F.col(name) > F.lit(cycle)
+        return c > F.expr(f"timestamp_ntz'{text}'")
+    return c > F.lit(cycle)

@@ -72,22 +72,22 @@ def split_last(c: Column, separator: str) -> tuple[Column, Column]:
 
 
 # Below, fields that may hold the separator are the ones left over when the others
-# have been taken from both ends.
+# have been taken from both ends. A time that is no number is read as null.
 
 
 def parse_log_records(df: DataFrame) -> DataFrame:
     """Inverse of style `record`; `seq` is kept when the input carries it."""
     row = F.split("key", "/", 3)
-    op, super_column, column, rest = (F.split("value", "/", 4)[i] for i in range(4))
+    op, super_column, column, rest = (F.get(F.split("value", "/", 4), F.lit(i)) for i in range(4))
     value, ts = split_last(rest, "/")
     column_name = _named(column)
     out = df.select(
-        *[row[i].alias(n) for i, n in enumerate(ROW_KEYS)],
+        *[F.get(row, F.lit(i)).alias(n) for i, n in enumerate(ROW_KEYS)],
         _named(super_column).alias("super_column"),
         column_name.alias("column_name"),
         op.alias("op"),
         F.when(column_name.isNotNull(), value).alias("value"),
-        ts.cast("bigint").alias("ts"),
+        ts.try_cast("bigint").alias("ts"),
         *[F.col(c) for c in df.columns if c == "seq"],
     )
     return out.select(*[c for c in MUTATION_COLUMNS if c in out.columns])
@@ -106,7 +106,7 @@ def parse_audit_values(df: DataFrame) -> DataFrame:
         column_name.alias("column_name"),
         is_audit.alias("is_audit"),
         F.when(is_audit, untagged).otherwise(tagged).alias("value"),
-        ts.cast("bigint").alias("ts"),
+        ts.try_cast("bigint").alias("ts"),
     )
 
 
@@ -116,18 +116,19 @@ def parse_bootstrap(df: DataFrame, with_value: bool) -> DataFrame:
     fields = {"column_name": named}
     if with_value:
         parts = F.split(named, ":", 2)
-        fields = {"column_name": parts[0], "value": parts[1]}
+        fields = {"column_name": F.get(parts, F.lit(0)), "value": F.get(parts, F.lit(1))}
     return df.select(
         F.col("key").alias("row_key"),
         *[c.alias(n) for n, c in fields.items()],
-        ts.cast("bigint").alias("ts"),
+        ts.try_cast("bigint").alias("ts"),
     )
 
 
 def parse_path(path: Column) -> list[Column]:
     """The five parts of a `ks/cf/key/super/col` path; a row key may hold `/`."""
     head = F.split(path, "/", 3)
-    before, column_name = split_last(head[2], "/")
+    keyspace, family, rest = (F.get(head, F.lit(i)) for i in range(3))
+    before, column_name = split_last(rest, "/")
     row_key, super_column = split_last(before, "/")
-    parts = [head[0], head[1], row_key, _named(super_column), column_name]
+    parts = [keyspace, family, row_key, _named(super_column), column_name]
     return [c.alias(n) for n, c in zip(PATH, parts)]

@@ -18,7 +18,6 @@ from cellshift.model import (
     cell_path,
     with_cell,
 )
-from cellshift.operators.grouping import newest
 
 # Fixed value: how far before the cycle a bootstrap dates the newer cells.
 BOOTSTRAP_OFFSET = 900
@@ -71,19 +70,26 @@ def changes_by_audit(
     """Inserted and updated cells, from cells and audit cells in one long table.
 
     Only cells newer than the cycle can be in a class, so the older ones are left
-    out by the scan. Audit cells take part with their time alone. Both sides are
-    reduced to one record per path before they are shuffled, and the join reuses
-    that partitioning.
+    out by the scan. Audit cells take part with their time alone. Both are reduced to
+    one record per path and task before they are shuffled, once.
     """
     check_cycle(last_cycle, allow_small)
-    rows = split_audit_name(cells)
-    recent = with_cell(rows.where(~F.col("is_audit") & (F.col("ts") > last_cycle)))
-    audit = with_cell(rows.where("is_audit")).groupBy(*CELL_KEYS).agg(F.max("ts").alias("audit_ts"))
-    effective = newest(recent, CELL_KEYS, ["ts", "value"]).select(*CELL_KEYS, "value", "ts")
-    op = classify(F.col("ts"), F.coalesce("audit_ts", F.lit(0)), last_cycle, boundary)
-    classified = effective.join(audit, CELL_KEYS, "left").select(
-        op.alias("op"), *cell_path(), "value", "ts"
+    rows = with_cell(split_audit_name(cells))
+    own = ~F.col("is_audit") & (F.col("ts") > last_cycle)
+    # The newest own and audit cell of a path by aggregates of one scan: they start before
+    # the shuffle, and one shuffle brings both together.
+    met = (
+        rows.where(F.col("is_audit") | own)
+        .groupBy(*CELL_KEYS)
+        .agg(
+            F.max(F.when(~F.col("is_audit"), F.struct("ts", "value"))).alias("own"),
+            F.max(F.when(F.col("is_audit"), F.col("ts"))).alias("audit_ts"),
+        )
+        .where(F.col("own").isNotNull())
     )
+    ts = F.col("own.ts")
+    op = classify(ts, F.coalesce("audit_ts", F.lit(0)), last_cycle, boundary)
+    classified = met.select(op.alias("op"), *cell_path(), F.col("own.value").alias("value"), ts.alias("ts"))
     return as_changes(classified.where(F.col("op").isNotNull()), F.col("op"))
 
 
@@ -96,13 +102,14 @@ def changes_by_audit_wide(
     keyspace: str,
     column_family: str,
     boundary: str | None = None,
+    allow_small: bool = False,
 ) -> DataFrame:
     """As `changes_by_audit` for rows that hold cell and audit time side by side.
 
     `columns` maps a cell name to (value, name of its time column, audit micros).
     Both times are in one row, so nothing is shuffled.
     """
-    check_cycle(last_cycle)
+    check_cycle(last_cycle, allow_small)
     times = {time for _, time, _ in columns.values()}
     recent = F.lit(False)
     for time in sorted(times):

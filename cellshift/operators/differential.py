@@ -14,7 +14,6 @@ from cellshift.model import (
     DEL,
     INS,
     PATH,
-    PATH_HASH,
     UPD,
     as_changes,
     cell_path,
@@ -40,10 +39,17 @@ def latest_cells(cells: DataFrame) -> DataFrame:
 
 
 def _matched(old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, list[Column]]:
-    # Bucketed snapshots bring the hash they are bucketed on: Spark matches buckets.
+    """Both snapshots by their join keys, always to be merged.
+
+    The size of a snapshot is not known before it is flattened, so neither side may be
+    broadcast, whatever its file size and the session's settings. Bucketed snapshots
+    bring the keys they are bucketed on: Spark matches buckets.
+    """
+
     def keyed(cells: DataFrame) -> DataFrame:
-        stored = [PATH_HASH] if PATH_HASH in cells.columns else []
-        return with_cell(cells.select(*CELL_COLUMNS, *stored))
+        stored = set(CELL_KEYS) <= set(cells.columns)
+        columns = [*CELL_KEYS, "value", "ts"]
+        return (cells.select(*columns) if stored else with_cell(cells.select(*CELL_COLUMNS))).hint("merge")
 
     o, n = keyed(old).alias("o"), keyed(new).alias("n")
     return o, n, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in CELL_KEYS]

@@ -18,6 +18,7 @@ from cellshift.model import (
     CHANGE_COLUMNS,
     DEL,
     INS,
+    PATH,
     ROW_KEYS,
     TOMBSTONE,
     UPD,
@@ -144,6 +145,23 @@ def _two_newest(mutations: DataFrame, order: Sequence[str]) -> DataFrame:
     )
 
 
+def reduce_log(mutations: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
+    """The few mutations that decide the net changes: `changes_by_log` is the same for them.
+
+    Of each cell its two newest and its first insertion, of each row and super column
+    the two newest deletions. A row keeps one mutation only if it had one, so what is
+    left says all there is to know, also together with mutations yet to come.
+    """
+    keyed = with_cell(mutations)
+    last = newest(keyed, CELL_KEYS, order, n=2).drop(RANK)
+    # Beyond the two newest a cell needs the time of its first insertion alone.
+    first = Window.partitionBy(*CELL_KEYS).orderBy(*[F.col(c).asc() for c in order])
+    inserted = keyed.where(F.col("op") == INS).withColumn(RANK, F.row_number().over(first))
+    inserted = inserted.where(F.col(RANK) == 1).drop(RANK)
+    both = last.unionByName(inserted).dropDuplicates([*CELL_KEYS, "op", *order])
+    return both.select(*[c for c in cell_path()], *[c for c in mutations.columns if c not in PATH])
+
+
 def net_changes(mutations: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     """Newest mutation of each cell; an insertion over an insertion is an update."""
     cells = _two_newest(mutations, order)

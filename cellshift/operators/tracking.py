@@ -79,6 +79,24 @@ def _consumed(window: tuple[int, int]) -> Column:
     return F.col("state").isin(*PENDING) & (F.col("ts") > lo) & (F.col("ts") < hi)
 
 
+def tracking_step(
+    tracking: DataFrame, window: tuple[int, int], now: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(still pending, new `up_old` rows, `up_old` rows taken away) of `maintain_tracking`.
+
+    Only pending rows are read. A cell whose deletion alone was consumed is taken away.
+    """
+    still_pending = tracking.where((F.col("state") != UP_OLD) & ~_consumed(window))
+    # One row per cell and state, so at most three candidates per cell.
+    rank = F.when(F.col("state") == UP_NEW, 2).when(F.col("state") == INS, 1).otherwise(0)
+    used = _pending(tracking, window).withColumn("rank", rank)
+    last = newest(used, CELL, ["rank", "ts", "value"])
+    as_old = [*ROW_KEYS, F.lit(UP_OLD).alias("state"), "column_name", "value"]
+    as_old.append(F.lit(now).cast("bigint").alias("ts"))
+    promoted = last.where(F.col("rank") > 0).select(*as_old)
+    return still_pending.select(*TRACKING_COLUMNS), promoted, last.where(F.col("rank") == 0).select(*as_old)
+
+
 def maintain_tracking(tracking: DataFrame, window: tuple[int, int], now: int) -> DataFrame:
     """The tracking table after the changes of `window` have been extracted.
 
@@ -90,22 +108,9 @@ def maintain_tracking(tracking: DataFrame, window: tuple[int, int], now: int) ->
     the consumed cells in an anti join, whose right side is small in a regular
     cycle and is then broadcast by Spark's own size check.
     """
-    consumed = _consumed(window)
-    used = _pending(tracking, window)
-    still_pending = tracking.where((F.col("state") != UP_OLD) & ~consumed)
+    still_pending, promoted, _ = tracking_step(tracking, window, now)
     old = tracking.where(F.col("state") == UP_OLD)
-    kept_old = old.join(used.select(*CELL), CELL, "left_anti")
-    # One row per cell and state, so at most two candidates per cell.
-    candidates = used.where(F.col("state") != DEL).withColumn(
-        "is_update", (F.col("state") == UP_NEW).cast("int")
-    )
-    promoted = newest(candidates, CELL, ["is_update", "ts", "value"]).select(
-        *ROW_KEYS,
-        F.lit(UP_OLD).alias("state"),
-        "column_name",
-        "value",
-        F.lit(now).cast("bigint").alias("ts"),
-    )
+    kept_old = old.join(_pending(tracking, window).select(*CELL), CELL, "left_anti")
     parts = [still_pending, kept_old, promoted]
     result, *rest = [p.select(*TRACKING_COLUMNS) for p in parts]
     for part in rest:

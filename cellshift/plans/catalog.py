@@ -14,7 +14,15 @@ from cellshift.functions.text import (
     render_changes,
     render_lines,
 )
-from cellshift.model import CELL_COLUMNS, DEL, INS, UPD, UP_NEW, UP_OLD
+from cellshift.model import (
+    CHANGE_SCHEMA,
+    DEL,
+    INS,
+    MUTATION_SCHEMA,
+    TRACKING_SCHEMA,
+    UPD,
+    UP_OLD,
+)
 from cellshift.operators import log
 from cellshift.operators.audit import bootstrap_audit, changes_by_audit, changes_by_audit_wide
 from cellshift.operators.differential import changes_by_differential, latest_cells, tag_union
@@ -27,11 +35,32 @@ from cellshift.operators.tracking import (
 from cellshift.plans import fixtures as fx
 from cellshift.session import shared_dir
 from cellshift.sources.cells import column_names, flatten_map, slice_columns
-from cellshift.sources.mutation_log import parse_log, rejected_log_lines, render_log, write_log
-from cellshift.sources.sinks import sort_by_key
-from cellshift.sources.snapshots import load_snapshot, parse_snapshot, store_snapshot
+from cellshift.sources.cells import flatten_super as flatten_super_rows
+from cellshift.sources.mutation_log import (
+    log_lines,
+    parse_log,
+    rejected_log_lines,
+    render_log,
+    split_log,
+)
+from cellshift.sources.sinks import append_changes, sort_by_key, write_changes
+from cellshift.sources.snapshots import (
+    load_snapshot,
+    load_snapshot_table,
+    parse_snapshot,
+    store_snapshot,
+    store_snapshot_table,
+)
+from cellshift.sources.state import cycle_window
+from cellshift.sources.tables import create_cell_table, load_tracking, write_tracking
 from cellshift.sources.tombstones import export_cells
-from cellshift.streaming.cycles import current_changes, run_cycle
+from cellshift.streaming.cycles import (
+    current_changes,
+    current_tracking,
+    rejected_lines,
+    run_cycle,
+    run_tracking_cycle,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,6 +113,14 @@ def flatten_super(spark, sf):
     return fx.cells_super(spark, sf)
 
 
+@query
+def slice_super_columns(spark, sf):
+    """A list of super columns of rows that hold many: `order_0` to `order_99`."""
+    rows = fx.customer_rows(spark, sf)
+    names = column_names("order_", 100)
+    return flatten_super_rows(rows, "o_custkey", "columns", super_columns=names, **fx.SUPER_SOURCE)
+
+
 @query
 def flatten_generated_names(spark, sf):
     """Ten generated column names over the line items, one cell each."""
@@ -250,7 +287,7 @@ def scan_standard(spark, sf):
 
 @query
 def scan_super(spark, sf):
-    return changes_by_scan(fx.cells_super(spark, sf), fx.CYCLE)
+    return changes_by_scan(fx.cells_super(spark, sf, since=fx.CYCLE), fx.CYCLE)
 
 
 @query
@@ -389,7 +426,10 @@ def tracking_window(spark, sf):
 
 @query
 def tracking_maintain(spark, sf):
-    return maintain_tracking(fx.tracking(spark, sf), (fx.LOW, fx.HIGH), fx.HIGH)
+    """Over a stored table, whose states are partitions."""
+    path = f"{run_dir(spark)}/tracking"
+    write_tracking(fx.tracking(spark, sf), path)
+    return maintain_tracking(load_tracking(spark, path), (fx.LOW, fx.HIGH), fx.HIGH)
 
 
 # --- log ------------------------------------------------------------------------------
@@ -458,24 +498,140 @@ def log_changes_super_scope(spark, sf):
 # --- cycles ---------------------------------------------------------------------------
 
 
+def _stream_in_parts(spark, mutations: DataFrame, mode: str, merge_every: int) -> DataFrame:
+    """A log of four appended parts, each taken up by one streaming cycle.
+
+    Parts follow the numbers of the events, not their times: deletions come after cells
+    they remove and before others, and equal times meet across parts.
+    """
+    base = run_dir(spark)
+    for part in range(4):
+        mutations.where(F.col("seq") % 4 == part).write.mode("append").parquet(f"{base}/log")
+        stream = spark.readStream.schema(MUTATION_SCHEMA).parquet(f"{base}/log")
+        cycle = run_cycle(stream, f"{base}/checkpoint", f"{base}/state", mode, buckets=8, merge_every=merge_every)
+        cycle.awaitTermination()
+    return current_changes(spark, f"{base}/state", merge_every)
+
+
 @query
 def stream_log_changes(spark, sf):
-    """The log written as text in two parts, each taken up by one streaming cycle."""
+    return _stream_in_parts(spark, fx.mutations(spark, sf), "classified", 16)
+
+
+@query
+def compacted_changes(spark, sf):
+    """Every second cycle takes up all rows and voids the folders before it."""
+    return _stream_in_parts(spark, fx.mutations(spark, sf), "upsert", 2)
+
+
+@query
+def stream_rejected_lines(spark, sf):
+    """Text lines with unknown flags and bad numbers, in two cycles: none is lost."""
     base = run_dir(spark)
-    lines = f"{base}/log"
-    mutations = fx.mutations(spark, sf)
-    schema = "value string"
-    for part in (F.col("ts") < fx.HIGH, F.col("ts") >= fx.HIGH):
-        write_log(mutations.where(part), lines)
-        stream = parse_log(spark.readStream.schema(schema).text(lines))
+    lines = fx.flagged_lines(spark, sf)
+    for part in (F.length("value") % 2 == 0, F.length("value") % 2 == 1):
+        lines.where(part).write.mode("append").text(f"{base}/log")
+        stream = split_log(log_lines(spark.readStream, f"{base}/log"))
         run_cycle(stream, f"{base}/checkpoint", f"{base}/state", buckets=8).awaitTermination()
-    return current_changes(spark, f"{base}/state")
+    return rejected_lines(spark, f"{base}/state").select("value")
+
+
+@query
+def stream_tracking(spark, sf):
+    """Tracking rows in three parts by time, each extracted and maintained by one cycle:
+    the table after the last. `up_old` rows of the first part found it."""
+    base = run_dir(spark)
+    rows = fx.tracking_entries(spark, sf)
+    parts = [
+        (F.col("ts") < fx.LOW, fx.LOW),
+        ((F.col("ts") >= fx.LOW) & (F.col("ts") < fx.HIGH) & (F.col("state") != UP_OLD), fx.HIGH),
+        ((F.col("ts") >= fx.HIGH) & (F.col("state") != UP_OLD), fx.HIGH + fx.DAY),
+    ]
+    for part, now in parts:
+        rows.where(part).write.mode("append").parquet(f"{base}/arrivals")
+        stream = spark.readStream.schema(TRACKING_SCHEMA).parquet(f"{base}/arrivals")
+        cycle = run_tracking_cycle(stream, f"{base}/checkpoint", f"{base}/tracking", lambda now=now: now, merge_every=2)
+        cycle.awaitTermination()
+    return current_tracking(spark, f"{base}/tracking", len(parts) - 1, merge_every=2)
+
+
+# --- sinks, state and tables ------------------------------------------------------------
+
+
+@query
+def written_changes(spark, sf):
+    """Parquet and text, each written twice over and read back."""
+    base = run_dir(spark)
+    changes = changes_by_scan(fx.cells_super(spark, sf, since=fx.CYCLE), fx.CYCLE)
+    for given in (changes_by_scan(fx.cells_std(spark, sf), fx.CYCLE), changes):
+        write_changes(given, f"{base}/parquet")
+        write_changes(given, f"{base}/text", style="change")
+    typed = render_changes(spark.read.schema(CHANGE_SCHEMA).parquet(f"{base}/parquet"), "change")
+    parts = F.split("value", "\t", 2)
+    text = spark.read.text(f"{base}/text").select(parts[0].alias("key"), parts[1].alias("value"))
+    return typed.select(F.lit("parquet").alias("form"), "key", "value").unionByName(
+        text.withColumn("form", F.lit("text"))
+    )
+
+
+@query
+def appended_cycles(spark, sf):
+    """Three cycles, the second run twice; the first attempt of it was another result."""
+    base = f"{run_dir(spark)}/changes"
+    changes = changes_by_scan(fx.cells_std(spark, sf, since=fx.CYCLE), fx.CYCLE)
+    for cycle, name in ((1, "status"), (2, "status"), (2, "price"), (3, "priority")):
+        append_changes(changes.where(F.col("column_name") == name), base, cycle)
+    return spark.read.parquet(base)
+
+
+@query
+def missing_snapshot(spark, sf):
+    """A pair of which one was never stored adds nothing to a pair that was."""
+    base = f"{run_dir(spark)}/snapshots"
+    store_snapshot(fx.snap_old(spark, sf), base, 1)
+    store_snapshot(fx.snap_new(spark, sf), base, 2)
+    old, new, none = (load_snapshot(spark, base, n) for n in (1, 2, 3))
+    return changes_by_differential(old, new).unionByName(changes_by_differential(new, none))
+
+
+@query
+def bucketed_differential(spark, sf):
+    """Snapshots stored in buckets of the join keys: comparing them shuffles nothing."""
+    name = f"snapshot_{run_name(spark)}"
+    store_snapshot_table(fx.snap_old(spark, sf), name, 1, 8)
+    store_snapshot_table(fx.snap_new(spark, sf), name, 2, 8)
+    old, new = load_snapshot_table(spark, name, 1), load_snapshot_table(spark, name, 2)
+    return changes_by_differential(old, new, unique=True)
+
+
+@query
+def cycle_scans(spark, sf):
+    """Two cycles whose windows meet: every cell belongs to one of them."""
+    base = run_dir(spark)
+    for now in (fx.CYCLE, fx.HIGH):
+        with cycle_window(spark, f"{base}/cycle", now) as (last, until):
+            found = changes_by_scan(fx.cells_std(spark, sf, since=last), last, until=until)
+            append_changes(found, f"{base}/changes", now)
+    return spark.read.parquet(f"{base}/changes")
+
+
+@query
+def created_tables(spark, sf):
+    """Two tables of a new database, filled and read back."""
+    database = f"cells_{run_name(spark)}"
+    create_cell_table(spark, database, fx.TABLE, fx.SUPER_TABLE)
+    for table, cells in ((fx.TABLE, fx.cells_std(spark, sf)), (fx.SUPER_TABLE, fx.cells_super(spark, sf))):
+        cells.write.mode("append").insertInto(f"{database}.{table}")
+    return spark.table(f"{database}.{fx.TABLE}").unionByName(spark.table(f"{database}.{fx.SUPER_TABLE}"))
 
 
 def run_dir(spark: SparkSession) -> str:
     """A new folder for one run, under the folder the executors share."""
-    run = spark.sql("SELECT uuid()").first()[0]
-    return f"{shared_dir(spark)}/cellshift-{run}"
+    return f"{shared_dir(spark)}/cellshift-{run_name(spark)}"
+
+
+def run_name(spark: SparkSession) -> str:
+    return spark.sql("SELECT replace(uuid(), '-', '')").first()[0]
 
 
 for _name in ("slice_columns", "parse_log_records"):

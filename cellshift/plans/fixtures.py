@@ -22,6 +22,7 @@ RETENTION = 820_454_400_000_000
 LOW = 1_704_844_800_000_000  # 2024-01-10
 HIGH = 1_705_708_800_000_000  # 2024-01-20
 DAY = 86_400_000_000
+QUARTER = DAY // 4
 AUDIT_AGE = 400 * DAY
 
 
@@ -66,17 +67,28 @@ def _as_map(columns: dict[str, tuple[Column, Column]]) -> Column:
     return F.create_map(*entries)
 
 
-def _super_rows(rows: DataFrame, columns: dict[str, tuple[Column, Column]]) -> DataFrame:
+def _super_rows(
+    rows: DataFrame, columns: dict[str, tuple[Column, Column]], since: int | None = None
+) -> DataFrame:
     name = F.concat(F.lit("order_"), F.col("o_orderkey").cast("string"))
     wide = rows.select("o_custkey", F.create_map(name, _as_map(columns)).alias("columns"))
-    return flatten_super(wide, "o_custkey", "columns", **SUPER_SOURCE)
+    return flatten_super(wide, "o_custkey", "columns", since=since, **SUPER_SOURCE)
+
+
+def cells_super(spark: SparkSession, sf_dir: str, since: int | None = None) -> DataFrame:
+    """One row and super column per order, under the customer's key."""
+    orders = table(spark, sf_dir, "orders")
+    ts = micros(orders, "o_orderdate")
+    return _super_rows(orders, {n: (c, ts) for n, c in order_columns().items()}, since)
 
 
-def cells_super(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per customer, one super column per order."""
+def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per customer, whose orders are as many super columns of one map."""
     orders = table(spark, sf_dir, "orders")
     ts = micros(orders, "o_orderdate")
-    return _super_rows(orders, {n: (c, ts) for n, c in order_columns().items()})
+    name = F.concat(F.lit("order_"), F.col("o_orderkey").cast("string"))
+    entry = F.struct(name, _as_map({n: (c, ts) for n, c in order_columns().items()}))
+    return orders.groupBy("o_custkey").agg(F.map_from_entries(F.collect_list(entry)).alias("columns"))
 
 
 # --- two dumps of the order book --------------------------------------------------
@@ -236,6 +248,11 @@ def tracking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest(tracking_entries(spark, sf_dir), keys, ["ts", "value"]).drop(RANK)
 
 
+def _moment(events: DataFrame) -> Column:
+    """Event time by quarters of a day, so that many mutations have equal times."""
+    return micros(events, "ts") - F.pmod(micros(events, "ts"), F.lit(QUARTER))
+
+
 def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user and day as mutations of one row; a tenth of the errors
     delete the row."""
@@ -250,7 +267,7 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~row_deletion, _field()).alias("column_name"),
         F.when(error, DEL).otherwise(INS).alias("op"),
         F.when(~row_deletion, money("value")).alias("value"),
-        micros(events, "ts").alias("ts"),
+        _moment(events).alias("ts"),
         F.col("event_id").alias("seq"),
     )
 
@@ -271,7 +288,7 @@ def mutations_super(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(~deletion, _field()).alias("column_name"),
         F.when(error, DEL).otherwise(INS).alias("op"),
         F.when(~deletion, money("value")).alias("value"),
-        micros(events, "ts").alias("ts"),
+        _moment(events).alias("ts"),
         F.col("event_id").alias("seq"),
     )
 
@@ -340,12 +357,15 @@ def flagged_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same columns as log lines that show the raw flag."""
+    """The same columns as log lines that show the raw flag; where the number in `props`
+    ends in 0 the flag is no number, where it ends in 1 the time is none."""
     rows = flagged_mutations(spark, sf_dir)
+    flag = F.when(F.col("column_name") == "field0", "flag").otherwise(F.col("flag").cast("string"))
+    time = F.when(F.col("column_name") == "field1", "never").otherwise(F.col("ts").cast("string"))
     line = (
         F.lit(KEYSPACE), F.col("row_key"), F.lit("1"), F.lit(TABLE), F.lit("true"),
         F.lit("-2147483648"), F.lit("-9223372036854775808"), F.lit("1"), F.col("column_name"),
-        F.col("flag").cast("string"), F.col("ts").cast("string"), F.col("value"),
+        flag, time, F.col("value"),
     )
     text = F.concat(F.lit("["), F.concat_ws("][", *line), F.lit("]"))
     return rows.select(text.alias("value"))

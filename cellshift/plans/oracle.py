@@ -100,6 +100,7 @@ TRACKING = f"""SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER
     (PARTITION BY row_key, state, column_name ORDER BY ts DESC, value DESC) AS rn
     FROM ({TRACKING_ENTRIES})) WHERE rn = 1"""
 
+_MOMENT = "(epoch_us(ts) - epoch_us(ts) % 21600000000)"
 MUTATIONS = f"""SELECT 'usertable' AS keyspace, 'data' AS column_family,
     {_USER} || '@' || {_DAY} AS row_key, CAST(NULL AS varchar) AS super_column,
     CASE WHEN event_type = 'error' AND cast({_NUMBER} AS int) < 10 THEN NULL
@@ -107,7 +108,7 @@ MUTATIONS = f"""SELECT 'usertable' AS keyspace, 'data' AS column_family,
     CASE event_type WHEN 'error' THEN 'del' ELSE 'ins' END AS op,
     CASE WHEN event_type = 'error' AND cast({_NUMBER} AS int) < 10 THEN NULL
       ELSE {_money('value')} END AS value,
-    epoch_us(ts) AS ts, event_id AS seq FROM events"""
+    {_MOMENT} AS ts, event_id AS seq FROM events"""
 
 MUTATIONS_SUPER = f"""SELECT 'usertable' AS keyspace, 'data_super' AS column_family,
     {_USER} AS row_key,
@@ -118,7 +119,7 @@ MUTATIONS_SUPER = f"""SELECT 'usertable' AS keyspace, 'data_super' AS column_fam
     CASE event_type WHEN 'error' THEN 'del' ELSE 'ins' END AS op,
     CASE WHEN event_type = 'error' AND cast({_NUMBER} AS int) < 10 THEN NULL
       ELSE {_money('value')} END AS value,
-    epoch_us(ts) AS ts, event_id AS seq FROM events"""
+    {_MOMENT} AS ts, event_id AS seq FROM events"""
 
 _CHANGE = f"op, {CELL}"
 
@@ -151,20 +152,31 @@ def _one_side(source: str, other: str, op: str) -> str:
 
 
 def _audit(cells: str) -> str:
-    """Effective and audit cell of a path by a self join."""
-    return f"""WITH c AS ({cells}),
-    e AS (SELECT * FROM c WHERE column_name NOT LIKE 'audit:%'),
-    a AS (SELECT row_key, super_column, substr(column_name, 7) AS column_name, ts
-      FROM c WHERE column_name LIKE 'audit:%'),
-    p AS (SELECT e.*, coalesce(a.ts, 0) AS audit_ts FROM e LEFT JOIN a
-      ON e.row_key = a.row_key AND e.column_name = a.column_name
-      AND e.super_column IS NOT DISTINCT FROM a.super_column),
-    k AS (SELECT CASE
-      WHEN ts > audit_ts AND ts > {CYCLE} AND audit_ts < {CYCLE} THEN 'upd'
-      WHEN ts = audit_ts AND ts > {CYCLE} THEN 'ins'
-      WHEN ts > audit_ts AND ts > {CYCLE} AND audit_ts > {CYCLE} THEN 'ins' END AS op, {CELL}
-      FROM p)
-    SELECT * FROM k WHERE op IS NOT NULL"""
+    """Effective and audit time of a path side by side, by conditional aggregates."""
+    path = "keyspace, column_family, row_key, super_column"
+    plain = "CASE WHEN starts_with(column_name, 'audit:') THEN substr(column_name, 7) ELSE column_name END"
+    return f"""SELECT CASE WHEN ts = audit_ts THEN 'ins' WHEN audit_ts < {CYCLE} THEN 'upd'
+      ELSE 'ins' END AS op, {CELL}
+    FROM (SELECT {path}, {plain} AS column_name,
+        max(value) FILTER (NOT starts_with(column_name, 'audit:')) AS value,
+        max(ts) FILTER (NOT starts_with(column_name, 'audit:')) AS ts,
+        coalesce(max(ts) FILTER (starts_with(column_name, 'audit:')), 0) AS audit_ts
+      FROM ({cells}) GROUP BY ALL)
+    WHERE ts > {CYCLE} AND (ts = audit_ts OR (ts > audit_ts AND audit_ts <> {CYCLE}))"""
+
+
+def _audit_wide() -> str:
+    """One SELECT per column straight over the orders, which have both times."""
+    audit = f"coalesce({_AUDIT_TS}, 0)"
+    op = f"""CASE WHEN {_TS} = {audit} THEN 'ins' WHEN {audit} < {CYCLE} THEN 'upd' ELSE 'ins' END"""
+    return " UNION ALL ".join(
+        f"""SELECT {op} AS op, 'usertable' AS keyspace, 'data' AS column_family,
+        cast(o_orderkey AS varchar) AS row_key, CAST(NULL AS varchar) AS super_column,
+        '{name}' AS column_name, {value} AS value, {_TS} AS ts FROM orders
+        WHERE {value} IS NOT NULL AND {_TS} > {CYCLE}
+          AND ({_TS} = {audit} OR ({_TS} > {audit} AND {audit} <> {CYCLE}))"""
+        for name, (value, _) in _STD.items()
+    )
 
 
 def _audit_bootstrap(cells: str) -> str:
@@ -303,6 +315,17 @@ _AFTER_DELETE = f"""WITH m AS ({MUTATIONS})
 SELECT {PATH}, op, value, ts, seq FROM m WHERE NOT EXISTS (SELECT 1 FROM m d
   WHERE d.row_key = m.row_key AND d.op = 'del' AND d.column_name IS NULL AND d.ts >= m.ts)"""
 
+_BAD = f"(event_type NOT IN ('view', 'error') OR {_FIELD} IN ('field0', 'field1'))"
+_FLAGGED_GOOD = f"""SELECT {_USER} AS row_key, {_FIELD} AS column_name,
+      CASE event_type WHEN 'view' THEN 'ins' ELSE 'del' END AS op, {_money('value')} AS value,
+      epoch_us(ts) AS ts FROM events WHERE NOT {_BAD}"""
+_FLAGGED_BAD = f"""SELECT '[usertable][' || user_id || '][1][data][true]' || '{LIVE}[' || {_FIELD} || '][' ||
+      CASE WHEN {_FIELD} = 'field0' THEN 'flag' ELSE cast(CASE event_type WHEN 'view' THEN 0
+        WHEN 'error' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 4 ELSE 8 END AS varchar) END || '][' ||
+      CASE WHEN {_FIELD} = 'field1' THEN 'never' ELSE cast(epoch_us(ts) AS varchar) END || '][' ||
+      {_money('value')} || ']' AS value FROM events WHERE {_BAD}"""
+_TIED = f"SELECT * REPLACE (1000000 * (seq % 4) + seq AS seq) FROM ({MUTATIONS})"
+
 _GENERATED = {
     f"field{i}": expression
     for i, expression in enumerate(
@@ -351,15 +374,10 @@ ORACLE_SQL: dict[str, str] = {
       FROM ({_scan(CELLS_STD)}) ORDER BY key""",
     "render_log_standard": _LOG_STANDARD,
     "render_log_super": _LOG_SUPER,
-    "parse_log_text": f"""SELECT {PATH}, op, coalesce(value, NULL) AS value, ts FROM ({MUTATIONS})
+    "parse_log_text": f"""SELECT {PATH}, op, value, ts FROM ({MUTATIONS})
       UNION ALL SELECT {PATH}, op, value, ts FROM ({MUTATIONS_SUPER})""",
-    "parse_flagged_log_text": f"""SELECT {_USER} AS row_key, {_FIELD} AS column_name,
-      CASE event_type WHEN 'view' THEN 'ins' ELSE 'del' END AS op, {_money('value')} AS value,
-      epoch_us(ts) AS ts FROM events WHERE event_type IN ('view', 'error')
-      UNION ALL SELECT NULL, NULL, 'reject', '[usertable][' || user_id || '][1][data][true]' ||
-      '{LIVE}[' || {_FIELD} || '][' || CASE event_type WHEN 'click' THEN 2 WHEN 'signup' THEN 4
-      ELSE 8 END || '][' || epoch_us(ts) || '][' || {_money('value')} || ']', NULL
-      FROM events WHERE event_type NOT IN ('view', 'error')""",
+    "parse_flagged_log_text": f"""{_FLAGGED_GOOD}
+      UNION ALL SELECT NULL, NULL, 'reject', value, NULL FROM ({_FLAGGED_BAD})""",
     "export_cells_tombstones": _TOMBSTONES,
     "hex_to_string": "SELECT c_custkey, c_name AS name FROM customer",
     "tracking_window_filter": f"SELECT * FROM ({VERSIONS}) WHERE ts > {LOW} AND ts < {HIGH}",
@@ -376,7 +394,7 @@ ORACLE_SQL: dict[str, str] = {
     "audit_bootstrap_super": _audit_bootstrap(CELLS_SUPER),
     "audit_changes": _audit(AUDIT),
     "audit_changes_super": _audit(AUDIT_SUPER),
-    "audit_changes_wide": _audit(AUDIT),
+    "audit_changes_wide": _audit_wide(),
     "audit_after_bootstrap": f"SELECT 'upd' AS op, {CELL} FROM ({CELLS_STD}) WHERE ts > {CYCLE}",
     "snapshot_standard": SNAP_NEW,
     "snapshot_super": SNAP_NEW_SUPER,
@@ -430,5 +448,18 @@ ORACLE_SQL: dict[str, str] = {
     "log_changes_upsert_super": _log(MUTATIONS_SUPER, "upsert"),
     "log_changes_classified_super": _log(MUTATIONS_SUPER, "classified"),
     "log_changes_super_scope": _log(MUTATIONS_SUPER, "classified", "super"),
-    "stream_log_changes": _log(MUTATIONS, "classified"),
+    "stream_log_changes": _log(_TIED, "classified"),
+    "compacted_changes": _log(_TIED, "upsert"),
+    "stream_rejected_lines": _FLAGGED_BAD,
+    "slice_super_columns": f"SELECT {CELL} FROM ({CELLS_SUPER}) WHERE length(super_column) <= 8",
+    "written_changes": f"""SELECT 'parquet' AS form, op || '/' || {_FULL_PATH} AS key, value FROM ({_scan(CELLS_SUPER)})
+      UNION ALL SELECT 'text', op || '/' || {_FULL_PATH}, value FROM ({_scan(CELLS_SUPER)})""",
+    "appended_cycles": f"""SELECT {_CHANGE}, 1 AS cycle FROM ({_scan(CELLS_STD)}) WHERE column_name = 'status'
+      UNION ALL SELECT {_CHANGE}, 2 FROM ({_scan(CELLS_STD)}) WHERE column_name = 'price'
+      UNION ALL SELECT {_CHANGE}, 3 FROM ({_scan(CELLS_STD)}) WHERE column_name = 'priority'""",
+    "missing_snapshot": _differential(SNAP_OLD, SNAP_NEW),
+    "bucketed_differential": _differential(SNAP_OLD, SNAP_NEW),
+    "cycle_scans": f"""SELECT 'upsert' AS op, {CELL}, CASE WHEN ts <= {CYCLE} THEN {CYCLE} ELSE {HIGH} END AS cycle
+      FROM ({CELLS_STD})""",
+    "created_tables": f"SELECT {CELL} FROM ({CELLS_STD}) UNION ALL SELECT {CELL} FROM ({CELLS_SUPER})",
 }

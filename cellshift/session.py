@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -12,11 +10,10 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Joins whose partitions all turn out small are hashed instead of sorted.
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
-    # A snapshot table bucketed on the path hash joins on hash and path without a
-    # shuffle.
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # No side is broadcast on an estimate: a small file may hold very many cells. After
+    # a shuffle its size is measured, and up to this it is.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
     # Rewriting snapshot or cycle N leaves every other partition alone.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -33,12 +30,8 @@ def engine_session(builder: SparkSession.Builder | None = None) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder for state that must outlive an executor.
 
-    The cluster names it in `spark.checkpoint.dir`. Only a local session, where
-    driver and executors are one process, may fall back to a temporary folder.
+    The cluster names it in `spark.checkpoint.dir`; a session without one uses its
+    warehouse, the other place that driver and executors share.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    return tempfile.mkdtemp(prefix="cellshift-")
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")

@@ -9,12 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cellshift.functions.cycles import after, micros
 from cellshift.model import CELL_COLUMNS
 
+RESERVED = "__cell_"
+
 
 def column_names(prefix: str, count: int) -> list[str]:
     """`prefix0 .. prefix<count-1>`, for families and for super columns alike."""
     return [f"{prefix}{i}" for i in range(count)]
 
 
+def _column(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _source(keyspace: str, column_family: str) -> list[Column]:
     return [
         F.lit(keyspace).alias("keyspace"),
@@ -41,17 +48,22 @@ def flatten_standard(
     if not isinstance(columns, Mapping):
         columns = {c: c for c in columns}
     values = {
-        name: (F.col(c) if isinstance(c, str) else c).cast("string")
+        name: (_column(c) if isinstance(c, str) else c).cast("string")
         for name, c in columns.items()
     }
-    head = [*_source(keyspace, column_family), F.col(key).cast("string").alias("row_key")]
+    head = [*_source(keyspace, column_family), _column(key).cast("string").alias("row_key")]
     if isinstance(ts, str):
         rows = df if since is None else df.where(after(df, ts, since))
+        # Cells may be named like the ids: those wait under reserved names.
+        ids = [f"{RESERVED}{n}" for n in ("keyspace", "column_family", "row_key", "ts")]
         wide = rows.select(
-            *head, micros(df, ts).alias("ts"), *[v.alias(n) for n, v in values.items()]
+            *[c.alias(i) for c, i in zip([*head, micros(df, ts)], ids)],
+            *[v.alias(n) for n, v in values.items()],
+        )
+        cells = wide.unpivot(ids, [_column(n) for n in values], "column_name", "value")
+        cells = cells.select(
+            *[F.col(i).alias(i.removeprefix(RESERVED)) for i in ids], "column_name", "value"
         )
-        ids = ["keyspace", "column_family", "row_key", "ts"]
-        cells = wide.unpivot(ids, list(values), "column_name", "value")
     else:
         entries = [
             F.struct(
@@ -69,15 +81,29 @@ def flatten_standard(
     )
 
 
+def _written_after(subs: Column, since: int | None) -> Column:
+    """The entries of a `map<name, struct<value, ts>>` written later; all without a time."""
+    return subs if since is None else F.map_filter(subs, lambda _, cell: cell["ts"] > since)
+
+
 def flatten_map(
-    df: DataFrame, key: str, columns: str, *, keyspace: str, column_family: str
+    df: DataFrame,
+    key: str,
+    columns: str,
+    *,
+    keyspace: str,
+    column_family: str,
+    since: int | None = None,
 ) -> DataFrame:
-    """Rows whose cells sit in a `map<name, struct<value, ts>>`."""
+    """Rows whose cells sit in a `map<name, struct<value, ts>>`.
+
+    `since` keeps cells written later; it is applied to the map, before it is expanded.
+    """
     return df.select(
         *_source(keyspace, column_family),
-        F.col(key).cast("string").alias("row_key"),
+        _column(key).cast("string").alias("row_key"),
         F.lit(None).cast("string").alias("super_column"),
-        F.explode(columns).alias("column_name", "cell"),
+        F.explode(_written_after(_column(columns), since)).alias("column_name", "cell"),
     ).select(
         *CELL_COLUMNS[:-2], F.col("cell.value").alias("value"), F.col("cell.ts").alias("ts")
     ).where(F.col("value").isNotNull())
@@ -91,16 +117,25 @@ def flatten_super(
     keyspace: str,
     column_family: str,
     super_columns: Sequence[str] | None = None,
+    since: int | None = None,
 ) -> DataFrame:
     """Rows of `map<super, map<name, struct<value, ts>>>`, all sub-columns of each
-    super column; `super_columns` limits which super columns are read."""
+    super column. `super_columns` limits which super columns are read, `since` keeps
+    cells written later; both are applied to the maps, before those are expanded."""
+    wanted = _column(columns)
+    if super_columns is not None:
+        names = list(super_columns)
+        wanted = F.map_filter(wanted, lambda name, _: name.isin(names))
+    if since is not None:
+        wanted = F.map_filter(
+            F.transform_values(wanted, lambda _, subs: _written_after(subs, since)),
+            lambda _, subs: F.cardinality(subs) > 0,
+        )
     supers = df.select(
         *_source(keyspace, column_family),
-        F.col(key).cast("string").alias("row_key"),
-        F.explode(columns).alias("super_column", "subs"),
+        _column(key).cast("string").alias("row_key"),
+        F.explode(wanted).alias("super_column", "subs"),
     )
-    if super_columns is not None:
-        supers = supers.where(F.col("super_column").isin(list(super_columns)))
     return supers.select(
         "keyspace", "column_family", "row_key", "super_column",
         F.explode("subs").alias("column_name", "cell"),
@@ -125,7 +160,11 @@ def read_cells(
     column_family: str,
     since: int | None = None,
 ) -> DataFrame:
-    """Cells of a Parquet folder or a table; only the named columns are scanned."""
+    """Cells of a Parquet folder or a table; only the named columns are scanned.
+
+    What holds a `/` is a folder. Give any other source as DataFrame to
+    `flatten_standard`.
+    """
     df = spark.read.parquet(source) if "/" in source else spark.table(source)
     return flatten_standard(
         df, key, columns, ts, keyspace=keyspace, column_family=column_family, since=since

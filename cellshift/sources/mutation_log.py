@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window, functions as F
+from pyspark.sql.streaming.readwriter import DataStreamReader
 
 from cellshift.functions.cells import FLAG_DELETION, FLAG_INSERTION, op_from_flag
-from cellshift.model import DEL, MUTATION_COLUMNS, ROW_KEYS
+from cellshift.model import DEL, MUTATION_COLUMNS
 
 # Fixed values of the line layout: deletion markers of a live row or super column.
 LIVE_LOCAL_DELETION = "-2147483648"
 LIVE_MARKED_FOR_DELETE = "-9223372036854775808"
 
 SEPARATOR = "]["
+# Where a line was read, see `log_lines`.
+FILE_COLUMNS = ("file_time", "file_path", "file_block")
 
 
 def _line(*fields: Column | str) -> Column:
@@ -24,7 +27,8 @@ def render_log(mutations: DataFrame, is_super: bool = False) -> DataFrame:
 
     Without a column name the mutation deletes its super column, or its whole row
     when it has no super column either; the local deletion time of such a line is
-    the mutation time in seconds.
+    the mutation time in seconds. Text has no null: a null value is written as an empty
+    one and read back as such.
     """
     flag = F.when(F.col("op") == DEL, str(FLAG_DELETION)).otherwise(str(FLAG_INSERTION))
     ts = F.col("ts").cast("string")
@@ -65,33 +69,40 @@ def _shapes(is_super: bool) -> dict[int, tuple[Column, ...]]:
 
     Twelve fields are a cell of a standard family or the deletion of a super column.
     """
-    f = F.col("f")
+    def f(i: int) -> Column:
+        return F.get("f", F.lit(i))
+
     none = F.lit(None).cast("string")
-    shapes = {8: (none, none, F.lit(DEL), none, f[6])}
+    shapes = {8: (none, none, F.lit(DEL), none, f(6))}
     if is_super:
-        shapes[12] = (f[8], none, F.lit(DEL), none, f[11])
-        shapes[17] = (f[8], f[13], op_from_flag(f[14].cast("int")), f[16], f[15])
+        shapes[12] = (f(8), none, F.lit(DEL), none, f(11))
+        shapes[17] = (f(8), f(13), op_from_flag(f(14).try_cast("int")), f(16), f(15))
     else:
-        shapes[12] = (none, f[8], op_from_flag(f[9].cast("int")), f[11], f[10])
+        shapes[12] = (none, f(8), op_from_flag(f(9).try_cast("int")), f(11), f(10))
     return shapes
 
 
 def _mutation(is_super: bool) -> Column:
-    """The line as an array of one mutation; null for an unknown shape or operation."""
-    f = F.col("f")
+    """The line as an array of one mutation.
+
+    Null for an unknown shape or operation, and for a flag or time that is no number.
+    """
+    def f(i: int) -> Column:
+        return F.get("f", F.lit(i))
+
     mutation = F.lit(None)
     for size, (super_column, column_name, op, value, ts) in _shapes(is_super).items():
         fields = F.struct(
-            f[0].alias("keyspace"),
-            f[3].alias("column_family"),
-            f[1].alias("row_key"),
+            f(0).alias("keyspace"),
+            f(3).alias("column_family"),
+            f(1).alias("row_key"),
             super_column.alias("super_column"),
             column_name.alias("column_name"),
             op.alias("op"),
             value.alias("value"),
-            ts.cast("bigint").alias("ts"),
+            ts.try_cast("bigint").alias("ts"),
         )
-        known = (F.size(f) == size) & op.isNotNull()
+        known = (F.size("f") == size) & op.isNotNull() & ts.try_cast("bigint").isNotNull()
         mutation = F.when(known, F.array(fields)).otherwise(mutation)
     return mutation
 
@@ -100,11 +111,20 @@ def parse_log(lines: DataFrame, is_super: bool = False) -> DataFrame:
     """Mutations of log lines (column `value`).
 
     The kind of family must be given, since one line shape has two meanings. `seq`
-    breaks ties between equal time stamps; it is taken from the input when there,
-    else from the read order. A stream has no read order before its batches are cut:
-    there `seq` stays null. Lines of no known shape or operation are left out, see
-    `rejected_log_lines`.
+    breaks ties between equal time stamps; it is taken from the input when there, for
+    `log_lines` from the order of the files, else from the read order. A stream has no
+    order before its batches are cut: there `seq` stays null, and the columns of
+    `log_lines` stay beside the mutation. Lines of no known shape or operation, or with
+    a flag or time that is no number, are left out, see `rejected_log_lines`;
+    `split_log` keeps them.
     """
+    if set(FILE_COLUMNS) <= set(lines.columns) and "seq" not in lines.columns:
+        if lines.isStreaming:
+            keep = [*FILE_COLUMNS]
+        else:
+            lines, keep = with_read_order(lines), []
+    else:
+        keep = []
     if "seq" in lines.columns:
         seq = F.col("seq").cast("bigint")
     elif lines.isStreaming:
@@ -113,25 +133,64 @@ def parse_log(lines: DataFrame, is_super: bool = False) -> DataFrame:
         seq = F.monotonically_increasing_id()
     # Expanding an array of one or none skips the rejected lines without parsing
     # every line a second time in a filter.
-    fields = _fields(lines.select("value", seq.alias("seq")), is_super)
-    return fields.select("seq", F.inline(_mutation(is_super))).select(*MUTATION_COLUMNS)
+    fields = _fields(lines.select("value", *keep, seq.alias("seq")), is_super)
+    return fields.select("seq", *keep, F.inline(_mutation(is_super))).select(*MUTATION_COLUMNS, *keep)
+
+
+def split_log(lines: DataFrame, is_super: bool = False) -> DataFrame:
+    """As `parse_log`, but rejected lines stay, as rows with null for every mutation
+    column and the line in column `rejected`. One pass for both."""
+    keep = [c for c in (*FILE_COLUMNS, "seq") if c in lines.columns]
+    rows = _fields(lines.select("value", *keep), is_super)
+    rows = rows.withColumn("mutation", _mutation(is_super))
+    rejected = F.when(F.col("mutation").isNull(), F.col("value"))
+    rows = rows.select(rejected.alias("rejected"), *keep, F.inline_outer("mutation"))
+    if "seq" not in keep:
+        rows = rows.withColumn("seq", F.lit(None).cast("bigint"))
+    return rows.select(*MUTATION_COLUMNS, "rejected", *[c for c in keep if c != "seq"])
+
+
+def log_lines(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
+    """The lines of a log folder (`spark.read` or `spark.readStream`) and their places."""
+    source = F.col("_metadata")
+    return reader.schema("value string").text(path).select(
+        "value",
+        source["file_modification_time"].alias("file_time"),
+        source["file_path"].alias("file_path"),
+        source["file_block_start"].alias("file_block"),
+    )
+
+
+def with_read_order(df: DataFrame) -> DataFrame:
+    """`seq` by the files' times, then their paths, then the place within the file.
+
+    Spark deals files out by size, so the order in which it reads them says nothing. The
+    files are numbered from one row each; a place is the number of its 4 MB block and
+    the row's number in its task, so 2**19 files, 1 TB a file and 2**26 rows a task fit.
+    """
+    placed = df.withColumn("seq", F.monotonically_increasing_id().bitwiseAND((1 << 26) - 1))
+    files = placed.select("file_time", "file_path").distinct()
+    nth = F.row_number().over(Window.orderBy("file_time", "file_path"))
+    numbered = files.select(
+        F.col("file_time").alias("t"), F.col("file_path").alias("p"), nth.cast("bigint").alias("nth")
+    )
+    block = F.expr("file_block div 4194304")
+    seq = F.shiftleft("nth", 44) + F.shiftleft(block, 26) + F.col("seq")
+    joined = placed.join(numbered, (F.col("file_time") == F.col("t")) & (F.col("file_path") == F.col("p")))
+    return joined.withColumn("seq", seq).drop("t", "p", "nth", *FILE_COLUMNS)
 
 
 def rejected_log_lines(lines: DataFrame, is_super: bool = False) -> DataFrame:
-    """The lines `parse_log` leaves out."""
+    """The lines `parse_log` leaves out, in a pass of their own."""
     rejected = F.when(_mutation(is_super).isNull(), F.array("value"))
     return _fields(lines, is_super).select(F.explode(rejected).alias("value"))
 
 
 def read_log(spark: SparkSession, path: str, is_super: bool = False) -> DataFrame:
-    return parse_log(spark.read.text(path), is_super)
+    """The mutations of a log folder, in the order of its files."""
+    return parse_log(log_lines(spark.read, path), is_super)
 
 
 def write_log(mutations: DataFrame, path: str, is_super: bool = False) -> None:
     """Append the lines of `mutations` to the log folder."""
     render_log(mutations, is_super).write.mode("append").text(path)
-
-
-def row_path(df: DataFrame) -> DataFrame:
-    """The `ks/cf/key` text that groups a row's mutations."""
-    return df.select(F.concat_ws("/", *ROW_KEYS).alias("key"), "*")

@@ -6,7 +6,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellshift.functions.text import parse_path
-from cellshift.model import CELL_COLUMNS, CELL_SCHEMA, PATH, PATH_HASH
+from cellshift.model import (
+    CELL_COLUMNS,
+    CELL_KEYS,
+    CELL_SCHEMA,
+    PATH_HASH,
+    cell_path,
+    with_cell,
+)
 
 
 def store_snapshot(cells: DataFrame, base: str, number: int) -> None:
@@ -25,18 +32,20 @@ def load_snapshot(spark: SparkSession, base: str, number: int) -> DataFrame | No
 
 
 def store_snapshot_table(cells: DataFrame, table: str, number: int, buckets: int) -> None:
-    """As `store_snapshot`, into table `<table>_<number>`, bucketed on a hash of the path.
+    """As `store_snapshot`, into table `<table>_<number>`, bucketed on the join keys.
 
     The shuffle happens once per snapshot, here. A differential of two such tables
     with the same number of buckets joins bucket by bucket without a shuffle. The
-    hash covers the whole path, so the cells of one long row spread over all buckets.
+    keys cover the whole path, so the cells of one long row spread over all buckets.
+    They are stored beside the path's columns.
     """
+    keyed = with_cell(cells.select(*CELL_COLUMNS))
     (
-        cells.select(*CELL_COLUMNS, F.xxhash64(*PATH).alias(PATH_HASH))
-        .repartition(buckets, PATH_HASH)
+        keyed.select(*cell_path(), "value", "ts", PATH_HASH, "cell")
+        .repartition(buckets, *CELL_KEYS)
         .write.mode("overwrite")
-        .bucketBy(buckets, PATH_HASH)
-        .sortBy(PATH_HASH)
+        .bucketBy(buckets, *CELL_KEYS)
+        .sortBy(*CELL_KEYS)
         .saveAsTable(f"{table}_{number}")
     )
 
@@ -50,14 +59,14 @@ def parse_snapshot(lines: DataFrame) -> DataFrame:
     """Cells of `ks/cf/key/super/col<TAB>ts/value` lines (column `value`).
 
     The line is split once, at the first tab, so that values keep their blanks; a
-    row key may hold `/`.
+    row key may hold `/`. A time that is no number is read as null.
     """
     parts = F.split("value", "\t", 2)
-    stamped = F.split(parts[1], "/", 2)
+    stamped = F.split(F.get(parts, F.lit(1)), "/", 2)
     return lines.select(
-        *parse_path(parts[0]),
-        stamped[1].alias("value"),
-        stamped[0].cast("bigint").alias("ts"),
+        *parse_path(F.get(parts, F.lit(0))),
+        F.get(stamped, F.lit(1)).alias("value"),
+        F.get(stamped, F.lit(0)).try_cast("bigint").alias("ts"),
     )
 
 

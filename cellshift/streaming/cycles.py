@@ -1,14 +1,21 @@
 """Extraction cycles over a mutation log that keeps growing.
 
 Each cycle is one micro-batch. The stream's checkpoint takes the place of the saved
-cycle, and no watermark is needed: the rows a batch touches are collapsed over their
-whole history, so after every batch the results equal one run over all input.
+cycle, and no watermark is needed: after every batch the results equal one run over all
+input. What a row needs for that are a few mutations of each of its cells
+(`reduce_log`), so they are its state, and the log itself is never read again.
 
-All state lives in Parquet folders next to each other:
+All state lives in Parquet folders next to each other, a folder for each batch:
 
-    history/bucket=B/batch=N    mutations, bucketed by row; `arrived` is their batch
-    touched/batch=N             rows whose results batch N replaced
-    changes/batch=N             their results
+    arrived                     the mutations of the last batch, as they came
+    rejected/batch=N            the lines of batch N that are no mutations
+    state/batch=N/bucket=B      state of the rows that batch N touched, by hash of the row
+    touched/batch=N/bucket=B    those rows
+    changes/batch=N/bucket=B    their results
+
+Every `merge_every`-th batch takes up all rows instead of those it touches and so makes
+older folders void: a batch reads the folders since then, those of its own buckets. The
+void folders can be removed at any time (`void_batches`).
 
 A batch writes only folders of its own number and replaces them when it is tried
 again, so a lost executor or a restarted query repeats work but never doubles it.
@@ -28,48 +35,75 @@ from cellshift.model import (
     MUTATION_COLUMNS,
     MUTATION_SCHEMA,
     ROW_KEYS,
+    TRACKING_COLUMNS,
+    TRACKING_SCHEMA,
     UP_OLD,
     row_struct,
 )
 from cellshift.operators.grouping import RANK, newest
-from cellshift.operators.log import changes_by_log
-from cellshift.operators.tracking import CELL, changes_by_tracking, maintain_tracking
+from cellshift.operators.log import changes_by_log, reduce_log
+from cellshift.operators.tracking import CELL, changes_by_tracking, tracking_step
+from cellshift.sources.mutation_log import FILE_COLUMNS, with_read_order
 from cellshift.sources.sinks import append_changes
-from cellshift.sources.tables import load_tracking, write_tracking
 
 BUCKETS = 64
+MERGE_EVERY = 16
 # Read order across batches: time, then batch, then order within the batch.
 ORDER = ("ts", "arrived", "seq")
-# The batch number of everything `compact_state` has merged.
-MERGED = -1
 
-def _read(spark: SparkSession, base: str, schema: str, *folders: str) -> DataFrame:
-    """Rows below `base`, of all folders or of those named; none where there are none."""
-    paths = [f"{base}/{f}" for f in folders] or [base]
+
+def _read(spark: SparkSession, base: str, schema: str, batches: list[int]) -> DataFrame:
+    """The rows below `base` that the given batches wrote."""
+    if not batches:
+        return spark.createDataFrame([], schema)
+    paths = [f"{base}/batch={n}" for n in batches]
+    return spark.read.schema(schema).option("basePath", base).parquet(*paths)
+
+
+def _last_batch(spark: SparkSession, base: str) -> int | None:
+    """The last batch with a folder below `base`."""
     try:
-        return spark.read.schema(schema).option("basePath", base).parquet(*paths)
+        folders = spark.read.schema("batch bigint").parquet(base)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return None
+    return folders.agg(F.max("batch")).first()[0]
 
 
-def _write(df: DataFrame, path: str, *partitions: str) -> None:
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*partitions)
-        .parquet(path)
-    )
+def _write(df: DataFrame, path: str, number: int, *partitions: str) -> None:
+    """Replace folder `batch=number`. One file per bucket where they are small, several
+    tasks for a hot one."""
+    df = df.hint("rebalance", *partitions) if partitions else df
+    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
+        *partitions
+    ).parquet(f"{path}/batch={number}")
 
 
 def _ddl(schema) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
 
 
-_HISTORY = f"{_ddl(MUTATION_SCHEMA)}, arrived bigint, bucket int, batch bigint"
-_TOUCHED = "keyspace string, column_family string, row_key string, batch bigint"
-_CHANGES = f"{_ddl(CHANGE_SCHEMA)}, batch bigint"
+_STATE = f"{_ddl(MUTATION_SCHEMA)}, arrived bigint, bucket int, batch bigint"
+_TOUCHED = "keyspace string, column_family string, row_key string, bucket int, batch bigint"
+_CHANGES = f"{_ddl(CHANGE_SCHEMA)}, bucket int, batch bigint"
+
+
+def first_batch(number: int, merge_every: int = MERGE_EVERY) -> int:
+    """The first batch whose folders still count when batch `number` is through."""
+    return number // merge_every * merge_every
+
+
+def void_batches(number: int, merge_every: int = MERGE_EVERY) -> range:
+    """The batches whose folders nothing reads any more once batch `number` is through.
+
+    Batch `number` itself may still be tried again, so what it starts from is kept.
+    """
+    return range(first_batch(number - 1, merge_every)) if number > 0 else range(0)
+
+
+def _batches(number: int, merge_every: int) -> list[int]:
+    return list(range(first_batch(number, merge_every), number + 1))
 
 
 def collapse_batch(
@@ -79,83 +113,71 @@ def collapse_batch(
     mode: str = "classified",
     scope: str = "row",
     buckets: int = BUCKETS,
+    merge_every: int = MERGE_EVERY,
 ) -> None:
-    """Add one batch of mutations to the history and replace its rows' results."""
+    """Add one batch of mutations to the state and replace its rows' results.
+
+    Rows of `split_log` with a rejected line go to `rejected`, with their line.
+    """
     spark = batch.sparkSession
+    if "rejected" in batch.columns:
+        lines = batch.where(F.col("rejected").isNotNull()).select(F.col("rejected").alias("value"))
+        _write(lines, f"{base}/rejected", number)
+        batch = batch.where(F.col("rejected").isNull())
+    if set(FILE_COLUMNS) <= set(batch.columns):
+        batch = with_read_order(batch)
     bucket = F.pmod(F.xxhash64(*ROW_KEYS), F.lit(buckets)).cast("int")
-    # A batch is read in the same order when it is tried again.
-    rows = batch.select(*MUTATION_COLUMNS).withColumns(
+    # Written once, so that all that follows sees one order.
+    batch.select(*MUTATION_COLUMNS).withColumns(
         {
             "seq": F.coalesce("seq", F.monotonically_increasing_id()),
             "arrived": F.lit(number).cast("bigint"),
-            "batch": F.lit(number).cast("bigint"),
             "bucket": bucket,
         }
-    )
-    # One file per bucket where they are small, several tasks for a hot one.
-    _write(rows.hint("rebalance", "bucket"), f"{base}/history", "bucket", "batch")
-
-    own = _read(spark, f"{base}/history", _HISTORY, f"bucket=*/batch={number}")
-    keys = own.select(*ROW_KEYS).distinct()
-    # At most `buckets` numbers come to the driver; only their folders are listed.
-    hit = [r[0] for r in own.select("bucket").distinct().collect()]
-    if not hit:
-        return
-    history = _read(
-        spark, f"{base}/history", _HISTORY, *[f"bucket={b}" for b in sorted(hit)]
-    ).where(F.col("batch") <= number)
-    _write(
-        keys.withColumn("batch", F.lit(number).cast("bigint")),
-        f"{base}/touched",
-        "batch",
-    )
+    ).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{base}/arrived")
+    own = spark.read.schema(f"{_ddl(MUTATION_SCHEMA)}, arrived bigint, bucket int").parquet(f"{base}/arrived")
+    hit = own.select(*ROW_KEYS, "bucket").distinct()
+    before = _batches(number - 1, merge_every) if number else []
+    if number % merge_every == 0:
+        known = _read(spark, f"{base}/touched", _TOUCHED, before)
+        hit = hit.unionByName(known.select(*ROW_KEYS, "bucket")).distinct()
+    # At most `buckets` numbers come to the driver; only their folders are read.
+    numbers = sorted(r[0] for r in hit.select("bucket").distinct().collect())
+    own_buckets = F.col("bucket").isin(numbers)
+    touched = _read(spark, f"{base}/touched", _TOUCHED, before).where(own_buckets)
+    state = _current(touched, _read(spark, f"{base}/state", _STATE, before).where(own_buckets))
     # Joined on the struct, built after the grouping: a hot row can be split.
-    rows_hit = keys.select(row_struct())
-    touched = history.select("*", row_struct()).join(rows_hit, "row", "left_semi").drop("row")
-    changes = changes_by_log(touched, mode, scope, order=ORDER)
-    _write(
-        changes.withColumn("batch", F.lit(number).cast("bigint")), f"{base}/changes", "batch"
-    )
+    state = state.select("*", row_struct()).join(hit.select(row_struct()), "row", "left_semi")
+    columns = [*MUTATION_COLUMNS, "arrived"]
+    reduced = reduce_log(state.select(*columns).unionByName(own.select(*columns)), ORDER)
+    _write(reduced.withColumn("bucket", bucket), f"{base}/state", number, "bucket")
+    _write(hit, f"{base}/touched", number, "bucket")
+    now = _read(spark, f"{base}/state", _STATE, [number])
+    changes = changes_by_log(now.drop("bucket", "batch"), mode, scope, order=ORDER)
+    _write(changes.withColumn("bucket", bucket), f"{base}/changes", number, "bucket")
 
 
-def current_changes(spark: SparkSession, base: str) -> DataFrame:
+def current_changes(spark: SparkSession, base: str, merge_every: int = MERGE_EVERY) -> DataFrame:
     """The results of all batches: for each row those of the last batch to touch it."""
-    touched = _read(spark, f"{base}/touched", _TOUCHED)
-    changes = _read(spark, f"{base}/changes", _CHANGES)
+    last = _last_batch(spark, f"{base}/touched")
+    batches = [] if last is None else _batches(last, merge_every)
+    touched = _read(spark, f"{base}/touched", _TOUCHED, batches)
+    changes = _read(spark, f"{base}/changes", _CHANGES, batches)
     return _current(touched, changes).select(*CHANGE_COLUMNS)
 
 
-def _current(touched: DataFrame, changes: DataFrame) -> DataFrame:
-    last = touched.groupBy(*ROW_KEYS).agg(F.max("batch").alias("batch"))
-    version = F.struct(*ROW_KEYS, "batch").alias("version")
-    return changes.select("*", version).join(last.select(version), "version", "left_semi")
-
-
-def compact_state(spark: SparkSession, base: str, target: str) -> None:
-    """Write the state under `base` to the new folder `target`, merged into few files.
-
-    Run it between cycles and give `target` to the next one, with the same checkpoint.
-    All batches but the last become one; the last stays apart, so that it can still be
-    tried again.
-    """
-    touched = _read(spark, f"{base}/touched", _TOUCHED)
-    changes = _read(spark, f"{base}/changes", _CHANGES)
-    history = _read(spark, f"{base}/history", _HISTORY)
-    last = touched.agg(F.max("batch")).first()[0]
+def rejected_lines(spark: SparkSession, base: str) -> DataFrame:
+    """(value, batch): the lines that were no mutations, and when they came."""
+    last = _last_batch(spark, f"{base}/rejected")
     if last is None:
-        return
-    merged = F.when(F.col("batch") < last, MERGED).otherwise(F.col("batch")).cast("bigint")
+        return spark.createDataFrame([], "value string, batch bigint")
+    return spark.read.schema("value string, batch bigint").parquet(f"{base}/rejected")
 
-    def move(df: DataFrame, folder: str, *partitions: str) -> None:
-        moved = df.withColumn("batch", merged).hint("rebalance", *partitions)
-        _write(moved, f"{target}/{folder}", *partitions)
 
-    move(history, "history", "bucket", "batch")
-    earlier = F.col("batch") < last
-    move(touched.where(earlier).dropDuplicates(ROW_KEYS).unionByName(touched.where(~earlier)),
-         "touched", "batch")
-    before = _current(touched.where(earlier), changes.where(earlier)).drop("version")
-    move(before.unionByName(changes.where(~earlier)), "changes", "batch")
+def _current(touched: DataFrame, rows: DataFrame) -> DataFrame:
+    last = touched.groupBy(*ROW_KEYS).agg(F.max("batch").alias("batch"))
+    version = F.struct(*ROW_KEYS, "batch").alias("version")
+    return rows.select("*", version).join(last.select(version), "version", "left_semi")
 
 
 def run_cycle(
@@ -165,40 +187,73 @@ def run_cycle(
     mode: str = "classified",
     scope: str = "row",
     buckets: int = BUCKETS,
+    merge_every: int = MERGE_EVERY,
 ) -> StreamingQuery:
     """Process all mutations that arrived since the last cycle, then stop.
 
-    `mutations` is a streaming DataFrame, such as `parse_log` over
-    `spark.readStream.text(...)`.
+    `mutations` is a streaming DataFrame, such as `split_log` over
+    `log_lines(spark.readStream, ...)`. Keep `buckets` and `merge_every` as they are for
+    the life of a state.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        collapse_batch(batch, number, base, mode, scope, buckets)
+        collapse_batch(batch, number, base, mode, scope, buckets, merge_every)
 
     return _start(mutations, checkpoint, step)
 
 
+_VERSIONED = f"{_ddl(TRACKING_SCHEMA)}, gone boolean, batch bigint"
+
+
 def maintain_batch(
-    batch: DataFrame, number: int, base: str, now: int, source_table: str | None = None
+    batch: DataFrame,
+    number: int,
+    base: str,
+    now: int,
+    source_table: str | None = None,
+    merge_every: int = MERGE_EVERY,
 ) -> None:
     """One cycle of a tracking table: extract what is pending, then maintain it.
 
-    `batch` holds the pending rows that arrived; one that repeats a pending (row,
-    state, column) replaces it, as a later write would. Versions are folders
-    `base/version=N`; batch N reads version N and writes N + 1, so a repeated batch
-    starts from the same table.
+    `batch` holds the rows that arrived; one that repeats a pending (row, state, column)
+    replaces it, as a later write would, and rows in `up_old` found the table. Batch N
+    writes what it changed: `pending/batch=N`, all that is still pending after it, and
+    `old/batch=N`, the `up_old` rows it wrote or took away (`gone`); every
+    `merge_every`-th batch all `up_old` rows. A repeated batch starts from the same
+    folders.
     """
     spark = batch.sparkSession
-    before = load_tracking(spark, f"{base}/version={number}")
-    waiting = before.where(F.col("state") != UP_OLD)
-    arrived = batch.where(F.col("state") != UP_OLD)
-    pending = newest(waiting.unionByName(arrived), [*CELL, "state"], ["ts", "value"])
-    table = before.where(F.col("state") == UP_OLD).unionByName(pending.drop(RANK))
     window = (0, now)
-    append_changes(
-        changes_by_tracking(table, source_table, window), f"{base}/changes", number
-    )
-    write_tracking(maintain_tracking(table, window, now), f"{base}/version={number + 1}")
+    waiting = _read(spark, f"{base}/pending", f"{_ddl(TRACKING_SCHEMA)}, batch bigint", [number - 1] if number else [])
+    arrived = batch.select(*TRACKING_COLUMNS)
+    pending = waiting.select(*TRACKING_COLUMNS).unionByName(arrived.where(F.col("state") != UP_OLD))
+    pending = newest(pending, [*CELL, "state"], ["ts", "value"]).drop(RANK)
+    append_changes(changes_by_tracking(pending, source_table, window), f"{base}/changes", number)
+    still, promoted, retired = tracking_step(pending, window, now)
+    _write(still, f"{base}/pending", number)
+    founded = newest(arrived.where(F.col("state") == UP_OLD), CELL, ["ts", "value"]).drop(RANK)
+    rest = founded.join(promoted.unionByName(retired), CELL, "left_anti").select(*TRACKING_COLUMNS)
+    written = promoted.unionByName(rest)
+    delta = written.withColumn("gone", F.lit(False)).unionByName(retired.withColumn("gone", F.lit(True)))
+    if number % merge_every == 0:
+        before = _old_rows(spark, base, number - 1, merge_every) if number else None
+        if before is not None:
+            kept = before.join(delta.select(*CELL), CELL, "left_anti").withColumn("gone", F.lit(False))
+            delta = kept.unionByName(delta.where(~F.col("gone")))
+    _write(delta, f"{base}/old", number)
+
+
+def _old_rows(spark: SparkSession, base: str, number: int, merge_every: int) -> DataFrame:
+    """The `up_old` rows after batch `number`: of each cell what was written last."""
+    deltas = _read(spark, f"{base}/old", _VERSIONED, _batches(number, merge_every))
+    last = newest(deltas, CELL, ["batch"]).where(~F.col("gone"))
+    return last.select(*TRACKING_COLUMNS)
+
+
+def current_tracking(spark: SparkSession, base: str, number: int, merge_every: int = MERGE_EVERY) -> DataFrame:
+    """The whole tracking table after batch `number`."""
+    pending = _read(spark, f"{base}/pending", f"{_ddl(TRACKING_SCHEMA)}, batch bigint", [number])
+    return pending.select(*TRACKING_COLUMNS).unionByName(_old_rows(spark, base, number, merge_every))
 
 
 def run_tracking_cycle(
@@ -207,11 +262,12 @@ def run_tracking_cycle(
     base: str,
     clock: Callable[[], int],
     source_table: str | None = None,
+    merge_every: int = MERGE_EVERY,
 ) -> StreamingQuery:
     """Run `maintain_batch` on the tracking rows that arrived since the last cycle."""
 
     def step(batch: DataFrame, number: int) -> None:
-        maintain_batch(batch, number, base, clock(), source_table)
+        maintain_batch(batch, number, base, clock(), source_table, merge_every)
 
     return _start(arrivals, checkpoint, step)
 

@@ -20,10 +20,11 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+    # The tracking table after streaming cycles is checked against a step by step run.
+    assert set(QUERIES) == {*SQL, "stream_tracking"}
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, duck, name):
     frame = QUERIES[name](spark, SF)
     result = duck.execute(SQL[name])
@@ -47,7 +48,7 @@ SHUFFLES = {
     "diff_inserts": 2,
     "diff_deletes": 2,
     "diff_updates": 2,
-    "audit_changes": 2,
+    "audit_changes": 1,
     "log_latest": 1,
     "log_net_changes": 1,
     "log_changes_upsert": 4,

@@ -1,16 +1,18 @@
 import random
+import shutil
 
 from conftest import rows
 from test_log import random_log
 
-from cellshift import changes_by_log, create_tracking, parse_log, run_cycle, write_log
+from cellshift import changes_by_log, log_lines, rejected_lines, run_cycle, split_log, write_log
+from cellshift.operators.log import reduce_log
 from cellshift.streaming.cycles import (
     collapse_batch,
-    compact_state,
     current_changes,
-    load_tracking,
+    current_tracking,
     maintain_batch,
     run_tracking_cycle,
+    void_batches,
 )
 from cellshift.model import MUTATION_SCHEMA, TRACKING_SCHEMA
 
@@ -23,7 +25,7 @@ def test_cycles_equal_one_run_over_all_input(spark, mutations, tmp_path):
     for start in range(0, len(made), 200):
         # Coalesced, so that the lines of a part are read in the order written.
         write_log(mutations(*made[start : start + 200]).coalesce(1), path, is_super=True)
-        stream = parse_log(spark.readStream.schema("value string").text(path), is_super=True)
+        stream = split_log(log_lines(spark.readStream, path), is_super=True)
         query = run_cycle(stream, str(tmp_path / "checkpoint"), state, scope="super", buckets=4)
         query.awaitTermination()
     found = current_changes(spark, state)
@@ -44,26 +46,51 @@ def test_a_repeated_batch_changes_nothing(spark, mutations, tmp_path):
     assert rows(current_changes(spark, base)) == rows(changes_by_log(mutations(*made)))
 
 
-def test_compaction_keeps_results_and_history(spark, mutations, tmp_path):
+def test_merged_batches_void_the_ones_before(spark, mutations, tmp_path):
     made = random_log(13, [None, "s"])
-    parts = [mutations(*made[i : i + 150]) for i in range(0, 600, 150)]
-    bases = [str(tmp_path / name) for name in "abc"]
-    compact_state(spark, bases[0], str(tmp_path / "unused"))  # nothing there yet
-    for number in (0, 1):
-        collapse_batch(parts[number], number, bases[0], buckets=4)
-    compact_state(spark, bases[0], bases[1])
-    collapse_batch(parts[1], 1, bases[1], buckets=4)  # the last batch is tried again
-    expected = changes_by_log(mutations(*made[:300]))
-    assert rows(current_changes(spark, bases[1])) == rows(expected)
-    collapse_batch(parts[2], 2, bases[1], buckets=4)
-    compact_state(spark, bases[1], bases[2])
-    collapse_batch(parts[3], 3, bases[2], buckets=4)
-    assert rows(current_changes(spark, bases[2])) == rows(changes_by_log(mutations(*made)))
-    assert {p.name for p in (tmp_path / "c" / "changes").glob("batch=*")} == {
-        "batch=-1",
-        "batch=2",
-        "batch=3",
-    }
+    base = str(tmp_path / "state")
+    parts = [mutations(*made[i : i + 100]) for i in range(0, 600, 100)]
+    for number, part in enumerate(parts):
+        collapse_batch(part, number, base, buckets=4, merge_every=2)
+        for void in void_batches(number, 2):
+            for folder in ("state", "touched", "changes"):
+                shutil.rmtree(tmp_path / "state" / folder / f"batch={void}", ignore_errors=True)
+        expected = changes_by_log(mutations(*made[: 100 * (number + 1)]))
+        assert rows(current_changes(spark, base, merge_every=2)) == rows(expected)
+    collapse_batch(parts[-1], len(parts) - 1, base, buckets=4, merge_every=2)  # tried again
+    assert rows(current_changes(spark, base, merge_every=2)) == rows(changes_by_log(mutations(*made)))
+    assert void_batches(5, 2) == range(4) and void_batches(0, 2) == range(0)
+
+
+def test_a_batch_reads_no_mutation_of_the_ones_before(spark, mutations, tmp_path):
+    """Only what a cell needs is state: three mutations of a cell written 500 times."""
+    base = str(tmp_path)
+    for number in range(3):
+        many = [("r", None, "a", "ins", str(i), 1000 * number + i, i) for i in range(500)]
+        collapse_batch(mutations(*many), number, base, buckets=2)
+        state = spark.read.parquet(f"{base}/state/batch={number}")
+        assert state.count() == 3
+    assert rows(current_changes(spark, base), "op", "value", "ts") == [("upd", "499", 2499)]
+
+
+def test_the_reduced_log_has_the_same_changes(spark, mutations):
+    for seed in range(4):
+        log = mutations(*random_log(seed, [None, "s", "t"]))
+        for mode in ("classified", "upsert"):
+            for scope in ("row", "super"):
+                found = changes_by_log(reduce_log(log), mode, scope)
+                assert rows(found) == rows(changes_by_log(log, mode, scope))
+
+
+def test_rejected_lines_are_kept(spark, mutations, tmp_path):
+    path, state = str(tmp_path / "log"), str(tmp_path / "state")
+    write_log(mutations(("r", None, "a", "ins", "1", 5, 0)), path)
+    bad = ["[ks][r][1]", "no line"]
+    spark.createDataFrame([(x,) for x in bad], "value string").write.mode("append").text(path)
+    stream = split_log(log_lines(spark.readStream, path))
+    run_cycle(stream, str(tmp_path / "cp"), state, buckets=2).awaitTermination()
+    assert rows(rejected_lines(spark, state), "value") == sorted((x,) for x in bad)
+    assert rows(current_changes(spark, state), "op", "value") == [("ins", "1")]
 
 
 def test_a_later_deletion_clears_earlier_results(spark, mutations, tmp_path):
@@ -87,16 +114,15 @@ def test_streamed_parquet_mutations(spark, mutations, tmp_path):
 
 def test_tracking_cycles(spark, tracking, tmp_path):
     base, source = str(tmp_path / "tracking"), str(tmp_path / "arrivals")
-    create_tracking(spark, f"{base}/version=0")
     arrivals = [
-        [("r", "ins", "a", "1", 5), ("r", "ins", "b", "1", 5)],
+        [("r", "ins", "a", "1", 5), ("r", "ins", "b", "1", 5), ("r", "up_old", "z", "0", 1)],
         [("r", "up_new", "a", "2", 11), ("r", "up_new", "a", "3", 12), ("r", "del", "b", "1", 13)],
         [("r", "ins", "c", "late", 999)],
     ]
     for i, now in enumerate((10, 20, 30)):
         tracking(*arrivals[i]).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(TRACKING_SCHEMA).parquet(source)
-        query = run_tracking_cycle(stream, str(tmp_path / "cp"), base, lambda: now, "data")
+        query = run_tracking_cycle(stream, str(tmp_path / "cp"), base, lambda: now, "data", merge_every=2)
         query.awaitTermination()
     changes = spark.read.parquet(f"{base}/changes")
     assert rows(changes, "cycle", "op", "column_name", "value") == [
@@ -105,11 +131,15 @@ def test_tracking_cycles(spark, tracking, tmp_path):
         (1, "del", "b", "1"),
         (1, "upd", "a", "3"),
     ]
-    last = load_tracking(spark, f"{base}/version=3")
+    last = current_tracking(spark, base, 2, merge_every=2)
     assert rows(last, "state", "column_name", "value", "ts") == [
         ("ins", "c", "late", 999),
         ("up_old", "a", "3", 20),
+        ("up_old", "z", "0", 1),
     ]
-    maintain_batch(tracking(*arrivals[1]), 1, base, 20, "data")  # tried again
-    again = load_tracking(spark, f"{base}/version=2")
-    assert rows(again, "state", "column_name", "value", "ts") == [("up_old", "a", "3", 20)]
+    # A batch writes what it changed: the row of a, and that b is gone.
+    written = spark.read.parquet(f"{base}/old/batch=1")
+    assert rows(written, "column_name", "gone") == [("a", False), ("b", True)]
+    maintain_batch(tracking(*arrivals[1]), 1, base, 20, "data", merge_every=2)  # tried again
+    again = current_tracking(spark, base, 1, merge_every=2)
+    assert rows(again, "column_name", "value", "ts") == [("a", "3", 20), ("z", "0", 1)]

@@ -1,10 +1,13 @@
+import time
+
 from conftest import rows
 
 from cellshift import parse_log, parse_log_records, render_changes, render_log
 from cellshift.functions.cells import split_audit_name
 from cellshift.functions.text import parse_audit_values, parse_bootstrap, render_lines
 from cellshift.model import as_changes
-from cellshift.sources.mutation_log import read_log, rejected_log_lines, row_path, write_log
+from cellshift.operators.log import latest_mutations
+from cellshift.sources.mutation_log import read_log, rejected_log_lines, split_log, write_log
 from cellshift.sources.tombstones import export_cells
 
 LIVE = "[-2147483648][-9223372036854775808][1]"
@@ -122,8 +125,33 @@ def test_unreadable_lines_are_rejected(spark):
     assert rows(rejected_log_lines(lines)) == sorted([(t,) for t in text[1:]], key=repr)
 
 
-def test_row_path(cells):
-    assert row_path(cells(("r", "c", "v", 1))).first()["key"] == "ks/data/r"
+def test_bad_numbers_are_rejected(spark):
+    live = "[-2147483648][-9223372036854775808][1]"
+    bad = [
+        f"[ks][r][1][data][true]{live}[c][0][soon][v]",
+        f"[ks][r][1][data][true]{live}[c][x][5][v]",
+        "[ks][r][1][data][true][1][never][0]",
+        "[ks][r]",
+    ]
+    good = f"[ks][r][1][data][true]{live}[c][0][5][v]"
+    lines = spark.createDataFrame([(x,) for x in [*bad, good]], "value string")
+    assert rows(parse_log(lines), "column_name", "ts") == [("c", 5)]
+    assert rows(rejected_log_lines(lines), "value") == sorted((x,) for x in bad)
+    both = split_log(lines)
+    assert rows(both.where("rejected is not null"), "rejected", "ts") == sorted((x, None) for x in bad)
+    assert rows(both.where("rejected is null"), "column_name", "ts") == [("c", 5)]
+
+
+def test_the_later_file_wins_whatever_its_size(spark, mutations, tmp_path):
+    path = str(tmp_path / "log")
+    many = [("r", None, f"c{i}", "ins", "x" * 50, 7, 0) for i in range(2000)]
+    write_log(mutations(("r", None, "c", "ins", "first", 7, 0)), path)
+    time.sleep(1.1)
+    write_log(mutations(*many, ("r", None, "c", "ins", "last", 7, 0)), path)
+    time.sleep(1.1)
+    write_log(mutations(("r", None, "d", "ins", "other", 7, 0)), path)
+    found = latest_mutations(read_log(spark, path)).where("column_name = 'c'")
+    assert rows(found, "value") == [("last",)]
 
 
 def test_export(spark):
