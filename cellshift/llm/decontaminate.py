@@ -145,8 +145,8 @@ def phrase_matches(docs: DataFrame, index: DataFrame, windows: DataFrame, rarest
     lists = _shifted(index, anchors(index, windows, rarest))
     met = (
         lists.groupBy("k1", "k2", "wid", "at", "n_anchors")
-        .agg(F.count("*").alias("lists"))
-        .where("lists = n_anchors AND at >= 0")
+        .agg(F.expr("bit_or(shiftleft(1L, nth))").alias("lists"))
+        .where("lists = shiftleft(1L, n_anchors) - 1 AND at >= 0")
     )
     sizes = windows.select("wid", F.size("words").alias("n"))
     found = materialise(met.join(small_side(sizes), "wid").select("k1", "k2", "wid", "at", "n"))
@@ -167,8 +167,8 @@ def proximity_matches(docs: DataFrame, index: DataFrame, windows: DataFrame, sla
     met = (
         lists.withColumn("stride", F.explode(F.array(stride, stride - 1)))
         .groupBy("k1", "k2", "wid", "stride", "n_anchors")
-        .agg(F.count_distinct("nth").alias("lists"), F.min("at").alias("at"))
-        .where("lists = n_anchors")
+        .agg(F.expr("bit_or(shiftleft(1L, nth))").alias("lists"), F.min("at").alias("at"))
+        .where("lists = shiftleft(1L, n_anchors) - 1")
         .withColumn("at", F.greatest("at", F.lit(0)))
     )
     sizes = windows.select("wid", F.size("words").alias("n"))
