@@ -76,6 +76,11 @@ def shuffles(df: DataFrame) -> int:
     return len(re.findall(r"(?<!Broadcast)(?<!Reused)Exchange ", text))
 
 
+def broadcasts(df: DataFrame) -> int:
+    """Sides that the plan broadcasts before anything was measured."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange ")
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "5"))
@@ -84,11 +89,11 @@ def main() -> None:
     if names == ["all"]:
         names = list(QUERIES)
 
-    seconds, exchanges, counts = {}, {}, {}
+    seconds, exchanges, sent, counts = {}, {}, {}, {}
     for name in names:
         df = QUERIES[name](spark, sf_dir)
         counts[name] = df.count()
-        exchanges[name] = shuffles(df)
+        exchanges[name], sent[name] = shuffles(df), broadcasts(df)
         run(df)
         times = []
         for _ in range(runs):
@@ -109,6 +114,7 @@ def main() -> None:
                 "rows": counts,
                 "rows_per_sec": rates,
                 "shuffles": exchanges,
+                "broadcasts": sent,
             }
         )
     )

@@ -2,8 +2,15 @@ import random
 
 import pytest
 from conftest import plan, rows
-
-from cellshift import changes_by_differential, load_snapshot, parse_snapshot, store_snapshot
+from pyspark.sql import functions as F
+
+from cellshift import (
+    changes_by_differential,
+    flatten_standard,
+    load_snapshot,
+    parse_snapshot,
+    store_snapshot,
+)
 from cellshift.operators.differential import latest_cells
 from cellshift.sources.snapshots import (
     load_snapshot_table,
@@ -149,3 +156,25 @@ def test_snapshot_text(spark, cells, tmp_path):
     assert rows(read_snapshot_text(spark, path)) == rows(made)
     line = spark.createDataFrame([("ks/data/r/null/c\t5/v w",)], "value string")
     assert rows(parse_snapshot(line)) == [("ks", "data", "r", None, "c", "v w", 5)]
+
+
+def test_wide_snapshots_are_not_broadcast(spark, tmp_path):
+    """Many cells in a small file, in a session with Spark's own broadcast settings."""
+    names = [f"c{i}" for i in range(40)]
+    wide = spark.range(0, 20_000, 1, 4).select(
+        F.col("id").cast("string").alias("k"), *[F.lit("v").alias(n) for n in names], F.lit(5).cast("bigint").alias("t")
+    )
+    path = str(tmp_path / "wide")
+    wide.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    for k in before:
+        spark.conf.set(k, "10MB")
+    try:
+        cells = flatten_standard(spark.read.parquet(path), "k", names, "t", keyspace="ks", column_family="data")
+        for op in ("ins", "del", "upd"):
+            found = changes_by_differential(cells, cells, [op], unique=True)
+            assert found.count() == 0
+            assert "Broadcast" not in plan(found)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
