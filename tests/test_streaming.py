@@ -1,7 +1,8 @@
 import random
 import shutil
 
-from conftest import rows
+from conftest import SF, rows
+from pyspark.sql import functions as F
 from test_log import random_log
 
 from cellshift import changes_by_log, log_lines, rejected_lines, run_cycle, split_log, write_log
@@ -14,7 +15,11 @@ from cellshift.streaming.cycles import (
     run_tracking_cycle,
     void_batches,
 )
-from cellshift.model import MUTATION_SCHEMA, TRACKING_SCHEMA
+from cellshift.model import MUTATION_SCHEMA, TRACKING_COLUMNS, TRACKING_SCHEMA, UP_OLD
+from cellshift.operators.grouping import RANK, newest
+from cellshift.operators.tracking import CELL, maintain_tracking
+from cellshift.plans import fixtures as fx
+from cellshift.plans.catalog import QUERIES
 
 KEPT = ["op", "row_key", "super_column", "column_name", "value", "ts"]
 
@@ -143,3 +148,17 @@ def test_tracking_cycles(spark, tracking, tmp_path):
     maintain_batch(tracking(*arrivals[1]), 1, base, 20, "data", merge_every=2)  # tried again
     again = current_tracking(spark, base, 1, merge_every=2)
     assert rows(again, "column_name", "value", "ts") == [("a", "3", 20), ("z", "0", 1)]
+
+
+def test_the_tracking_query_equals_whole_tables_step_by_step(spark):
+    entries = fx.tracking_entries(spark, SF)
+    is_old = F.col("state") == UP_OLD
+    keys = [*CELL, "state"]
+    table = entries.where(is_old & (F.col("ts") < fx.LOW))
+    table = newest(table, CELL, ["ts", "value"]).drop(RANK)
+    for lo, hi, now in ((0, fx.LOW, fx.LOW), (fx.LOW, fx.HIGH, fx.HIGH), (fx.HIGH, 2**62, fx.HIGH + fx.DAY)):
+        arrived = entries.where(~is_old & (F.col("ts") >= lo) & (F.col("ts") < hi))
+        pending = newest(table.where(~is_old).unionByName(arrived), keys, ["ts", "value"]).drop(RANK)
+        table = maintain_tracking(table.where(is_old).unionByName(pending), (0, now), now).cache()
+    found = QUERIES["stream_tracking"](spark, SF)
+    assert rows(found, *TRACKING_COLUMNS) == rows(table, *TRACKING_COLUMNS) != []
