@@ -15,13 +15,12 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tiktoken.registry import ENCODINGS
 
 from cellshift.llm.shared import keyed, materialise
 
@@ -29,13 +28,15 @@ from cellshift.llm.shared import keyed, materialise
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
+def encoder(path: str) -> tiktoken.Encoding:
     """Token ids as the tokenizers library gives them for the vocabulary file at `path`.
 
     Built from the merges in the file on an engine for ranks, which is three times faster
-    on the same vocabulary and equal to it (a test compares them).
+    on the same vocabulary and equal to it (a test compares them). Kept where that
+    library keeps its own, for the life of a worker.
     """
+    if path in ENCODINGS:
+        return ENCODINGS[path]
     with open(path, encoding="utf-8") as f:
         file = json.load(f)
     special = {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -43,7 +44,8 @@ def encoder(path: str):
     odd = [b for b in range(256) if b not in set(plain)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(odd)}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    ENCODINGS[path] = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
+    return ENCODINGS[path]
 
 
 def cut(docs: DataFrame, tokenizer: str, window: int = 1024, ids: bool = False, end: int = 0,
