@@ -30,6 +30,8 @@ from cellshift.llm.words import LOWER, U, Words, between, mix, pieces, prefix_su
 
 _PIECE = 4 << 20
 _BITS = 512
+# Sets of more than LARGE shingles fill a bitmap of 512 bits, so they have a wide one too.
+LARGE, _WIDE_BITS = 1000, 8192
 # What white space of ASCII does not separate.
 WORD = r"[^\x20\x09-\x0D]"
 _SALT = U(0xD6E8FEB86659FD93)
@@ -59,6 +61,12 @@ def _least_overlap(n: np.ndarray, least: int) -> np.ndarray:
     return -(-least * n // 100)
 
 
+def _bitmap(s: np.ndarray, bits: int) -> list[int]:
+    """For each of so many classes of shingles whether the set has an odd number of them."""
+    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _index(n_shingles: int, least: int, hot: np.ndarray):
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,15 +74,15 @@ def _index(n_shingles: int, least: int, hot: np.ndarray):
                 sets = shingle_sets(texts, n_shingles, hot)
                 n = np.array([len(s) for s in sets])
                 prefixes = [s[: len(s) - _least_overlap(len(s), least) + 1] for s in sets]
-                node, group, bits = [], [], []
+                node, group, bits, wide = [], [], [], []
                 for s, p in zip(sets, prefixes, strict=True):
                     if not len(s):
-                        node.append(None), group.append(None), bits.append(None)
+                        node.append(None), group.append(None), bits.append(None), wide.append(None)
                         continue
                     node.append(np.array([mix(s).sum(), mix(s ^ _SALT).sum()]).tobytes())
                     group.append(np.array([mix(p).sum(), mix(p ^ _SALT).sum() + U(len(s))]).tobytes())
-                    odd = np.bincount((s & U(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
-                    bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64).tolist())
+                    bits.append(_bitmap(s, _BITS))
+                    wide.append(_bitmap(s, _WIDE_BITS) if len(s) > LARGE else None)
                 yield pa.record_batch(
                     [
                         rows.column("id"),
@@ -85,8 +93,9 @@ def _index(n_shingles: int, least: int, hot: np.ndarray):
                         pa.array(group, pa.binary()),
                         pa.array([signed(p).tolist() if len(p) else None for p in prefixes], pa.list_(pa.int64())),
                         pa.array(bits, pa.list_(pa.int64())),
+                        pa.array(wide, pa.list_(pa.int64())),
                     ],
-                    names=["id", "k1", "k2", "n", "node", "grp", "prefix", "bits"],
+                    names=["id", "k1", "k2", "n", "node", "grp", "prefix", "bits", "wide"],
                 )
 
     return index
@@ -103,8 +112,21 @@ def _bitmap_overlap(n1: Column, n2: Column, bits1: Column, bits2: Column) -> Col
     return F.floor((n1 + n2 - differ) / 2)
 
 
+def _narrowed(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """pairs (a, b) without those of large sets whose wide bitmaps rule them out."""
+    large = nodes.where(F.col("n") > LARGE).select("v", "n", "wide")
+    both = pairs.join(large.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a", "left")
+    both = both.join(large.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b", "left")
+    apart = F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(apart, F.lit(0), lambda total, x: total + x)
+    overlap = F.floor((F.col("na") + F.col("nb") - differ) / 2)
+    fits = F.col("wa").isNull() | F.col("wb").isNull() | _may_link(least, F.col("na"), F.col("nb"), overlap)
+    return materialise(both.where(fits).select("a", "b"))
+
+
 def _compare(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n_shingles: int, least: int) -> DataFrame:
     """Those of pairs (a, b) whose texts are similar enough."""
+    pairs = _narrowed(materialise(pairs), nodes, least)
     wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
     keys = nodes.join(wanted, "v").select("v", "k1", "k2")
     found = texts.select("k1", "k2", "text").join(keys, ["k1", "k2"])
@@ -152,7 +174,7 @@ def link(docs: DataFrame, n_shingles: int = 5, least: int = 80, id_column="doc_i
     sets = materialise(
         texts.select("id", "k1", "k2", "text").mapInArrow(
             _index(n_shingles, least, hot),
-            f"id {id_type}, k1 long, k2 long, n int, node binary, grp binary, prefix array<long>, bits array<long>",
+            f"id {id_type}, k1 long, k2 long, n int, node binary, grp binary, prefix array<long>, bits array<long>, wide array<long>",
         )
     )
     real = sets.where("n > 0")
@@ -160,11 +182,11 @@ def link(docs: DataFrame, n_shingles: int = 5, least: int = 80, id_column="doc_i
         real.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("g", F.monotonically_increasing_id())
     )
     nodes = real.groupBy("node").agg(
-        F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits"), F.min(F.struct("k1", "k2")).alias("key")
+        F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.min(F.struct("k1", "k2")).alias("key")
     )
     nodes = materialise(
         nodes.join(groups.select("grp", "g"), "grp").select(
-            "node", F.monotonically_increasing_id().alias("v"), "g", "n", "bits", "key.k1", "key.k2"
+            "node", F.monotonically_increasing_id().alias("v"), "g", "n", "bits", "wide", "key.k1", "key.k2"
         )
     )
     entries = _prefix_entries(groups, least)
@@ -185,10 +207,10 @@ def link(docs: DataFrame, n_shingles: int = 5, least: int = 80, id_column="doc_i
         .select(F.col("hub.v").alias("a"), F.col("v").alias("b"))
         .distinct()
     )
-    stars = _compare(materialise(stars), nodes, texts, n_shingles, least)
+    stars = _compare(stars, nodes, texts, n_shingles, least)
     roots = components(stars)
     # Pass two: whatever the links so far have not joined.
-    rest = _compare(materialise(_open_pairs(entries, nodes, roots, least)), nodes, texts, n_shingles, least)
+    rest = _compare(_open_pairs(entries, nodes, roots, least), nodes, texts, n_shingles, least)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
     classes = nodes.join(roots.withColumnRenamed("node", "v"), "v", "left").select("node", F.coalesce("root", "v").alias("class"))
     rows = sets.select("id", "k1", "k2", "n", "node").join(classes, "node", "left")
