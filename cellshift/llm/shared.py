@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,11 +26,12 @@ def materialise(df: DataFrame) -> DataFrame:
 
     Cuts the lineage: a lost executor costs no more than the step it was in. Shuffle
     files of the finished step are freed as soon as the driver's garbage is collected,
-    so that is asked for.
+    so that is asked for, once the listeners have let go of the step.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    time.sleep(0.5)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
