@@ -30,7 +30,7 @@ from cellshift.llm.frequent import hot_runs, is_hot
 from cellshift.llm.shared import keyed, materialise
 from cellshift.llm.words import U, Words, between, mix, pieces, prefix_sums, runs
 
-_PIECE = 8 << 20
+_PIECE = 4 << 20
 _BLOCK = "bucket int, strings binary, places binary"
 _PLACE = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("from", "<i4"), ("to", "<i4")])
 
