@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellshift.llm.shared import materialise
+from cellshift.llm.shared import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
     )
     before = None
     while (now := _checksum(links)) != before and now[0]:
-        links, before = materialise(_small_star(_large_star(links))), now
+        moved, before = materialise(_small_star(_large_star(links))), now
+        discard(links)
+        links = moved
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
         links.select("lo", F.col("lo").alias("root")).distinct()
     )

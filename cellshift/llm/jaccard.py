@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cellshift.llm.components import components
 from cellshift.llm.frequent import hot_runs, is_hot
-from cellshift.llm.shared import keyed, materialise
+from cellshift.llm.shared import discard, keyed, materialise
 from cellshift.llm.words import LOWER, U, Words, between, mix, pieces, prefix_sums, runs, signed
 
 _PIECE = 4 << 20
@@ -126,7 +126,8 @@ def _narrowed(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
 
 def _compare(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n_shingles: int, least: int) -> DataFrame:
     """Those of pairs (a, b) whose texts are similar enough."""
-    pairs = _narrowed(materialise(pairs), nodes, least)
+    met = materialise(pairs)
+    pairs = _narrowed(met, nodes, least)
     wanted = pairs.select(F.col("a").alias("v")).union(pairs.select("b")).distinct()
     keys = nodes.join(wanted, "v").select("v", "k1", "k2")
     found = texts.select("k1", "k2", "text").join(keys, ["k1", "k2"])
@@ -156,7 +157,9 @@ def _compare(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n_shingles: i
                 ok.append(100 * shared >= least * (len(last[1]) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return materialise(both.select("a", "b", "za", "zb").mapInArrow(similar, "a long, b long"))
+    similar_pairs = materialise(both.select("a", "b", "za", "zb").mapInArrow(similar, "a long, b long"))
+    discard(met, pairs, kept)
+    return similar_pairs
 
 
 def link(docs: DataFrame, n_shingles: int = 5, least: int = 80, id_column="doc_id", text_column="text") -> DataFrame:
@@ -212,6 +215,7 @@ def link(docs: DataFrame, n_shingles: int = 5, least: int = 80, id_column="doc_i
     # Pass two: whatever the links so far have not joined.
     rest = _compare(_open_pairs(entries, nodes, roots, least), nodes, texts, n_shingles, least)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(rest))
+    discard(groups, entries, stars, rest)
     classes = nodes.join(roots.withColumnRenamed("node", "v"), "v", "left").select("node", F.coalesce("root", "v").alias("class"))
     rows = sets.select("id", "k1", "k2", "n", "node").join(classes, "node", "left")
     least_id = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("component_id"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cellshift.llm.shared import keyed, materialise
+from cellshift.llm.shared import discard, keyed, materialise
 from cellshift.llm.words import U, Words, between, mix, pieces, powers, prefix_sums, signed
 
 _PIECE = 4 << 20
@@ -184,7 +184,9 @@ def find_lines(texts: DataFrame, min_words: int = 8) -> DataFrame:
         .join(decided, ["h1", "h2"])
         .where(F.col("near") | (place != F.col("first")))
     )
-    return materialise(gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone")))
+    gone = materialise(gone.groupBy("k1", "k2").agg(F.collect_set("line").alias("gone")))
+    discard(lines, distinct, cut, pairs, near)
+    return gone
 
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,17 @@ def materialise(df: DataFrame) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     time.sleep(0.5)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    step = spark.read.schema(df.schema).parquet(path)
+    step.step_path = path
+    return step
+
+
+def discard(*steps: DataFrame) -> None:
+    """Delete what `materialise` wrote for steps that nothing will read any more."""
+    for step in steps:
+        context = step.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(step.step_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keyed(df: DataFrame, id_column: str, text_column: str, keep: list[str] = ()) -> DataFrame:
