@@ -210,6 +210,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, rarest: int
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, **columns) -> DataFrame:
     """The rows of docs without a hit word, with all their columns."""
     hit = contamination(docs, items, size, **columns).where("n_hit > 0").select("k1", "k2").distinct()
+    hit = materialise(hit)  # frees the texts that were shuffled to find it
     id_column, text_column = columns.get("id_column", "doc_id"), columns.get("text_column", "text")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     return keyed(docs, id_column, text_column, [whole]).join(hit, ["k1", "k2"], "left_anti").select("row.*")
