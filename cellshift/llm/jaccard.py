@@ -182,7 +182,9 @@ def link(docs: DataFrame, n_shingles: int = 5, least: int = 80, id_column="doc_i
     )
     real = sets.where("n > 0")
     groups = materialise(
-        real.groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).withColumn("g", F.monotonically_increasing_id())
+        real.groupBy("grp")
+        .agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), (F.min("node") < F.max("node")).alias("several"))
+        .withColumn("g", F.monotonically_increasing_id())
     )
     nodes = real.groupBy("node").agg(
         F.first("n").alias("n"), F.first("grp").alias("grp"), F.first("bits").alias("bits"), F.first("wide").alias("wide"), F.min(F.struct("k1", "k2")).alias("key")
@@ -225,17 +227,18 @@ def link(docs: DataFrame, n_shingles: int = 5, least: int = 80, id_column="doc_i
 
 
 def _prefix_entries(groups: DataFrame, least: int) -> DataFrame:
-    """(shingle, g, n, pos, early, hub_n, hub_g) of the prefixes, where groups share one.
+    """(shingle, g, n, pos, early, hub_n, hub_g) of the prefixes, where nodes share one.
 
+    Nodes of one group share their whole prefix, so its first shingle is enough for them.
     early: the shingle may be the first that the set shares with one as large or larger.
     """
     early = F.col("pos") <= F.col("n") - F.ceil(2 * least * F.col("n") / (100 + least))
-    each = groups.select("g", "n", F.posexplode("prefix").alias("pos", "shingle")).withColumn("early", early)
+    each = groups.select("g", "n", "several", F.posexplode("prefix").alias("pos", "shingle")).withColumn("early", early)
     at = Window.partitionBy("shingle")
     hub = F.min(F.when(F.col("early"), F.struct("n", "g"))).over(at)
     each = each.withColumn("many", F.count("*").over(at)).withColumn("hub", hub)
     return materialise(
-        each.where("many > 1 AND hub IS NOT NULL").select(
+        each.where("(many > 1 OR (several AND pos = 0)) AND hub IS NOT NULL").select(
             "shingle", "g", "n", "pos", "early", F.col("hub.n").alias("hub_n"), F.col("hub.g").alias("hub_g")
         )
     )

@@ -121,6 +121,20 @@ def test_jaccard(docs_of, odd):
     assert jaccard.link(docs_of([]), 4, 85).collect() == []
 
 
+def test_jaccard_links_inside_a_prefix_group(docs_of):
+    # Of each three, two differ in the last word and are linked; one differs in the last
+    # two and is not. Mostly all have one prefix, which no other text shares.
+    pairs = []
+    for i in range(60):
+        words = [f"t{i}x{j}" for j in range(16)]
+        for k, end in enumerate((["h", "h"], [words[14], "x"], [words[14], "y"])):
+            pairs.append((3 * i + k, " ".join(words[:14] + end)))
+    found = jaccard.link(docs_of(pairs), 4, 85)
+    expected = linked(pairs, 4, 85)
+    assert [c for _, _, c in expected[:3]] == [0, 1, 1]
+    assert collected(found, "id", "n_shingles", "component_id") == sorted(expected, key=repr)
+
+
 def test_one_document_of_each_group_stays(docs_of, odd):
     odd = [p for p in odd if p[0] != 7]  # two texts under one id
     docs = docs_of(odd)
