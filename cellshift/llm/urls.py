@@ -17,6 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Parameters that name where a visitor came from, not what is shown.
 TRACKING = r"(?:utm_[a-z]+|ref|gclid|fbclid)=[^&#]*"
 CANONICAL = r"""(?i)<link\s[^>]*?rel\s*=\s*["']?canonical["']?[^>]*>"""
+# Of a target that is not relative.
+SCHEME = "[A-Za-z][A-Za-z0-9+.-]*:"
 REFRESH = r"""(?i)<meta\s[^>]*?http-equiv\s*=\s*["']?refresh["']?[^>]*>"""
 
 
@@ -55,30 +57,56 @@ def declared_target(url: Column, html: Column) -> Column:
     link = F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), r"""(?i)href\s*=\s*["']?([^"'\s>]+)""", 1)
     sent = F.regexp_extract(F.regexp_extract(html, REFRESH, 0), r"""(?i)url\s*=\s*["']?([^"'\s>]+)""", 1)
     base = F.regexp_extract(url, r"^(.*?://[^/?#]*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)", 1))
 
     def absolute(target):
         return (
-            F.when(target.contains("://"), target)
+            F.when(target == "", None)
+            .when(target.rlike(f"^{SCHEME}//"), target)
+            .when(target.rlike(f"^{SCHEME}"), None)
             .when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(url, r"^(.*?:)//", 1), target))
-            .when(F.startswith(target, F.lit("/")), F.concat(base, target))
+            .when(F.startswith(target, F.lit("/")), F.concat(base, without_dots(target)))
+            .when(F.startswith(target, F.lit("?")), F.concat(base, path_of(url), target))
+            .when(F.startswith(target, F.lit("#")), url)
+            .otherwise(F.concat(base, without_dots(F.concat(folder, target))))
         )
 
     return F.array_compact(F.array(absolute(link), absolute(sent)))
 
 
-def aliases(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
-    """Edges (a, b) between normal forms: canonical links, refreshes, given redirects.
+def without_dots(target: Column) -> Column:
+    """A target that starts with a slash, its path without the segments . and .."""
+    parts = F.split(F.regexp_extract(target, r"(?s)^/([^?#]*)", 1), "/")
+    went = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda so_far, x: F.when(x == "..", F.slice(so_far, F.lit(1), F.greatest(F.size(so_far) - 1, F.lit(0))))
+        .when(x == ".", so_far)
+        .otherwise(F.array_append(so_far, x)),
+    )
+    # A folder keeps its slash.
+    went = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(went, F.lit(""))).otherwise(went)
+    return F.concat(F.lit("/"), F.array_join(went, "/"), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1))
 
-    Two URLs with one normal form are aliases already, as they are one node.
-    """
+
+def declared_links(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """URLs (source, target) of canonical links, refreshes and given redirects."""
     said = pages.select(
-        normal_form(F.col("url")).alias("a"), F.explode(declared_target(F.col("url"), F.col("html"))).alias("t")
-    ).select("a", normal_form(F.col("t")).alias("b"))
+        F.col("url").alias("source"), F.explode(declared_target(F.col("url"), F.col("html"))).alias("target")
+    )
     if redirects is not None:
-        said = said.union(
-            redirects.select(normal_form(F.col("source")).alias("a"), normal_form(F.col("target")).alias("b"))
-        )
-    return said.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct()
+        said = said.union(redirects.select("source", "target"))
+    known = normal_form(F.col("source")).isNotNull() & normal_form(F.col("target")).isNotNull()
+    return said.where(known).distinct()
+
+
+def aliases(links: DataFrame) -> DataFrame:
+    """Edges (a, b) between the normal forms of links (source, target).
+
+    Two URLs with one normal form are aliases already, as they are one node.
+    """
+    ends = links.select(normal_form(F.col("source")).alias("a"), normal_form(F.col("target")).alias("b"))
+    return ends.where("a <> b").distinct()
 
 
 def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -108,14 +136,18 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataF
                 default: str = "allow") -> DataFrame:
     """Per row of pages (page_id, url, html): (page_id, url, host, path, rule, verdict).
 
+    Targets of links and redirects count in their class like pages, also those not in `pages`.
     Null URLs and those without :// have empty host and path, fit no rule and get the
     default. Equal URLs get equal verdicts. Null HTML declares nothing.
     """
     spark = pages.sparkSession
     given = spark.createDataFrame(rules, "rule string, decision string")
-    urls = pages.select("url").where("url IS NOT NULL").distinct()
+    links = materialise(declared_links(pages, redirects))
+    # Rules decide for both ends of a link too, whether or not they are pages.
+    urls = pages.select("url").union(links.select("source")).union(links.select("target"))
+    urls = urls.where("url IS NOT NULL").distinct()
     ruled = materialise(matched_rules(urls, given))
-    roots = components(aliases(pages, redirects))
+    roots = components(aliases(links))
     nodes = urls.select("url", normal_form(F.col("url")).alias("node")).join(roots, "node", "left")
     nodes = nodes.select("url", F.coalesce("root", "node").alias("class"))
     nodes = nodes.join(ruled, "url", "left")

@@ -101,6 +101,40 @@ def test_url_decisions(spark):
     assert urls.judge_pages(df.limit(0), URL_RULES).collect() == []
 
 
+def test_targets_that_are_no_pages(spark):
+    link = '<link rel="canonical" href="{}">'
+    pages = [
+        (1, "http://short.org/a", link.format("http://x.net/es/y")),
+        (2, "http://short.org/b", '<meta http-equiv="refresh" content="0; url=http://shop.com/y">'),
+        (3, "http://y.net/es/z", link.format("http://short.org/b")),
+        (4, "http://short.org/c", ""),
+        (5, "http://z.net/es", link.format("http://z.net/es/")),
+        (6, "http://short.org/d", link.format("mailto:x@x.net")),
+        (7, "http://short.org/e", link.format("/e?u=http://x.net/es/y")),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    given = spark.createDataFrame([("http://short.org/c", "http://w.net/fr/1")], "source string, target string")
+    found = {r["page_id"]: r["verdict"] for r in urls.judge_pages(df, URL_RULES, given).collect()}
+    assert found == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "allow"}
+
+
+def test_relative_targets(spark):
+    cases = [
+        ("http://a.org/b/c", "next.html", "http://a.org/b/next.html"),
+        ("http://a.org/b/c?q=1", "../x", "http://a.org/x"),
+        ("http://a.org/b/c?q=1#f", "?p=2", "http://a.org/b/c?p=2"),
+        ("http://a.org", "x/./y/..", "http://a.org/x/"),
+        ("http://a.org/b/", "../../x?u=../v", "http://a.org/x?u=../v"),
+        ("http://a.org/b/c", "/d/../e", "http://a.org/e"),
+        ("https://a.org/b/c", "//d.org/e", "https://d.org/e"),
+        ("http://a.org/b/c", "https://d.org/e", "https://d.org/e"),
+        ("http://a.org/b/c", "javascript:x", None),
+    ]
+    df = spark.createDataFrame([(u, f'<link rel="canonical" href="{t}">', e) for u, t, e in cases], "url string, html string, e string")
+    for r in df.select("url", "e", urls.declared_target(F.col("url"), F.col("html")).alias("found")).collect():
+        assert r["found"] == ([r["e"]] if r["e"] else []), r
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60, 1) if i not in (20, 41)] + [(5, 5), (None, 3), (100, 99)]
     found = components(spark.createDataFrame(chain, "a long, b long"))
