@@ -9,8 +9,6 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from cellshift import engine_session  # noqa: E402
 from cellshift.model import CELL_SCHEMA, MUTATION_SCHEMA, TRACKING_SCHEMA  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -64,13 +62,3 @@ def tracking(spark):
         return spark.createDataFrame([("ks", "track", *r) for r in rows], TRACKING_SCHEMA)
 
     return make
-
-
-def rows(df, *columns):
-    """The rows as a sorted list of tuples."""
-    picked = df.select(*columns) if columns else df
-    return sorted((tuple(r) for r in picked.collect()), key=repr)
-
-
-def plan(df) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()

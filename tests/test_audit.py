@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from cellshift import bootstrap_audit, changes_by_audit, changes_by_audit_wide

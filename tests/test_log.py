@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 
 from cellshift import changes_by_log
 from cellshift.functions.cells import drop_system, hex_to_string, ops_from_flags

@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from conftest import SF, plan, rows
+from helpers import SF, plan, rows
 
 import __spark_entry__ as driver
 from cellshift.plans import catalog, oracle

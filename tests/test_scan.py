@@ -1,7 +1,7 @@
 import datetime
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F, types as T
 
 from cellshift import changes_by_scan, column_names, flatten_standard, flatten_super

@@ -1,7 +1,7 @@
 """A third of all rows under one key: the plans must split it or never gather it."""
 
 import pytest
-from conftest import plan, rows
+from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from cellshift import changes_by_audit, changes_by_differential, changes_by_log

@@ -1,7 +1,7 @@
 import random
 import shutil
 
-from conftest import SF, rows
+from helpers import SF, rows
 from pyspark.sql import functions as F
 from test_log import random_log
 

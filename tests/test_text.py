@@ -1,6 +1,6 @@
 import time
 
-from conftest import rows
+from helpers import rows
 
 from cellshift import parse_log, parse_log_records, render_changes, render_log
 from cellshift.functions.cells import split_audit_name

@@ -1,4 +1,4 @@
-from conftest import plan, rows
+from helpers import plan, rows
 
 from cellshift import (
     bootstrap_tracking,
