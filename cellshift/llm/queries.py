@@ -20,6 +20,7 @@ from cellshift.llm import (
     substrings,
     toxicity,
     urls,
+    whitening,
 )
 
 URL_RULES = [
@@ -150,6 +151,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_substring_dedup": op2_substring_dedup,
@@ -161,4 +166,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op13_whitening": op13_whitening,
 }
