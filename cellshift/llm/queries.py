@@ -14,6 +14,7 @@ from cellshift.llm import (
     decontaminate,
     fingerprints,
     jaccard,
+    katz,
     lines,
     packing,
     secrets,
@@ -151,6 +152,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = lambda doc_id: F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 1, F.lit(False))
+    model = katz.fit(docs.where(~held_out(F.col("doc_id"))))
+    return katz.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        held_out(F.col("id")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.known.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -166,5 +182,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_whitening": op13_whitening,
 }
