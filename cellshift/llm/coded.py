@@ -7,12 +7,11 @@ Memory follows a piece, which is as long as `_PIECE` or as the longest single te
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,19 +20,19 @@ from cellshift.llm.shared import materialise
 from cellshift.llm.words import LOWER, pieces
 
 BREAK, SKIP = -1, -2
-_PIECE = 4 << 20
-_BREAKS = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c in b" \t" else LOWER[c] for c in range(256))
+_PIECE = 6 << 20
+_BREAKS = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c in b" \t" else LOWER[c] for c in range(256))
 
 
-def plain_words(text: bytes) -> list[bytes]:
-    """A-Z in lower case, split at white space of ASCII."""
-    return text.translate(LOWER).split()
+def plain_words(texts: pa.Array) -> pa.Array:
+    """The words of each text: A-Z in lower case, split at white space of ASCII."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts))
 
 
-def words_and_breaks(text: bytes) -> list[bytes]:
-    """A-Z in lower case, split at blanks and tabs; a line feed is a break between pieces of
-    text, an empty word is nothing."""
-    return text.translate(_BREAKS).replace(b"\n", b" \n ").split(b" ")
+def words_and_breaks(texts: pa.Array) -> pa.Array:
+    """The same, and a full stop for every break: words end at blanks, tabs and breaks, and hold
+    none of them."""
+    return pc.ascii_split_whitespace(pa.array([t.translate(_BREAKS).replace(b".", b" . ") for t in texts.cast(pa.binary()).to_pylist()], pa.binary()).cast(pa.string()))
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -44,54 +43,65 @@ def unpacked(body: bytes, kind=np.int32) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(body), kind)
 
 
-def cut(texts: DataFrame, words_of: Callable[[bytes], list[bytes]], closing: str | None = None) -> DataFrame:
-    """(piece, grp, ids, sizes, tokens, words, times) of rows (id, text, grp), materialised.
+def cut(texts: DataFrame, words_of: Callable[[pa.Array], pa.Array], closing: str | None = None) -> DataFrame:
+    """(piece, grp, ids, marked, sizes, tokens, words, times) of rows (id, text, grp, marked), materialised.
 
     tokens are places in `words`, packed, `sizes` tokens for each of `ids` in their order, and
-    times is how often each word occurs. Each text ends with the word `closing`, if given.
-    Null texts are empty ones. Texts without words are kept as well.
+    times is how often each word occurs in marked texts. Each text ends with the word
+    `closing`, if given. Null texts are empty ones. Texts without words are kept as well.
     """
-    rows = texts.select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "grp")
+    rows = texts.select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "grp", "marked")
     known = rows.schema["id"].dataType.simpleString()
-    end = [closing.encode()] if closing is not None else []
+
+    def one(part: pa.RecordBatch, grp: str | None) -> list[pa.Array]:
+        lists = words_of(part.column("text").cast(pa.string()))
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        t = coded.indices.to_numpy().astype(np.int32)
+        words = coded.dictionary.to_pylist()
+        # No word is empty: what white space at the ends of a text leaves is skipped.
+        special = {"": SKIP, **({".": BREAK} if words_of is words_and_breaks else {})}
+        places = np.array([special.get(w, 0) for w in words], np.int32)
+        places[places == 0] = np.arange((places == 0).sum())
+        t = places[t] if len(words) else t
+        doc = np.repeat(np.arange(len(sizes)), sizes)[t != SKIP]
+        t, words = t[t != SKIP], [w for w in words if w not in special]
+        sizes = np.bincount(doc, minlength=len(sizes))
+        if closing is not None:
+            t, sizes, words = np.insert(t, np.cumsum(sizes), len(words)), sizes + 1, [*words, closing]
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+        counted = part.column("marked").to_numpy(zero_copy_only=False)[doc] & (t >= 0)
+        times = np.bincount(t[counted], minlength=len(words))
+        return [
+            pa.array([grp], pa.string()),
+            _listed(part.column("id")),
+            _listed(part.column("marked")),
+            _listed(pa.array(sizes, pa.int32())),
+            pa.array([packed(t.astype(np.int32))], pa.binary()),
+            _listed(pa.array(words, pa.string())),
+            _listed(pa.array(times, pa.int64())),
+        ]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, some in pieces(batch, "text", _PIECE):
-                by_group: dict = {}
-                for i, grp in enumerate(part.column("grp").to_pylist()):
-                    by_group.setdefault(grp, []).append(i)
-                for grp, at in by_group.items():
-                    places: dict[bytes, int] = defaultdict(count().__next__)
-                    lists = [words_of(some[i]) + end for i in at]
-                    places_or_not = {b"\n": BREAK, b"": SKIP}
-                    found = [
-                        np.fromiter((places_or_not[w] if w in places_or_not else places[w] for w in words), np.int32, len(words))
-                        if words_of is words_and_breaks
-                        else np.fromiter(map(places.__getitem__, words), np.int32, len(words))
-                        for words in lists
-                    ]
-                    found = [t[t != SKIP] for t in found]
-                    tokens = np.concatenate(found)
-                    times = np.bincount(tokens[tokens >= 0], minlength=len(places))
-                    yield pa.record_batch(
-                        [
-                            pa.array([grp], pa.string()),
-                            pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), part.column("id").take(pa.array(at))),
-                            pa.array([list(map(len, found))], pa.list_(pa.int32())),
-                            pa.array([packed(tokens)], pa.binary()),
-                            pa.ListArray.from_arrays(pa.array([0, len(places)], pa.int32()), pa.array(list(places), pa.binary()).cast(pa.string())),
-                            pa.ListArray.from_arrays(pa.array([0, len(places)], pa.int32()), pa.array(times, pa.int64())),
-                        ],
-                        names=["grp", "ids", "sizes", "tokens", "words", "times"],
-                    )
+            for part, _ in pieces(batch, "text", _PIECE):
+                of = part.column("grp")
+                for grp in of.unique().to_pylist():
+                    own = part.filter(pc.is_null(of) if grp is None else pc.equal(of, grp))
+                    yield pa.record_batch(one(own, grp), names=["grp", "ids", "marked", "sizes", "tokens", "words", "times"])
 
     made = rows.mapInArrow(
-        number, f"grp string, ids array<{known}>, sizes array<int>, tokens binary, words array<string>, times array<bigint>"
+        number,
+        f"grp string, ids array<{known}>, marked array<boolean>, sizes array<int>, tokens binary, words array<string>, times array<bigint>",
     )
     return materialise(made.select(F.monotonically_increasing_id().alias("piece"), "*"))
 
 
+def _listed(values: pa.Array) -> pa.Array:
+    """One list of all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def vocabulary(cut_texts: DataFrame) -> DataFrame:
     """(grp, word, c): how often each word occurs, counted by piece first."""
     each = cut_texts.select("grp", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("times"))))

@@ -42,6 +42,7 @@ START, UNKNOWN = -1, -2  # numbers of no word
 MOST_DISCOUNTED = 5  # greater counts are taken as they are
 _BUCKET = 2_000_000  # tokens a bucket on average
 _PART = 500_000  # tokens of one history in one of its buckets
+_AT_ONCE = 1 << 20  # pairs looked up together
 _R = range(1, MOST_DISCOUNTED + 1)
 
 
@@ -133,6 +134,7 @@ class Katz:
     grams: DataFrame
     histories: DataFrame
     known: Known
+    coded: DataFrame
     steps: tuple[DataFrame, ...]
 
     def discard(self) -> None:
@@ -151,9 +153,11 @@ class Pairs:
     bucket: np.ndarray
 
     @staticmethod
-    def of(tokens: bytes, sizes: np.ndarray, wids: bytes, known: Known) -> Pairs:
-        """Pairs whose first word is unknown are left out: their tokens are at the end, -1."""
+    def of(tokens: bytes, sizes: np.ndarray, wids: bytes, known: Known, only: np.ndarray | None = None) -> Pairs:
+        """Pairs whose first word is unknown are left out: -1 for their tokens. `only`: texts to take."""
         t, wids = unpacked(tokens).astype(np.int64), unpacked(wids, np.int64)
+        if only is not None:
+            t, sizes = t[np.repeat(only, sizes)], sizes[only]
         n = len(wids)
         before = np.empty_like(t)
         before[1:] = t[:-1]
@@ -164,24 +168,25 @@ class Pairs:
         key, at, times = np.unique(before * (n + 2) + place[t], return_inverse=True, return_counts=True)
         wids = np.append(wids, UNKNOWN)
         w1, w2 = wids[key // (n + 2)], wids[key % (n + 2)]
-        bucket = np.where(w1 == UNKNOWN, known.buckets, known.bucket(w1, w2))
-        order = np.lexsort((w2, w1, bucket))
-        last = int((w1 != UNKNOWN).sum())
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        back[back >= last] = -1
-        order = order[:last]
-        return Pairs(w1[order], w2[order], times[order], back[at], bucket[order])
+        asked = np.flatnonzero(w1 != UNKNOWN)
+        bucket = known.bucket(w1[asked], w2[asked])
+        if known.buckets < 1 << 16:
+            bucket = bucket.astype(np.uint16)  # sorted by digits
+        order = np.argsort(bucket, kind="stable")
+        back = np.full(len(key), -1)
+        back[asked[order]] = np.arange(len(order))
+        asked = asked[order]
+        return Pairs(w1[asked], w2[asked], times[asked], back[at], bucket[order].astype(np.int64))
 
     def blocks(self, *also: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """(bucket, body) of the pairs, and of further values for each."""
         heads = np.flatnonzero(np.diff(self.bucket, prepend=-1))
-        for a, b in zip(heads, [*heads[1:], len(self.bucket)], strict=True):
+        for a, b in zip(heads, [*heads[1:], len(self.bucket)], strict=False):
             yield int(self.bucket[a]), _body(self.w1[a:b], self.w2[a:b], *[v[a:b] for v in also])
 
 
 def _body(w1: np.ndarray, *others: np.ndarray) -> bytes:
-    """Columns of long; the first one is in order, so its steps are kept."""
+    """Columns of long; equal numbers follow each other in the first, so its steps are kept."""
     return packed(np.concatenate([np.diff(w1, prepend=0), *others]))
 
 
@@ -190,10 +195,11 @@ def _columns(body: bytes, n: int) -> list[np.ndarray]:
     return [np.cumsum(first), *others]
 
 
-def _pieces(batch: pa.RecordBatch, known: Known) -> Iterator[tuple[int, Pairs]]:
+def _pieces(batch: pa.RecordBatch, known: Known, learn: bool = False) -> Iterator[tuple[int, Pairs]]:
     for i in range(batch.num_rows):
         tokens, sizes, wids = (batch.column(c)[i] for c in ("tokens", "sizes", "wids"))
-        yield i, Pairs.of(tokens.as_py(), sizes.values.to_numpy().astype(np.int64), wids.as_py(), known)
+        only = batch.column("marked")[i].values.to_numpy(zero_copy_only=False) if learn else None
+        yield i, Pairs.of(tokens.as_py(), sizes.values.to_numpy().astype(np.int64), wids.as_py(), known, only)
 
 
 def _number(words: DataFrame) -> tuple[DataFrame, Known]:
@@ -210,8 +216,9 @@ def _number(words: DataFrame) -> tuple[DataFrame, Known]:
     return numbered, Known(counts, firsts, many, ends[0] if ends else 0, of_words=Discount.of(n))
 
 
-def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.lit(None).cast("string").alias("grp"))
+def _cut(docs: DataFrame, learn: Column, id_column: str, text_column: str) -> DataFrame:
+    columns = F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.lit(None).cast("string").alias("grp")
+    return cut(docs.select(*columns, F.coalesce(learn, F.lit(False)).alias("marked")), plain_words, END)
 
 
 def _coded(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -221,10 +228,14 @@ def _coded(texts: DataFrame, words: DataFrame) -> DataFrame:
 _FACTS = [*[f"m{r}" for r in range(1, MOST_DISCOUNTED + 2)], "rest"]
 
 
-def fit(docs: DataFrame, id_column="doc_id", text_column="text") -> Katz:
-    """The model of all rows of docs. Its tables are written; `Katz.discard` deletes them."""
-    texts = cut(_texts(docs, id_column, text_column), plain_words, END)
-    words, known = _number(vocabulary(texts).select("word", "c"))
+def fit(docs: DataFrame, learn: Column | None = None, id_column="doc_id", text_column="text") -> Katz:
+    """The model of the rows of docs for which `learn` is true, of all if it is not given.
+
+    Its tables are written; `Katz.discard` deletes them. All rows are kept in the model's numbers,
+    for `score_own`.
+    """
+    texts = _cut(docs, F.lit(True) if learn is None else learn, id_column, text_column)
+    words, known = _number(vocabulary(texts).where("c > 0").select("word", "c"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = replace(known, buckets=max(partitions, known.tokens // _BUCKET))
     coded = _coded(texts, words)
@@ -232,7 +243,7 @@ def fit(docs: DataFrame, id_column="doc_id", text_column="text") -> Katz:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, pairs in _pieces(batch, known):
+            for _, pairs in _pieces(batch, known, learn=True):
                 blocks = list(pairs.blocks(pairs.times))
                 yield pa.record_batch(
                     [pa.array([b for b, _ in blocks], pa.int64()), pa.array([x for _, x in blocks], pa.binary())],
@@ -264,16 +275,15 @@ def fit(docs: DataFrame, id_column="doc_id", text_column="text") -> Katz:
             )
 
     longs = ", ".join(f"{name} long" for name in ["wid", *_FACTS])
-    dealt = coded.select("tokens", "sizes", "wids").mapInArrow(send, "bucket long, body binary")
+    dealt = coded.select("marked", "tokens", "sizes", "wids").mapInArrow(send, "bucket long, body binary")
     dealt = dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket")
     counted = materialise(dealt.mapInArrow(count, f"bucket long, body binary, {longs}, low double"))
-    discard(coded)
     each = counted.where("wid is not null").groupBy("wid").agg(*[F.sum(c).alias(c) for c in [*_FACTS, "low"]])
     totals = each.agg(*[F.sum(c) for c in _FACTS[:-1]]).first()
     known = replace(known, of_pairs=Discount.of([0, *[n or 0 for n in totals]]))
     histories = materialise(each.select("wid", *_weight(known.of_pairs)))
     grams = counted.where("bucket is not null").select("bucket", "body")
-    return Katz(words, grams, histories, known, (words, counted, histories))
+    return Katz(words, grams, histories, known, coded, (words, counted, histories, coded))
 
 
 def _weight(discount: Discount) -> list[Column]:
@@ -290,17 +300,26 @@ def _weight(discount: Discount) -> list[Column]:
 
 
 def score(docs: DataFrame, model: Katz, id_column="doc_id", text_column="text") -> DataFrame:
-    """Per row of docs: (id, n_tokens, n_known, base_score, score).
+    """`score_own` for other texts."""
+    texts = _cut(docs, F.lit(False), id_column, text_column)
+    coded = _coded(texts, model.words)
+    discard(texts)
+    return _score(coded, model)
+
+
+def score_own(model: Katz) -> DataFrame:
+    """Per row given to `fit`, learnt from or not: (id, n_tokens, n_known, base_score, score).
 
     score is log10 of the model's probability of the text. base_score takes each token by
     itself, with half an occurrence added to those of every learnt word and of one other; n_known
     counts the tokens that were learnt.
     """
+    return _score(model.coded, model)
+
+
+def _score(coded: DataFrame, model: Katz) -> DataFrame:
     known = model.known
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = cut(_texts(docs, id_column, text_column), plain_words, END)
-    coded = _coded(texts, model.words)
-    discard(texts)
+    partitions = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,35 +339,32 @@ def score(docs: DataFrame, model: Katz, id_column="doc_id", text_column="text")
             at = np.repeat(np.arange(len(wid)), parts)
             part = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
             bucket = (mix(mix(wid[at].view(U)) + part.astype(U)) % U(known.buckets)).astype(np.int64)
-            yield pa.record_batch(
-                [pa.array(bucket), pa.array(wid[at]), pa.array(weight[at]), pa.array(more[at])],
-                names=["bucket", "wid", "weight", "more"],
-            )
+            order = np.argsort(bucket, kind="stable")
+            bucket, at = bucket[order], at[order]
+            heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+            bodies = [packed(np.concatenate([wid[x], weight[x].view(np.int64), more[x]])) for x in np.split(at, heads[1:])]
+            yield pa.record_batch([pa.array(bucket[heads]), pa.array(bodies[: len(heads)], pa.binary())], names=["bucket", "body"])
 
-    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("wid", "long"), ("weight", "double"), ("more", "boolean"))]
     asked = coded.select("piece", "tokens", "sizes", "wids").mapInArrow(ask, "bucket long, piece long, body binary")
-    asked = asked.select("bucket", "piece", "body", *nothing)
-    grams = model.grams.select("bucket", F.lit(-1).cast("long").alias("piece"), "body", *nothing)
-    placed = model.histories.mapInArrow(place, "bucket long, wid long, weight double, more boolean")
-    placed = placed.select("bucket", F.lit(-2).cast("long").alias("piece"), F.lit(None).cast("binary").alias("body"), "wid", "weight", "more")
+    grams = model.grams.select("bucket", F.lit(-1).cast("long").alias("piece"), "body")
+    placed = model.histories.mapInArrow(place, "bucket long, body binary").withColumn("piece", F.lit(-2).cast("long"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True))
+        rows = (r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "piece", "body")), strict=True))
         for bucket, some in groupby(rows, key=lambda r: r[0]):
             learnt = Learnt()
-            out = []
-            for _, piece, body, wid, weight, more in some:
+            asked: list[tuple[int, list[np.ndarray]]] = []
+            for _, piece, body in some:
                 if piece == -2:
-                    learnt.histories.append((wid, weight, more))
+                    learnt.histories.append(unpacked(body, np.int64).reshape(3, -1))
                 elif piece == -1:
                     learnt.grams = _columns(body, 3)
                 else:
-                    out.append((piece, *learnt.answer(*_columns(body, 2))))
-            yield pa.record_batch(
-                [pa.array([x[0] for x in out], pa.int64()), pa.array([bucket] * len(out), pa.int64()),
-                 pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())],
-                names=["piece", "bucket", "counts", "weights"],
-            )
+                    asked.append((piece, _columns(body, 2)))
+                    if sum(len(q[0]) for _, q in asked) > _AT_ONCE:
+                        yield learnt.answers(bucket, asked)
+                        asked = []
+            yield learnt.answers(bucket, asked)
 
     # In a bucket histories come first, then pairs, then questions.
     dealt = placed.unionByName(grams).unionByName(asked).repartition(partitions, "bucket").sortWithinPartitions("bucket", "piece")
@@ -385,44 +401,53 @@ def score(docs: DataFrame, model: Katz, id_column="doc_id", text_column="text")
 
 
 class Learnt:
-    """What a bucket holds: histories (wid, weight, more) in any order, and pairs in theirs."""
+    """What a bucket holds: histories (wid, bits of the weight, more) in any order, and pairs in theirs."""
 
     def __init__(self):
-        self.histories: list[tuple] = []
+        self.histories: list[np.ndarray] = []
         self.grams = [np.zeros(0, np.int64)] * 3
-        self._ready = False
+        self.wid: np.ndarray | None = None
 
     def _order(self) -> None:
-        known = sorted(self.histories)
-        self.wid = np.array([h[0] for h in known], np.int64)
-        self.weight = np.array([h[1] for h in known])
-        self.more = np.array([h[2] for h in known], bool)
-        w1, w2, _ = self.grams
-        self.seconds = np.unique(w2)
-        self.keys = self._key(w1, w2)
-        self._ready = True
-
-    def _key(self, w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
-        """One number for a pair, in the order of pairs; all are histories and seconds here."""
-        return np.searchsorted(self.wid, w1) * (len(self.seconds) + 1) + np.searchsorted(self.seconds, w2)
-
-    def answer(self, w1: np.ndarray, w2: np.ndarray) -> tuple[bytes, bytes]:
-        """Counts of the pairs, below zero if `more`, and weights for those that were not seen."""
-        if not self._ready:
+        known = np.concatenate([np.zeros((3, 0), np.int64), *self.histories], axis=1)
+        known = known[:, np.argsort(known[0])]
+        self.wid, self.weight, self.more = known[0], known[1].view(np.float64), known[2] > 0
+        self.seconds = np.unique(self.grams[1])
+        # One number for a pair, in the order of pairs: all first words are histories.
+        self.keys = self._key(np.searchsorted(self.wid, self.grams[0]), np.searchsorted(self.seconds, self.grams[1]))
+
+    def _key(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return first * (len(self.seconds) + 1) + second
+
+    def find(self, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the pairs, below zero if `more`, and weights of their first words."""
+        if self.wid is None:
             self._order()
         if not len(self.wid):
-            return packed(np.zeros(len(w1), np.int64)), packed(np.zeros(len(w1)))
+            return np.zeros(len(w1), np.int64), np.zeros(len(w1))
         at = np.minimum(np.searchsorted(self.wid, w1), len(self.wid) - 1)
         is_history = self.wid[at] == w1
         counts = np.zeros(len(w1), np.int64)
         if len(self.keys):
             second = np.minimum(np.searchsorted(self.seconds, w2), len(self.seconds) - 1)
-            key = at * (len(self.seconds) + 1) + second
+            key = self._key(at, second)
             place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             seen = is_history & (self.seconds[second] == w2) & (self.keys[place] == key)
             counts = np.where(seen, self.grams[2][place], 0) * np.where(self.more[at], -1, 1)
-        weights = np.where(is_history, self.weight[at], 0.0)
-        return packed(counts), packed(weights[counts == 0])
+        return counts, np.where(is_history, self.weight[at], 0.0)
+
+    def answers(self, bucket: int, asked: list[tuple[int, list[np.ndarray]]]) -> pa.RecordBatch:
+        """For each question the counts, and weights for the pairs that were not seen."""
+        pairs = [np.concatenate([np.zeros(0, np.int64), *(q[i] for _, q in asked)]) for i in (0, 1)]
+        ends = np.cumsum([len(q[0]) for _, q in asked])[:-1]
+        counts, weights = (np.split(x, ends) for x in self.find(*pairs))
+        n = len(asked)
+        return pa.record_batch(
+            [pa.array([piece for piece, _ in asked], pa.int64()), pa.array([bucket] * n, pa.int64()),
+             pa.array([packed(c) for c in counts[:n]], pa.binary()),
+             pa.array([packed(w[c == 0]) for c, w in zip(counts[:n], weights[:n], strict=True)], pa.binary())],
+            names=["piece", "bucket", "counts", "weights"],
+        )
 
 
 def _chances(pairs: Pairs, counts: np.ndarray, weights: np.ndarray, known: Known) -> np.ndarray:

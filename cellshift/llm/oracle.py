@@ -115,9 +115,37 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM doc_words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+_COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS pid, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p
+    FROM documents)),
+places AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, range(1, 6) sizes(k) WHERE len(w) >= k),
+counts AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT * FROM counts WHERE f >= 100),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM frequent WHERE k > 1),
+cuts AS (SELECT *, unnest(range(1, k)) AS j FROM candidates),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, a, n, j, l.f AS l, r.f AS r, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang
+  JOIN frequent l ON l.lang = c.lang AND l.phrase = array_to_string(w[:j], ' ')
+  JOIN frequent r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:], ' ')),
+best AS (SELECT lang, k, phrase, a, n, m.l, m.r, m.score FROM (
+  SELECT lang, k, phrase, a, n, arg_min({'l': l, 'r': r, 'score': score}, (score, j)) AS m FROM scored GROUP BY ALL)),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM candidates t WHERE t.lang = b.lang AND t.k > b.k AND 100 * t.a >= 100 * b.a
+      AND contains(' ' || t.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 ORACLE_SQL = {
     "op1_secrets": _SECRETS,
     "op4_url_filters": _URLS,
     "op6_chat_formatting": _CHATS,
     "op10_decontamination": _CONTAMINATION,
+    "op11_collocations": _COLLOCATIONS,
 }

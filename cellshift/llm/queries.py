@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellshift.llm import (
     chat,
+    collocations,
     decontaminate,
     fingerprints,
     jaccard,
@@ -152,11 +153,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = lambda doc_id: F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 1, F.lit(False))
-    model = katz.fit(docs.where(~held_out(F.col("doc_id"))))
-    return katz.score(docs, model).select(
+    model = katz.fit(docs, learn=~held_out(F.col("doc_id")))
+    return katz.score_own(model).select(
         F.col("id").alias("doc_id"),
         held_out(F.col("id")).alias("held_out"),
         "n_tokens",
@@ -182,6 +187,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_decontamination": op10_decontamination,
+    "op11_collocations": op11_collocations,
     "op12_lm_scoring": op12_lm_scoring,
     "op13_whitening": op13_whitening,
 }

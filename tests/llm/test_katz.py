@@ -75,8 +75,8 @@ class Brute:
         return len(t), sum(self.c1[w] > 0 for w in t), pytest.approx(base, abs=1e-6), pytest.approx(total, abs=1e-6)
 
 
-def check(docs, model, expected_of):
-    found = katz.score(docs, model).collect()
+def check(docs, model, expected_of, scored=None):
+    found = (scored or katz.score(docs, model)).collect()
     expected = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
     by_row = sorted(found, key=lambda r: (repr(r.id), r.n_tokens))
     expected.sort(key=lambda r: (repr(r[0]), len(tokens(r[1]))))
@@ -118,7 +118,11 @@ def test_split_histories_and_small_buckets(docs_of, odd, monkeypatch):
     docs = docs_of(odd)
     model = katz.fit(docs.where("doc_id < 9"))
     assert model.known.buckets > 20 and model.known.parts(model.known.firsts).max() > 5
-    check(docs, model, Brute([t for i, t in odd if i is not None and i < 9]).row)
+    brute = Brute([t for i, t in odd if i is not None and i < 9])
+    check(docs, model, brute.row)
+    own = katz.fit(docs, learn=docs.doc_id < 9)
+    check(docs, own, brute.row)
+    check(docs, own, brute.row, katz.score_own(own))
 
 
 def test_frequent_words_only(docs_of):
