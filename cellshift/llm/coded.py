@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellshift.llm.shared import materialise
+from cellshift.llm.shared import discard, materialise
 from cellshift.llm.words import LOWER, pieces
 
 BREAK, SKIP = -1, -2
@@ -111,12 +111,16 @@ def vocabulary(cut_texts: DataFrame) -> DataFrame:
 def with_numbers(cut_texts: DataFrame, words: DataFrame, missing: int, *values: str) -> DataFrame:
     """cut_texts with `wids`, packed: for each of the words of a piece its number, or `missing`.
 
-    words: (grp, word, wid); grp may be null in both. The words and times are dropped.
+    words: (grp, word, wid), without grp if the texts are one group. The words and times are
+    dropped. The numbers are written before they meet the tokens, so that the shuffle of the words,
+    the largest one, is gone by then.
     """
+    keys = [c for c in ("grp", "word") if c in words.columns]
     each = cut_texts.select("piece", "grp", F.posexplode("words").alias("place", "word"))
-    key = lambda: F.struct(F.col("grp"), F.col("word")).alias("key")
-    joined = each.select("piece", "place", key()).join(words.select(key(), "wid"), "key")
-    numbers = joined.groupBy("piece").agg(F.collect_list("place").alias("place"), F.collect_list("wid").alias("wid"))
+    joined = each.select("piece", "place", *keys).join(words.select(*keys, "wid"), keys, "left")
+    wid = F.coalesce("wid", F.lit(missing).cast("long"))
+    numbers = joined.groupBy("piece").agg(F.collect_list("place").alias("place"), F.collect_list(wid).alias("wid"))
+    numbers = materialise(numbers)
     rows = cut_texts.select("*", F.size("words").alias("n_words")).drop("words", "times").join(numbers, "piece", "left")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +135,9 @@ def with_numbers(cut_texts: DataFrame, words: DataFrame, missing: int, *values:
             yield kept.append_column("wids", pa.array(found, pa.binary()))
 
     schema = rows.drop("n_words", "place", "wid").schema.add("wids", "binary")
-    return materialise(rows.mapInArrow(put, schema))
+    result = materialise(rows.mapInArrow(put, schema))
+    discard(numbers)
+    return result
 
 
 def group_of(column: Column) -> Column:

@@ -40,7 +40,7 @@ from cellshift.llm.words import U, mix
 END = " "  # words hold no blank
 START, UNKNOWN = -1, -2  # numbers of no word
 MOST_DISCOUNTED = 5  # greater counts are taken as they are
-_BUCKET = 2_000_000  # tokens a bucket on average
+_BUCKET = 1_000_000  # tokens a bucket on average
 _PART = 500_000  # tokens of one history in one of its buckets
 _AT_ONCE = 1 << 20  # pairs looked up together
 _R = range(1, MOST_DISCOUNTED + 1)
@@ -222,7 +222,7 @@ def _cut(docs: DataFrame, learn: Column, id_column: str, text_column: str) -> Da
 
 
 def _coded(texts: DataFrame, words: DataFrame) -> DataFrame:
-    return with_numbers(texts, words.select(F.lit(None).cast("string").alias("grp"), "word", "wid"), UNKNOWN)
+    return with_numbers(texts, words.select("word", "wid"), UNKNOWN)
 
 
 _FACTS = [*[f"m{r}" for r in range(1, MOST_DISCOUNTED + 2)], "rest"]

@@ -90,8 +90,13 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(size)::BIGINT AS formatted_chars
-FROM sized GROUP BY conv_id
+  sum(size)::BIGINT AS formatted_chars,
+  CASE WHEN regexp_full_match(r, 's') THEN 'told' WHEN regexp_full_match(r, 's?(ua)*u') THEN 'asked'
+    WHEN regexp_full_match(r, 's?(ua)+') THEN 'answered' ELSE 'wrong' END AS state, state = 'answered' AS valid
+FROM sized JOIN (
+  SELECT conv_id AS c, string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END,
+    '' ORDER BY turn, role, text) AS r FROM turns GROUP BY conv_id) ON c IS NOT DISTINCT FROM conv_id
+GROUP BY conv_id, r
 """
 
 _CONTAMINATION = r"""

@@ -110,6 +110,8 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.char_length("learnt").cast("long").alias("loss_chars"),
             sha256(F.col("learnt")).alias("loss_sha256"),
             F.char_length("formatted").cast("long").alias("formatted_chars"),
+            "state",
+            "valid",
         )
     )
 
