@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -21,7 +22,6 @@ from cellshift.model import (
     MUTATION_SCHEMA,
     TRACKING_SCHEMA,
     UPD,
-    UP_OLD,
 )
 from cellshift.operators import log
 from cellshift.operators.audit import bootstrap_audit, changes_by_audit, changes_by_audit_wide
@@ -36,13 +36,18 @@ from cellshift.plans import fixtures as fx
 from cellshift.session import shared_dir
 from cellshift.sources.cells import column_names, flatten_map, slice_columns
 from cellshift.sources.cells import flatten_super as flatten_super_rows
+from cellshift.sources.chains import compact, load_chained, store_delta, store_full
+from cellshift.sources.digests import changes_by_digests, store_digest_snapshot
 from cellshift.sources.mutation_log import (
     log_lines,
     parse_log,
+    read_log,
     rejected_log_lines,
     render_log,
     split_log,
+    write_log,
 )
+from cellshift.sources.periods import append_by_time, scan_by_time
 from cellshift.sources.sinks import append_changes, sort_by_key, write_changes
 from cellshift.sources.snapshots import (
     load_snapshot,
@@ -52,8 +57,8 @@ from cellshift.sources.snapshots import (
     store_snapshot_table,
 )
 from cellshift.sources.state import cycle_window
-from cellshift.sources.tables import create_cell_table, load_tracking, write_tracking
-from cellshift.sources.tombstones import export_cells
+from cellshift.sources.tables import create_cell_table, create_tracking, load_tracking, write_tracking
+from cellshift.sources.tombstones import export_cells, merge_exports, parse_export
 from cellshift.streaming.cycles import (
     current_changes,
     current_tracking,
@@ -224,6 +229,14 @@ def parse_log_text(spark, sf):
     return standard.unionByName(supers).drop("seq")
 
 
+@query
+def parse_multiline_log(spark, sf):
+    """Values with line breaks, with what separates fields and with what separates records."""
+    path = f"{run_dir(spark)}/log"
+    write_log(fx.multiline_mutations(spark, sf), path, escape=True)
+    return read_log(spark, path, escaped=True).drop("seq")
+
+
 @query
 def parse_flagged_log_text(spark, sf):
     """Lines with any flag: writes and deletions are read, the rest is rejected."""
@@ -243,6 +256,26 @@ def export_cells_tombstones(spark, sf):
     return export_cells(fx.tombstone_cells(spark, sf))
 
 
+@query
+def export_read_back(spark, sf):
+    """Every shape of the export, written as text, read and parsed."""
+    path = f"{run_dir(spark)}/export"
+    export_cells(fx.tombstone_cells(spark, sf)).write.text(path)
+    return parse_export(spark.read.text(path).withColumnRenamed("value", "line"))
+
+
+@query
+def merged_exports(spark, sf):
+    """Three dumps: all cells before any super column was deleted, those up to LOW, those up to HIGH."""
+    path = f"{run_dir(spark)}/export"
+    cells = fx.tombstone_cells(spark, sf)
+    early = cells.withColumn("super_deleted_at", F.lit(None).cast("bigint"))
+    for dump in (early, cells.where(F.col("ts") < fx.LOW), cells.where((F.col("ts") >= fx.LOW) & (F.col("ts") < fx.HIGH))):
+        export_cells(dump).write.mode("append").text(path)
+    entries = parse_export(spark.read.text(path).withColumnRenamed("value", "line"))
+    return merge_exports(entries, fx.KEYSPACE, fx.TABLE)
+
+
 @query
 def hex_to_string(spark, sf):
     """Names as hex, one digit too many, and back."""
@@ -285,6 +318,17 @@ def scan_standard(spark, sf):
     return changes_by_scan(fx.cells_std(spark, sf, since=fx.CYCLE), fx.CYCLE)
 
 
+@query
+def scan_clustered(spark, sf):
+    """The scan over a stored table, whose older periods are not read; some cells came late."""
+    path = f"{run_dir(spark)}/cells"
+    cells = fx.cells_std(spark, sf)
+    late = F.pmod(F.xxhash64("row_key"), F.lit(10)) == 0
+    append_by_time(cells.where(~late), path, 30 * fx.DAY)
+    append_by_time(cells.where(late), path, 30 * fx.DAY)
+    return scan_by_time(spark, path, fx.CYCLE, width=30 * fx.DAY)
+
+
 @query
 def scan_super(spark, sf):
     return changes_by_scan(fx.cells_super(spark, sf, since=fx.CYCLE), fx.CYCLE)
@@ -498,8 +542,8 @@ def log_changes_super_scope(spark, sf):
 # --- cycles ---------------------------------------------------------------------------
 
 
-def _stream_in_parts(spark, mutations: DataFrame, mode: str, merge_every: int) -> DataFrame:
-    """A log of four appended parts, each taken up by one streaming cycle.
+def _stream_in_parts(spark, mutations: DataFrame, mode: str) -> DataFrame:
+    """A log of four appended parts, each taken up by a query that is started anew.
 
     Parts follow the numbers of the events, not their times: deletions come after cells
     they remove and before others, and equal times meet across parts.
@@ -508,20 +552,19 @@ def _stream_in_parts(spark, mutations: DataFrame, mode: str, merge_every: int) -
     for part in range(4):
         mutations.where(F.col("seq") % 4 == part).write.mode("append").parquet(f"{base}/log")
         stream = spark.readStream.schema(MUTATION_SCHEMA).parquet(f"{base}/log")
-        cycle = run_cycle(stream, f"{base}/checkpoint", f"{base}/state", mode, buckets=8, merge_every=merge_every)
-        cycle.awaitTermination()
-    return current_changes(spark, f"{base}/state", merge_every)
+        run_cycle(stream, f"{base}/checkpoint", f"{base}/out").awaitTermination()
+    return current_changes(spark, f"{base}/checkpoint", mode)
 
 
 @query
 def stream_log_changes(spark, sf):
-    return _stream_in_parts(spark, fx.mutations(spark, sf), "classified", 16)
+    return _stream_in_parts(spark, fx.mutations(spark, sf), "classified")
 
 
 @query
 def compacted_changes(spark, sf):
-    """Every second cycle takes up all rows and voids the folders before it."""
-    return _stream_in_parts(spark, fx.mutations(spark, sf), "upsert", 2)
+    """From the state, which Spark compacts, as upserts."""
+    return _stream_in_parts(spark, fx.mutations(spark, sf), "upsert")
 
 
 @query
@@ -532,27 +575,32 @@ def stream_rejected_lines(spark, sf):
     for part in (F.length("value") % 2 == 0, F.length("value") % 2 == 1):
         lines.where(part).write.mode("append").text(f"{base}/log")
         stream = split_log(log_lines(spark.readStream, f"{base}/log"))
-        run_cycle(stream, f"{base}/checkpoint", f"{base}/state", buckets=8).awaitTermination()
-    return rejected_lines(spark, f"{base}/state").select("value")
+        run_cycle(stream, f"{base}/checkpoint", f"{base}/out").awaitTermination()
+    return rejected_lines(spark, f"{base}/out")
 
 
 @query
 def stream_tracking(spark, sf):
-    """Tracking rows in three parts by time, each extracted and maintained by one cycle:
-    the table after the last. `up_old` rows of the first part found it."""
+    """All tracking rows in three parts by time, `up_old` included, extracted and maintained
+    by windows of ten days: the table after the last."""
     base = run_dir(spark)
     rows = fx.tracking_entries(spark, sf)
-    parts = [
-        (F.col("ts") < fx.LOW, fx.LOW),
-        ((F.col("ts") >= fx.LOW) & (F.col("ts") < fx.HIGH) & (F.col("state") != UP_OLD), fx.HIGH),
-        ((F.col("ts") >= fx.HIGH) & (F.col("state") != UP_OLD), fx.HIGH + fx.DAY),
-    ]
-    for part, now in parts:
+    ts = F.col("ts")
+    for part in (ts < fx.LOW, (ts >= fx.LOW) & (ts < fx.HIGH), ts >= fx.HIGH):
         rows.where(part).write.mode("append").parquet(f"{base}/arrivals")
         stream = spark.readStream.schema(TRACKING_SCHEMA).parquet(f"{base}/arrivals")
-        cycle = run_tracking_cycle(stream, f"{base}/checkpoint", f"{base}/tracking", lambda now=now: now, merge_every=2)
-        cycle.awaitTermination()
-    return current_tracking(spark, f"{base}/tracking", len(parts) - 1, merge_every=2)
+        run_tracking_cycle(stream, f"{base}/checkpoint", f"{base}/out", fx.HIGH - fx.LOW, fx.LOW).awaitTermination()
+    return current_tracking(spark, f"{base}/checkpoint")
+
+
+@query
+def stream_tracking_changes(spark, sf):
+    """What those windows reported, each when it was closed."""
+    base = run_dir(spark)
+    fx.tracking_entries(spark, sf).write.parquet(f"{base}/arrivals")
+    stream = spark.readStream.schema(TRACKING_SCHEMA).parquet(f"{base}/arrivals")
+    run_tracking_cycle(stream, f"{base}/checkpoint", f"{base}/out", fx.HIGH - fx.LOW, fx.LOW, fx.TABLE).awaitTermination()
+    return spark.read.parquet(f"{base}/out/changes")
 
 
 # --- sinks, state and tables ------------------------------------------------------------
@@ -604,6 +652,52 @@ def bucketed_differential(spark, sf):
     return changes_by_differential(old, new, unique=True)
 
 
+@query
+def digest_differential(spark, sf):
+    """Two dumps with digests: only buckets whose digests differ are read."""
+    base = f"{run_dir(spark)}/snapshots"
+    store_digest_snapshot(fx.snap_old(spark, sf), base, 1, 64)
+    store_digest_snapshot(fx.snap_new(spark, sf), base, 2, 64)
+    return changes_by_digests(spark, base, 1, 2, unique=True)
+
+
+@query
+def digest_differential_few(spark, sf):
+    """A dump, and the same with one order in a thousand gone and another one rewritten."""
+    base = f"{run_dir(spark)}/snapshots"
+    cells = fx.snap_new(spark, sf)
+    last = F.pmod(F.col("row_key").cast("long"), F.lit(1000))
+    store_digest_snapshot(cells, base, 1)
+    changed = cells.where(last != 7).withColumn("ts", F.when(last == 8, F.col("ts") + 1).otherwise(F.col("ts")))
+    store_digest_snapshot(changed, base, 2)
+    return changes_by_digests(spark, base, 1, 2)
+
+
+@query
+def chained_scans(spark, sf):
+    """A dump of all versions up to LOW and two scans after it, compacted in between."""
+    path = f"{run_dir(spark)}/chain"
+    versions = fx.versions(spark, sf)
+    store_full(latest_cells(versions.where(F.col("ts") <= fx.LOW)), path, 1)
+    for number, (last, until) in enumerate(((fx.LOW, fx.HIGH), (fx.HIGH, fx.HIGH + 365 * fx.DAY)), 2):
+        store_delta(changes_by_scan(versions, last, until=until), path, number)
+        if number == 2:
+            compact(spark, path, number)
+    return load_chained(spark, path, 3)
+
+
+@query
+def chained_differential(spark, sf):
+    """The old dump and what a differential found: together the new dump."""
+    path = f"{run_dir(spark)}/chain"
+    old, new = fx.snap_old(spark, sf), fx.snap_new(spark, sf)
+    changes = changes_by_differential(old, new, unique=True)
+    store_full(old, path, 1)
+    gone = F.col("op") == DEL
+    store_delta(changes.where(~gone), path, 2, deletions=changes.where(gone))
+    return load_chained(spark, path, 2)
+
+
 @query
 def cycle_scans(spark, sf):
     """Two cycles whose windows meet: every cell belongs to one of them."""
@@ -615,6 +709,42 @@ def cycle_scans(spark, sf):
     return spark.read.parquet(f"{base}/changes")
 
 
+@query
+def retried_cycles(spark, sf):
+    """Three windows of the book. The second is run three times: it fails before it appends,
+    then between append and save, and then ends, each time called with a later instant."""
+    base = run_dir(spark)
+
+    def attempt(now, fails_before=False, fails_after=False):
+        with cycle_window(spark, f"{base}/cycle", now) as (last, until):
+            found = changes_by_scan(fx.cells_std(spark, sf, since=last), last, until=until)
+            if fails_before:
+                raise InterruptedError
+            append_changes(found, f"{base}/changes", until)
+            if fails_after:
+                raise InterruptedError
+
+    attempt(fx.RETENTION)
+    for now, failure in ((fx.CYCLE, "fails_before"), (fx.CYCLE + fx.DAY, "fails_after")):
+        with suppress(InterruptedError):
+            attempt(now, **{failure: True})
+    attempt(fx.LOW)
+    attempt(fx.HIGH)
+    return spark.read.parquet(f"{base}/changes")
+
+
+@query
+def created_tracking(spark, sf):
+    """A tracking table that is filled, created anew and filled with another table's rows."""
+    path = f"{run_dir(spark)}/tracking"
+    create_tracking(spark, path)
+    write_tracking(fx.tracking(spark, sf), path)
+    create_tracking(spark, path)
+    rows = bootstrap_tracking(fx.cells_std(spark, sf), fx.CYCLE)
+    rows.write.mode("append").partitionBy("keyspace", "column_family", "state").parquet(path)
+    return load_tracking(spark, path)
+
+
 @query
 def created_tables(spark, sf):
     """Two tables of a new database, filled and read back."""

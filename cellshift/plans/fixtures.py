@@ -272,6 +272,18 @@ def mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What values of `multiline_mutations` hold, by the last digit of the event.
+BREAKS = ["\n", "\n\n", "\r", "\r\n", "]\n[", "][", "]\n", "\n[", "\n\x1b[", "]"]
+
+
+def multiline_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`mutations` with a break around every value."""
+    rows = mutations(spark, sf_dir)
+    around = F.element_at(F.array(*map(F.lit, BREAKS)), (F.col("seq") % 10 + 1).cast("int"))
+    value = F.when(F.col("value").isNotNull(), F.concat(around, F.col("value"), around))
+    return rows.withColumn("value", value)
+
+
 def mutations_super(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as mutations of a user's row with one super column per day; some
     errors delete the row, some the super column."""

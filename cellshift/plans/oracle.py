@@ -294,6 +294,17 @@ SELECT t.* FROM t WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.row_key = t.row
 UNION ALL SELECT 'usertable', 'dataTracking', row_key, 'up_old', column_name, value, {HIGH}
   FROM promoted"""
 
+# Ten days from LOW are a window; one is closed if an event came at its end or later.
+_WIDTH = HIGH - LOW
+_WINDOWS = f"""rows AS (SELECT *, ts - ((ts - {LOW}) % {_WIDTH} + {_WIDTH}) % {_WIDTH} + {_WIDTH} AS until,
+    CASE state WHEN 'up_new' THEN 3 WHEN 'ins' THEN 2 WHEN 'del' THEN 1 ELSE 0 END AS rank FROM ({TRACKING_ENTRIES})),
+  waiting AS (SELECT *, until <= (SELECT max(ts) FROM rows) AS closed FROM (SELECT *, row_number() OVER
+    (PARTITION BY row_key, column_name, state, until ORDER BY ts DESC, value DESC) AS rn FROM rows) WHERE rn = 1 AND rank > 0)"""
+_CLOSED = """effects AS (SELECT keyspace, column_family, row_key, column_name,
+    {'until': until, 'rank': rank, 'ts': ts, 'value': value} AS r FROM rows WHERE rank = 0
+  UNION ALL SELECT keyspace, column_family, row_key, column_name, {'until': until, 'rank': rank, 'ts': ts, 'value': value}
+    FROM waiting WHERE closed)"""
+
 _DELETIONS = "op = 'del' AND column_name IS NULL"
 _ROW = "keyspace, column_family, row_key"
 _TOMBSTONE_CELLS = f"""WITH m AS ({MUTATIONS}),
@@ -379,6 +390,26 @@ ORACLE_SQL: dict[str, str] = {
     "parse_flagged_log_text": f"""{_FLAGGED_GOOD}
       UNION ALL SELECT NULL, NULL, 'reject', value, NULL FROM ({_FLAGGED_BAD})""",
     "export_cells_tombstones": _TOMBSTONES,
+    "export_read_back": f"""SELECT {_USER} || '@' || {_DAY} AS row_key, CAST(NULL AS varchar) AS super_column,
+      {_FIELD} AS column_name, CASE event_type WHEN 'error' THEN NULL ELSE {_money('value')} END AS value,
+      epoch_us(ts) AS ts, event_type = 'error' AS is_deleted, CAST(NULL AS bigint) AS super_deleted_at FROM events
+      UNION ALL SELECT {_USER}, event_type, {_FIELD}, CASE event_type WHEN 'click' THEN NULL ELSE {_money('value')} END,
+      epoch_us(ts), event_type = 'click', NULL FROM events WHERE event_type <> 'error'
+      UNION ALL SELECT {_USER}, 'error', NULL, NULL, NULL, true, max(epoch_us(ts))
+      FROM events WHERE event_type = 'error' GROUP BY user_id""",
+    "merged_exports": f"""WITH e AS (
+        SELECT {_USER} || '@' || {_DAY} AS row_key, CAST(NULL AS varchar) AS super_column, {_FIELD} AS column_name,
+          {_money('value')} AS value, epoch_us(ts) AS ts, event_type = 'error' AS gone FROM events
+        UNION ALL SELECT {_USER}, event_type, {_FIELD}, {_money('value')}, epoch_us(ts), event_type = 'click' FROM events),
+      marks AS (SELECT {_USER} AS row_key, 'error' AS super_column, max(epoch_us(ts)) AS gone_at FROM events
+        WHERE event_type = 'error' AND epoch_us(ts) < {HIGH} GROUP BY user_id),
+      last AS (SELECT *, row_number() OVER (PARTITION BY row_key, super_column, column_name
+        ORDER BY ts DESC, gone DESC, value DESC) AS rn FROM e)
+      SELECT 'usertable' AS keyspace, 'data' AS column_family, row_key, super_column, column_name, value, ts
+      FROM last LEFT JOIN marks USING (row_key, super_column) WHERE rn = 1 AND NOT gone AND (gone_at IS NULL OR ts > gone_at)""",
+    "parse_multiline_log": f"""WITH b AS (SELECT [chr(10), chr(10) || chr(10), chr(13), chr(13) || chr(10), ']' || chr(10) || '[',
+        '][', ']' || chr(10), chr(10) || '[', chr(10) || chr(27) || '[', ']'] AS breaks)
+      SELECT {PATH}, op, breaks[seq % 10 + 1] || value || breaks[seq % 10 + 1] AS value, ts FROM ({MUTATIONS}), b""",
     "hex_to_string": "SELECT c_custkey, c_name AS name FROM customer",
     "tracking_window_filter": f"SELECT * FROM ({VERSIONS}) WHERE ts > {LOW} AND ts < {HIGH}",
     "log_drop_system": f"""SELECT 'usertable' AS keyspace, {_USER} AS row_key,
@@ -390,6 +421,7 @@ ORACLE_SQL: dict[str, str] = {
     "audit_name_split": _SPLIT_AUDIT,
     "scan_standard": _scan(CELLS_STD),
     "scan_super": _scan(CELLS_SUPER),
+    "scan_clustered": _scan(CELLS_STD),
     "audit_bootstrap": _audit_bootstrap(CELLS_STD),
     "audit_bootstrap_super": _audit_bootstrap(CELLS_SUPER),
     "audit_changes": _audit(AUDIT),
@@ -451,6 +483,14 @@ ORACLE_SQL: dict[str, str] = {
     "stream_log_changes": _log(_TIED, "classified"),
     "compacted_changes": _log(_TIED, "upsert"),
     "stream_rejected_lines": _FLAGGED_BAD,
+    "stream_tracking": f"""WITH {_WINDOWS}, {_CLOSED}
+      SELECT keyspace, column_family, row_key, 'up_old' AS state, column_name, (w.r).value AS value,
+        CASE (w.r).rank WHEN 0 THEN (w.r).ts ELSE (w.r).until END AS ts
+      FROM (SELECT {_ROW}, column_name, max(r) AS r FROM effects GROUP BY ALL) w WHERE (w.r).rank <> 1
+      UNION ALL SELECT {_ROW}, state, column_name, value, ts FROM waiting WHERE NOT closed""",
+    "stream_tracking_changes": f"""WITH {_WINDOWS}, {_CLOSED}
+      SELECT CASE state WHEN 'up_new' THEN 'upd' ELSE state END AS op, keyspace, 'data' AS column_family, row_key,
+        CAST(NULL AS varchar) AS super_column, column_name, value, ts, until AS cycle FROM waiting WHERE closed""",
     "slice_super_columns": f"SELECT {CELL} FROM ({CELLS_SUPER}) WHERE length(super_column) <= 8",
     "written_changes": f"""SELECT 'parquet' AS form, op || '/' || {_FULL_PATH} AS key, value FROM ({_scan(CELLS_SUPER)})
       UNION ALL SELECT 'text', op || '/' || {_FULL_PATH}, value FROM ({_scan(CELLS_SUPER)})""",
@@ -459,7 +499,19 @@ ORACLE_SQL: dict[str, str] = {
       UNION ALL SELECT {_CHANGE}, 3 FROM ({_scan(CELLS_STD)}) WHERE column_name = 'priority'""",
     "missing_snapshot": _differential(SNAP_OLD, SNAP_NEW),
     "bucketed_differential": _differential(SNAP_OLD, SNAP_NEW),
+    "digest_differential": _differential(SNAP_OLD, SNAP_NEW),
+    "digest_differential_few": f"""SELECT CASE row_key::BIGINT % 1000 WHEN 7 THEN 'del' ELSE 'upd' END AS op,
+      {PATH}, value, CASE row_key::BIGINT % 1000 WHEN 7 THEN ts ELSE ts + 1 END AS ts
+      FROM ({SNAP_NEW}) WHERE row_key::BIGINT % 1000 IN (7, 8)""",
+    "chained_scans": f"""SELECT {CELL} FROM (SELECT *, row_number() OVER
+      (PARTITION BY {PATH} ORDER BY ts DESC, value DESC) AS rn FROM ({VERSIONS})) WHERE rn = 1""",
+    "chained_differential": f"SELECT {CELL} FROM ({SNAP_NEW})",
     "cycle_scans": f"""SELECT 'upsert' AS op, {CELL}, CASE WHEN ts <= {CYCLE} THEN {CYCLE} ELSE {HIGH} END AS cycle
       FROM ({CELLS_STD})""",
+    "retried_cycles": f"""SELECT 'upsert' AS op, {CELL}, CASE WHEN ts <= {RETENTION} THEN {RETENTION}
+      WHEN ts <= {CYCLE} THEN {CYCLE} ELSE {HIGH} END AS cycle FROM ({CELLS_STD})""",
+    "created_tracking": f"""WITH c AS ({CELLS_STD})
+      SELECT {_ROW}, 'up_old' AS state, column_name, value, ts FROM c
+      UNION ALL SELECT {_ROW}, 'up_new', column_name, value, ts FROM c WHERE ts > {CYCLE}""",
     "created_tables": f"SELECT {CELL} FROM ({CELLS_STD}) UNION ALL SELECT {CELL} FROM ({CELLS_SUPER})",
 }

@@ -13,6 +13,9 @@ LIVE_LOCAL_DELETION = "-2147483648"
 LIVE_MARKED_FOR_DELETE = "-9223372036854775808"
 
 SEPARATOR = "]["
+# What lies between two records of a file, and the mark of `render_log(escape=True)`.
+RECORD_END = "]\n["
+_MARK = "\x1b"
 # Where a line was read, see `log_lines`.
 FILE_COLUMNS = ("file_time", "file_path", "file_block")
 
@@ -22,9 +25,23 @@ def _line(*fields: Column | str) -> Column:
     return F.concat(F.lit("["), F.concat_ws(SEPARATOR, *columns), F.lit("]"))
 
 
-def render_log(mutations: DataFrame, is_super: bool = False) -> DataFrame:
+def _escaped(line: Column) -> Column:
+    """The line with a mark behind each line break in it that could be taken for its end.
+
+    Then no record holds the text between two records (`RECORD_END`), and none ends in
+    a line break.
+    """
+    inner = F.substring(line, F.lit(2), F.char_length(line) - 2)
+    marked = F.regexp_replace(inner, rf"\n(?=\[|{_MARK}|\z)", f"\n{_MARK}")
+    return F.concat(F.lit("["), marked, F.lit("]"))
+
+
+def render_log(mutations: DataFrame, is_super: bool = False, escape: bool = False) -> DataFrame:
     """One `value` line per mutation.
 
+    Values are written as they are, line breaks included. `log_records` reads such lines back unless a
+    value looks like the end of a record; with `escape` any value comes back.
+
     Without a column name the mutation deletes its super column, or its whole row
     when it has no super column either; the local deletion time of such a line is
     the mutation time in seconds. Text has no null: a null value is written as an empty
@@ -50,7 +67,7 @@ def render_log(mutations: DataFrame, is_super: bool = False) -> DataFrame:
     else:
         line = F.when(F.col("column_name").isNotNull(), _line(*head, *live, *cell))
         line = line.otherwise(row_deletion)
-    return mutations.select(line.alias("value"))
+    return mutations.select((_escaped(line) if escape else line).alias("value"))
 
 
 def _fields(lines: DataFrame, is_super: bool) -> DataFrame:
@@ -152,9 +169,30 @@ def split_log(lines: DataFrame, is_super: bool = False) -> DataFrame:
 
 def log_lines(reader: DataFrameReader | DataStreamReader, path: str) -> DataFrame:
     """The lines of a log folder (`spark.read` or `spark.readStream`) and their places."""
+    return _placed(reader.schema("value string").text(path), F.col("value"))
+
+
+def log_records(reader: DataFrameReader | DataStreamReader, path: str, escaped: bool = False) -> DataFrame:
+    """As `log_lines`, but a record may go over several lines.
+
+    Files are split at what ends one record and begins the next, so a record that lies in two
+    splits is read by the one it begins in. Any other line break belongs to the record, also a
+    lone carriage return; a line that is no record is thus taken for the end of the one before
+    it. `escaped` undoes `render_log(escape=True)`. Files end with a line break.
+    """
+    records = reader.schema("value string").option("lineSep", RECORD_END).text(path)
+    first, last = F.startswith("value", F.lit("[")), F.endswith("value", F.lit("]\n"))
+    start, dropped = first.cast("int"), first.cast("int") + 2 * last.cast("int")
+    inner = F.substring("value", start + 1, F.char_length("value") - dropped)
+    if escaped:
+        inner = F.replace(inner, F.lit(f"\n{_MARK}"), F.lit("\n"))
+    return _placed(records, F.concat(F.lit("["), inner, F.lit("]")))
+
+
+def _placed(lines: DataFrame, value: Column) -> DataFrame:
     source = F.col("_metadata")
-    return reader.schema("value string").text(path).select(
-        "value",
+    return lines.select(
+        value.alias("value"),
         source["file_modification_time"].alias("file_time"),
         source["file_path"].alias("file_path"),
         source["file_block_start"].alias("file_block"),
@@ -186,11 +224,15 @@ def rejected_log_lines(lines: DataFrame, is_super: bool = False) -> DataFrame:
     return _fields(lines, is_super).select(F.explode(rejected).alias("value"))
 
 
-def read_log(spark: SparkSession, path: str, is_super: bool = False) -> DataFrame:
-    """The mutations of a log folder, in the order of its files."""
-    return parse_log(log_lines(spark.read, path), is_super)
+def read_log(spark: SparkSession, path: str, is_super: bool = False, escaped: bool | None = None) -> DataFrame:
+    """The mutations of a log folder, in the order of its files.
+
+    With `escaped` given, true or false, values may hold line breaks (`log_records`).
+    """
+    lines = log_lines(spark.read, path) if escaped is None else log_records(spark.read, path, escaped)
+    return parse_log(lines, is_super)
 
 
-def write_log(mutations: DataFrame, path: str, is_super: bool = False) -> None:
+def write_log(mutations: DataFrame, path: str, is_super: bool = False, escape: bool = False) -> None:
     """Append the lines of `mutations` to the log folder."""
-    render_log(mutations, is_super).write.mode("append").text(path)
+    render_log(mutations, is_super, escape).write.mode("append").text(path)

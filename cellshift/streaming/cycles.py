@@ -1,283 +1,350 @@
-"""Extraction cycles over a mutation log that keeps growing.
+"""Extraction cycles over streams, with all state in Spark's own store.
 
-Each cycle is one micro-batch. The stream's checkpoint takes the place of the saved
-cycle, and no watermark is needed: after every batch the results equal one run over all
-input. What a row needs for that are a few mutations of each of its cells
-(`reduce_log`), so they are its state, and the log itself is never read again.
+Each cycle is a run of a streaming query over what has arrived since the last one. The query's
+checkpoint takes the place of the saved cycle: a lost executor or a restarted query goes
+on from the last batch that was committed. What has to be remembered is keyed by cell,
+in RocksDB state that Spark logs, snapshots and compacts below the checkpoint, and is read
+from there as a table (`net_state`, `current_tracking`):
 
-All state lives in Parquet folders next to each other, a folder for each batch:
+* of a log, each cell's newest mutation, the one before it and its first insertion
+  (`LogCell`). `changes_by_log` over those equals one run over the whole log.
+* of a tracking table, each cell's founding row and what is pending (`TrackedCell`), with
+  an event-time timer at the end of each window that has something pending.
 
-    arrived                     the mutations of the last batch, as they came
-    rejected/batch=N            the lines of batch N that are no mutations
-    state/batch=N/bucket=B      state of the rows that batch N touched, by hash of the row
-    touched/batch=N/bucket=B    those rows
-    changes/batch=N/bucket=B    their results
-
-Every `merge_every`-th batch takes up all rows instead of those it touches and so makes
-older folders void: a batch reads the folders since then, those of its own buckets. The
-void folders can be removed at any time (`void_batches`).
-
-A batch writes only folders of its own number and replaces them when it is tried
-again, so a lost executor or a restarted query repeats work but never doubles it.
+Rows are reduced per cell before the shuffle, so that a cell with a third of all rows sends few
+records per Arrow batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from cellshift.model import (
-    CHANGE_COLUMNS,
-    CHANGE_SCHEMA,
-    MUTATION_COLUMNS,
-    MUTATION_SCHEMA,
-    ROW_KEYS,
-    TRACKING_COLUMNS,
-    TRACKING_SCHEMA,
-    UP_OLD,
-    row_struct,
-)
-from cellshift.operators.grouping import RANK, newest
-from cellshift.operators.log import changes_by_log, reduce_log
-from cellshift.operators.tracking import CELL, changes_by_tracking, tracking_step
-from cellshift.sources.mutation_log import FILE_COLUMNS, with_read_order
-from cellshift.sources.sinks import append_changes
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-BUCKETS = 64
-MERGE_EVERY = 16
-# Read order across batches: time, then batch, then order within the batch.
-ORDER = ("ts", "arrived", "seq")
+import pandas as pd
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from cellshift.model import CHANGE_COLUMNS, DEL, INS, MUTATION_COLUMNS, PATH, ROW_KEYS, TRACKING_COLUMNS, UP_NEW, UP_OLD
+from cellshift.operators.log import changes_by_log
+from cellshift.operators.tracking import CELL
+from cellshift.sources.mutation_log import FILE_COLUMNS
 
-def _read(spark: SparkSession, base: str, schema: str, batches: list[int]) -> DataFrame:
-    """The rows below `base` that the given batches wrote."""
-    if not batches:
-        return spark.createDataFrame([], schema)
-    paths = [f"{base}/batch={n}" for n in batches]
-    return spark.read.schema(schema).option("basePath", base).parquet(*paths)
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_CELL = "cell"  # name of the state variable
 
 
-def _last_batch(spark: SparkSession, base: str) -> int | None:
-    """The last batch with a folder below `base`."""
+@contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB; the session's setting comes back."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
     try:
-        folders = spark.read.schema("batch bigint").parquet(base)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
+
+def _state(spark: SparkSession, checkpoint: str) -> DataFrame | None:
+    """The state of all cells as of the last committed batch; None before the first."""
+    try:
+        return spark.read.format("statestore").option("stateVarName", _CELL).load(checkpoint)
+    except PySparkException as e:  # no checkpoint, or none with a committed batch
+        if "STDS" not in (e.getCondition() or ""):
             raise
         return None
-    return folders.agg(F.max("batch")).first()[0]
 
 
-def _write(df: DataFrame, path: str, number: int, *partitions: str) -> None:
-    """Replace folder `batch=number`. One file per bucket where they are small, several
-    tasks for a hot one."""
-    df = df.hint("rebalance", *partitions) if partitions else df
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
-        *partitions
-    ).parquet(f"{path}/batch={number}")
+# --- the log ----------------------------------------------------------------------------
 
+_PATH_DDL = ", ".join(f"{c} string" for c in PATH)
+_NEWEST = "op string, value string, ts bigint, prev_op string, prev_ts bigint, inserted_at bigint, mutations bigint"
+_ARRIVED = f"{_PATH_DDL}, {_NEWEST}, place string, prev_place string"
 
-def _ddl(schema) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
 
+def reduce_arrivals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row per cell of each Arrow batch: its newest mutation, the one before, its first
+    insertion and how many there were. Equal times: by `place`, then by the order read."""
+    read = 0
+    for df in batches:
+        rank = df["seq"].astype("Int64").fillna(pd.Series(range(read, read + len(df)), index=df.index))
+        read += len(df)
+        df["place"] = df["place"] + rank.map(lambda n: f"{n + (1 << 63):020d}")
+        df["cell"] = df.groupby(PATH, dropna=False, sort=False).ngroup()
+        df = df.sort_values(["ts", "place"], kind="stable")
+        last = df.drop_duplicates("cell", keep="last").set_index("cell")
+        before = df.drop(index=df.index[~df.duplicated("cell", keep="last")])
+        before = before.drop_duplicates("cell", keep="last").set_index("cell")
+        cells = df.groupby("cell")
+        out = last[[*PATH, "op", "value", "ts", "place"]].copy()
+        out["prev_op"], out["prev_place"] = before["op"], before["place"]
+        out["prev_ts"] = before["ts"].astype("Int64")
+        out["inserted_at"] = df[df["op"] == INS].groupby("cell")["ts"].min().astype("Int64")
+        out["mutations"] = cells.size()
+        yield out[[c.split()[0] for c in _ARRIVED.split(", ")]]
 
-_STATE = f"{_ddl(MUTATION_SCHEMA)}, arrived bigint, bucket int, batch bigint"
-_TOUCHED = "keyspace string, column_family string, row_key string, bucket int, batch bigint"
-_CHANGES = f"{_ddl(CHANGE_SCHEMA)}, bucket int, batch bigint"
 
+class LogCell(StatefulProcessor):
+    """The two newest mutations of a cell and the time of its first insertion.
 
-def first_batch(number: int, merge_every: int = MERGE_EVERY) -> int:
-    """The first batch whose folders still count when batch `number` is through."""
-    return number // merge_every * merge_every
-
+    Of equal times the one that arrived in a later batch is the newer one.
+    """
 
-def void_batches(number: int, merge_every: int = MERGE_EVERY) -> range:
-    """The batches whose folders nothing reads any more once batch `number` is through.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cell = handle.getValueState(_CELL, _NEWEST)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        found, inserted, mutations = [], [], 0
+        if self.cell.exists():
+            op, value, ts, prev_op, prev_ts, first, mutations = self.cell.get()
+            found.append((ts, 0, "1", op, value))
+            if prev_op is not None:
+                found.append((prev_ts, 0, "0", prev_op, None))
+            inserted.append(first)
+        for r in rows:
+            found.append((r.ts, 1, r.place, r.op, r.value))
+            if r.prev_op is not None:
+                found.append((r.prev_ts, 1, r.prev_place, r.prev_op, None))
+            inserted.append(r.inserted_at)
+            mutations += r.mutations
+        found.sort(key=lambda m: m[:3], reverse=True)
+        ts, _, _, op, value = found[0]
+        prev_ts, _, _, prev_op, _ = found[1] if len(found) > 1 else (None,) * 5
+        first = min((t for t in inserted if t is not None), default=None)
+        self.cell.update((op, value, ts, prev_op, prev_ts, first, mutations))
+        yield Row(**dict(zip(PATH, key, strict=True)))
+
+    def close(self) -> None:
+        pass
+
+
+def touched_cells(mutations: DataFrame) -> DataFrame:
+    """The streaming paths that a batch of `mutations` touched; what they need is state."""
+    if set(FILE_COLUMNS) <= set(mutations.columns):
+        place = F.format_string("%020d|%s|%020d|", F.unix_micros("file_time"), "file_path", "file_block")
+    else:
+        place = F.lit("")
+    arrived = mutations.select(*PATH, "op", "value", "ts", "seq", place.alias("place")).mapInPandas(reduce_arrivals, _ARRIVED)
+    return arrived.groupBy(*PATH).transformWithState(LogCell(), _PATH_DDL, "Update", "None")
+
+
+class Cycle:
+    """The queries of one cycle."""
+
+    def __init__(self, *queries: StreamingQuery):
+        self.queries = queries
+
+    def awaitTermination(self) -> None:
+        for query in self.queries:
+            query.awaitTermination()
+
+
+def run_cycle(mutations: DataFrame, checkpoint: str, base: str) -> Cycle:
+    """Take up all mutations that arrived since the last cycle, then stop.
 
-    Batch `number` itself may still be tried again, so what it starts from is kept.
+    `mutations` is a streaming DataFrame, such as `split_log` over
+    `log_lines(spark.readStream, ...)`. Results are read with `current_changes`; below `base`
+    lie the paths each batch touched (`touched`) and the rejected lines, if `mutations` has them.
     """
-    return range(first_batch(number - 1, merge_every)) if number > 0 else range(0)
+    spark = mutations.sparkSession
+    queries = []
+    if "rejected" in mutations.columns:
+        lines = mutations.where(F.col("rejected").isNotNull()).select(F.col("rejected").alias("value"))
+        sink = lines.writeStream.format("parquet").option("path", f"{base}/rejected")
+        queries.append(_start(sink, f"{checkpoint}/rejected"))
+        mutations = mutations.where(F.col("rejected").isNull())
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{base}/touched/batch={number}")
 
-def _batches(number: int, merge_every: int) -> list[int]:
-    return list(range(first_batch(number, merge_every), number + 1))
+    with _rocksdb(spark):
+        sink = touched_cells(mutations).writeStream.outputMode("update").foreachBatch(write)
+        queries.append(_start(sink, f"{checkpoint}/cells"))
+    return Cycle(*queries)
 
 
-def collapse_batch(
-    batch: DataFrame,
-    number: int,
-    base: str,
-    mode: str = "classified",
-    scope: str = "row",
-    buckets: int = BUCKETS,
-    merge_every: int = MERGE_EVERY,
-) -> None:
-    """Add one batch of mutations to the state and replace its rows' results.
+def _start(sink, checkpoint: str) -> StreamingQuery:
+    return sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    Rows of `split_log` with a rejected line go to `rejected`, with their line.
-    """
-    spark = batch.sparkSession
-    if "rejected" in batch.columns:
-        lines = batch.where(F.col("rejected").isNotNull()).select(F.col("rejected").alias("value"))
-        _write(lines, f"{base}/rejected", number)
-        batch = batch.where(F.col("rejected").isNull())
-    if set(FILE_COLUMNS) <= set(batch.columns):
-        batch = with_read_order(batch)
-    bucket = F.pmod(F.xxhash64(*ROW_KEYS), F.lit(buckets)).cast("int")
-    # Written once, so that all that follows sees one order.
-    batch.select(*MUTATION_COLUMNS).withColumns(
-        {
-            "seq": F.coalesce("seq", F.monotonically_increasing_id()),
-            "arrived": F.lit(number).cast("bigint"),
-            "bucket": bucket,
-        }
-    ).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{base}/arrived")
-    own = spark.read.schema(f"{_ddl(MUTATION_SCHEMA)}, arrived bigint, bucket int").parquet(f"{base}/arrived")
-    hit = own.select(*ROW_KEYS, "bucket").distinct()
-    before = _batches(number - 1, merge_every) if number else []
-    if number % merge_every == 0:
-        known = _read(spark, f"{base}/touched", _TOUCHED, before)
-        hit = hit.unionByName(known.select(*ROW_KEYS, "bucket")).distinct()
-    # At most `buckets` numbers come to the driver; only their folders are read.
-    numbers = sorted(r[0] for r in hit.select("bucket").distinct().collect())
-    own_buckets = F.col("bucket").isin(numbers)
-    touched = _read(spark, f"{base}/touched", _TOUCHED, before).where(own_buckets)
-    state = _current(touched, _read(spark, f"{base}/state", _STATE, before).where(own_buckets))
-    # Joined on the struct, built after the grouping: a hot row can be split.
-    state = state.select("*", row_struct()).join(hit.select(row_struct()), "row", "left_semi")
-    columns = [*MUTATION_COLUMNS, "arrived"]
-    reduced = reduce_log(state.select(*columns).unionByName(own.select(*columns)), ORDER)
-    _write(reduced.withColumn("bucket", bucket), f"{base}/state", number, "bucket")
-    _write(hit, f"{base}/touched", number, "bucket")
-    now = _read(spark, f"{base}/state", _STATE, [number])
-    changes = changes_by_log(now.drop("bucket", "batch"), mode, scope, order=ORDER)
-    _write(changes.withColumn("bucket", bucket), f"{base}/changes", number, "bucket")
-
-
-def current_changes(spark: SparkSession, base: str, merge_every: int = MERGE_EVERY) -> DataFrame:
-    """The results of all batches: for each row those of the last batch to touch it."""
-    last = _last_batch(spark, f"{base}/touched")
-    batches = [] if last is None else _batches(last, merge_every)
-    touched = _read(spark, f"{base}/touched", _TOUCHED, batches)
-    changes = _read(spark, f"{base}/changes", _CHANGES, batches)
-    return _current(touched, changes).select(*CHANGE_COLUMNS)
 
+def net_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The mutations that decide the changes of all cells: at most three a cell.
 
-def rejected_lines(spark: SparkSession, base: str) -> DataFrame:
-    """(value, batch): the lines that were no mutations, and when they came."""
-    last = _last_batch(spark, f"{base}/rejected")
-    if last is None:
-        return spark.createDataFrame([], "value string, batch bigint")
-    return spark.read.schema("value string, batch bigint").parquet(f"{base}/rejected")
-
-
-def _current(touched: DataFrame, rows: DataFrame) -> DataFrame:
-    last = touched.groupBy(*ROW_KEYS).agg(F.max("batch").alias("batch"))
-    version = F.struct(*ROW_KEYS, "batch").alias("version")
-    return rows.select("*", version).join(last.select(version), "version", "left_semi")
-
-
-def run_cycle(
-    mutations: DataFrame,
-    checkpoint: str,
-    base: str,
-    mode: str = "classified",
-    scope: str = "row",
-    buckets: int = BUCKETS,
-    merge_every: int = MERGE_EVERY,
-) -> StreamingQuery:
-    """Process all mutations that arrived since the last cycle, then stop.
-
-    `mutations` is a streaming DataFrame, such as `split_log` over
-    `log_lines(spark.readStream, ...)`. Keep `buckets` and `merge_every` as they are for
-    the life of a state.
+    A row has one of them only if it had one.
     """
+    state = _state(spark, f"{checkpoint}/cells")
+    types = ", ".join(f"{c} {'bigint' if c in ('ts', 'seq') else 'string'}" for c in MUTATION_COLUMNS)
+    if state is None:
+        return spark.createDataFrame([], types)
+    v = F.col("value")
+
+    def mutation(op, value, ts, seq: int):
+        return F.struct(op.alias("op"), value.cast("string").alias("value"), ts.alias("ts"), F.lit(seq).cast("bigint").alias("seq"))
+
+    newest = mutation(v["op"], v["value"], v["ts"], 2)
+    before = F.when(v["prev_op"].isNotNull(), mutation(v["prev_op"], F.lit(None), v["prev_ts"], 1))
+    # A third one, unless one of the two is an insertion of that time.
+    among = ((v["op"] == INS) & (v["ts"] == v["inserted_at"])) | ((v["prev_op"] == INS) & (v["prev_ts"] == v["inserted_at"]))
+    third = v["inserted_at"].isNotNull() & ~F.coalesce(among, F.lit(False))
+    first = F.when(third, mutation(F.lit(INS), F.lit(None), v["inserted_at"], 0))
+    each = F.explode(F.array_compact(F.array(newest, before, first))).alias("m")
+    return state.select(F.col("key.*"), each).select(*PATH, "m.*").select(*MUTATION_COLUMNS)
+
+
+def current_changes(spark: SparkSession, checkpoint: str, mode: str = "classified", scope: str = "row") -> DataFrame:
+    """The net changes after all cycles, as `changes_by_log` over the whole log."""
+    return changes_by_log(net_state(spark, checkpoint), mode, scope)
+
+
+def batch_changes(
+    spark: SparkSession, checkpoint: str, base: str, number: int, mode: str = "classified", scope: str = "row"
+) -> DataFrame:
+    """The current changes of the rows that batch `number` touched."""
+    try:
+        touched = spark.read.schema(_PATH_DDL).parquet(f"{base}/touched/batch={number}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        touched = spark.createDataFrame([], _PATH_DDL)
+    rows = F.struct(*ROW_KEYS).alias("row")
+    state = net_state(spark, checkpoint).select("*", rows)
+    own = state.join(touched.select(rows).distinct(), "row", "left_semi").drop("row")
+    return changes_by_log(own, mode, scope)
 
-    def step(batch: DataFrame, number: int) -> None:
-        collapse_batch(batch, number, base, mode, scope, buckets, merge_every)
 
-    return _start(mutations, checkpoint, step)
+def rejected_lines(spark: SparkSession, base: str) -> DataFrame:
+    """(value): the lines that were no mutations."""
+    try:
+        return spark.read.schema("value string").parquet(f"{base}/rejected")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "value string")
+
 
+# --- the tracking table -------------------------------------------------------------------
 
-_VERSIONED = f"{_ddl(TRACKING_SCHEMA)}, gone boolean, batch bigint"
+# What a cell's row in `up_old` came from, by precedence within a window.
+_RANK = {UP_OLD: 0, DEL: 1, INS: 2, UP_NEW: 3}
+_TRACKED = (
+    "until bigint, rank int, value string, ts bigint, "
+    "pending array<struct<until: bigint, state: string, ts: bigint, value: string>>"
+)
+_CHANGED = ", ".join(f"{c} {'bigint' if c == 'ts' else 'string'}" for c in CHANGE_COLUMNS) + ", cycle bigint"
 
 
-def maintain_batch(
-    batch: DataFrame,
-    number: int,
-    base: str,
-    now: int,
-    source_table: str | None = None,
-    merge_every: int = MERGE_EVERY,
-) -> None:
-    """One cycle of a tracking table: extract what is pending, then maintain it.
+class TrackedCell(StatefulProcessor):
+    """A cell of a tracking table, whose windows close as event time passes their ends.
 
-    `batch` holds the rows that arrived; one that repeats a pending (row, state, column)
-    replaces it, as a later write would, and rows in `up_old` found the table. Batch N
-    writes what it changed: `pending/batch=N`, all that is still pending after it, and
-    `old/batch=N`, the `up_old` rows it wrote or took away (`gone`); every
-    `merge_every`-th batch all `up_old` rows. A repeated batch starts from the same
-    folders.
+    Pending rows wait for the end of their window, or, if that has passed, of the next one.
+    There the newest row of each state is a change, and one of them takes the cell's place in
+    `up_old`, dated with the window's end: the update, else the insertion; a deletion alone takes
+    it away. Founding rows (`up_old`) take their place when they arrive, unless
+    something of the same window or a later one has it.
     """
-    spark = batch.sparkSession
-    window = (0, now)
-    waiting = _read(spark, f"{base}/pending", f"{_ddl(TRACKING_SCHEMA)}, batch bigint", [number - 1] if number else [])
-    arrived = batch.select(*TRACKING_COLUMNS)
-    pending = waiting.select(*TRACKING_COLUMNS).unionByName(arrived.where(F.col("state") != UP_OLD))
-    pending = newest(pending, [*CELL, "state"], ["ts", "value"]).drop(RANK)
-    append_changes(changes_by_tracking(pending, source_table, window), f"{base}/changes", number)
-    still, promoted, retired = tracking_step(pending, window, now)
-    _write(still, f"{base}/pending", number)
-    founded = newest(arrived.where(F.col("state") == UP_OLD), CELL, ["ts", "value"]).drop(RANK)
-    rest = founded.join(promoted.unionByName(retired), CELL, "left_anti").select(*TRACKING_COLUMNS)
-    written = promoted.unionByName(rest)
-    delta = written.withColumn("gone", F.lit(False)).unionByName(retired.withColumn("gone", F.lit(True)))
-    if number % merge_every == 0:
-        before = _old_rows(spark, base, number - 1, merge_every) if number else None
-        if before is not None:
-            kept = before.join(delta.select(*CELL), CELL, "left_anti").withColumn("gone", F.lit(False))
-            delta = kept.unionByName(delta.where(~F.col("gone")))
-    _write(delta, f"{base}/old", number)
-
-
-def _old_rows(spark: SparkSession, base: str, number: int, merge_every: int) -> DataFrame:
-    """The `up_old` rows after batch `number`: of each cell what was written last."""
-    deltas = _read(spark, f"{base}/old", _VERSIONED, _batches(number, merge_every))
-    last = newest(deltas, CELL, ["batch"]).where(~F.col("gone"))
-    return last.select(*TRACKING_COLUMNS)
-
-
-def current_tracking(spark: SparkSession, base: str, number: int, merge_every: int = MERGE_EVERY) -> DataFrame:
-    """The whole tracking table after batch `number`."""
-    pending = _read(spark, f"{base}/pending", f"{_ddl(TRACKING_SCHEMA)}, batch bigint", [number])
-    return pending.select(*TRACKING_COLUMNS).unionByName(_old_rows(spark, base, number, merge_every))
+
+    def __init__(self, width: int, origin: int, source_table: str | None):
+        self.width, self.origin, self.source_table = width, origin, source_table
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cell = handle.getValueState(_CELL, _TRACKED)
+
+    def _end(self, ts: int) -> int:
+        """End of the window that holds `ts`."""
+        return ts - (ts - self.origin) % self.width + self.width
+
+    def _get(self) -> tuple:
+        if not self.cell.exists():
+            return None, []
+        *old, pending = self.cell.get()
+        return (None if old[0] is None else tuple(old)), [tuple(p) for p in pending]
+
+    def _put(self, old: tuple | None, pending: list) -> None:
+        self.cell.update((*(old or (None,) * 4), pending))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        old, pending = self._get()
+        kept = {(until, state): (ts, value) for until, state, ts, value in pending}
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        for r in rows:
+            if r.at is not None:  # tells the time and nothing else
+                continue
+            until = self._end(r.ts)
+            if r.state == UP_OLD:
+                new = (until, _RANK[UP_OLD], r.value, r.ts)
+                if old is None or (new[:2], r.ts, r.value) > (old[:2], old[3], old[2] or ""):
+                    old = new
+                continue
+            if until <= passed:
+                until = self._end(passed)
+            if (until, r.state) not in kept:
+                self.handle.registerTimer(until // 1000)
+            kept[until, r.state] = max(kept.get((until, r.state), (r.ts, r.value)), (r.ts, r.value))
+        if old is not None or kept:
+            self._put(old, [(until, state, *what) for (until, state), what in sorted(kept.items())])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        old, pending = self._get()
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        changed = []
+        for until, state, ts, value in pending:  # by window
+            if until > now:
+                continue
+            keyspace, table, row_key, column = key
+            op = "upd" if state == UP_NEW else state
+            changed.append(Row(op=op, keyspace=keyspace, column_family=self.source_table or table, row_key=row_key,
+                               super_column=None, column_name=column, value=value, ts=ts, cycle=until))
+            if old is None or (until, _RANK[state]) > old[:2]:
+                old = (until, _RANK[state], None if state == DEL else value, until)
+        self._put(old, [p for p in pending if p[0] > now])
+        return iter(changed)
+
+    def close(self) -> None:
+        pass
 
 
 def run_tracking_cycle(
-    arrivals: DataFrame,
-    checkpoint: str,
-    base: str,
-    clock: Callable[[], int],
-    source_table: str | None = None,
-    merge_every: int = MERGE_EVERY,
-) -> StreamingQuery:
-    """Run `maintain_batch` on the tracking rows that arrived since the last cycle."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        maintain_batch(batch, number, base, clock(), source_table, merge_every)
-
-    return _start(arrivals, checkpoint, step)
-
-
-def _start(
-    stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]
-) -> StreamingQuery:
-    return (
-        stream.writeStream.foreachBatch(step)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    arrivals: DataFrame, checkpoint: str, base: str, width: int, origin: int = 0, source_table: str | None = None
+) -> Cycle:
+    """Take up the tracking rows that arrived, extract and maintain what windows they closed.
+
+    Windows are `width` micros long, counted from `origin`, whole milliseconds both. A window is closed
+    by the first row with a time at or after its end. The changes lie in
+    `<base>/changes`, by the window's end (`cycle`).
+    """
+    if width % 1000 or origin % 1000 or width <= 0:
+        raise ValueError("windows begin and end at whole milliseconds")
+    def newest_of_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            window = (df["ts"] - origin) // width
+            last = df.assign(window=window).sort_values(["ts", "value"]).drop_duplicates([*CELL, "state", "window"], keep="last")
+            last = last[TRACKING_COLUMNS].assign(at=None)
+            # Spark drops rows whose event time has passed, and late rows are to stay. So rows
+            # have none but for a copy of the newest one, which moves the clock on.
+            clock = last.nlargest(1, "ts")
+            yield pd.concat([last, clock.assign(at=clock["ts"])]).astype({"at": "Int64"})
+
+    rows = arrivals.select(*TRACKING_COLUMNS)
+    rows = rows.mapInPandas(newest_of_windows, T.StructType([*rows.schema.fields, T.StructField("at", T.LongType())]))
+    timed = rows.withColumn("at", F.timestamp_micros("at")).withWatermark("at", "0 seconds")
+    cells = timed.groupBy(*CELL).transformWithState(
+        TrackedCell(width, origin, source_table), _CHANGED, "Append", "EventTime"
     )
+    sink = cells.writeStream.outputMode("append").format("parquet").partitionBy("cycle").option("path", f"{base}/changes")
+    with _rocksdb(arrivals.sparkSession):
+        return Cycle(_start(sink, f"{checkpoint}/tracked"))
+
+
+def current_tracking(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The whole tracking table: `up_old` and what is pending."""
+    state = _state(spark, f"{checkpoint}/tracked")
+    if state is None:
+        return spark.createDataFrame([], ", ".join(f"{c} {'bigint' if c == 'ts' else 'string'}" for c in TRACKING_COLUMNS))
+    old = state.where("value.rank is not null and value.rank <> 1")
+    old = old.select("key.*", F.lit(UP_OLD).alias("state"), "value.value", "value.ts")
+    waiting = state.select("key.*", F.explode("value.pending").alias("p"))
+    waiting = waiting.select(*CELL, "p.state", "p.value", "p.ts")
+    return old.select(*TRACKING_COLUMNS).unionByName(waiting.select(*TRACKING_COLUMNS))

@@ -3,8 +3,11 @@ from helpers import rows
 
 from cellshift import (
     append_changes,
+    changes_by_scan,
     create_cell_table,
     cycle_window,
+    extract_cycle,
+    planned_cycle,
     read_cycle,
     save_cycle,
     sort_by_key,
@@ -38,6 +41,39 @@ def test_a_window_is_saved_only_after_success(spark, tmp_path):
         assert last == T0 < now
 
 
+def test_a_failed_window_is_run_again_as_planned(spark, cells, tmp_path):
+    state, out = str(tmp_path / "cycle"), str(tmp_path / "out")
+    there = cells(("a", "c", "v", T0 - 1), ("b", "c", "v", T0 + 1))
+
+    def extract(last, until):
+        return changes_by_scan(there, last, until=until)
+
+    def lost(last, until):
+        append_changes(extract(last, until), out, until)
+        raise RuntimeError  # between append and save
+
+    for later in (0, 5, 10):
+        with pytest.raises(RuntimeError):
+            extract_cycle(spark, state, out, lost, now=T0 + later)
+        assert read_cycle(spark, state) == 0
+        assert planned_cycle(spark, state) == T0
+    assert extract_cycle(spark, state, out, extract, now=T0 + 20) == T0
+    assert planned_cycle(spark, state) is None
+    assert extract_cycle(spark, state, out, extract, now=T0 + 20) == T0 + 20
+    assert rows(spark.read.parquet(out), "row_key", "cycle") == [("a", T0), ("b", T0 + 20)]
+
+
+def test_a_plan_belongs_to_the_cycle_it_follows(spark, tmp_path):
+    path = str(tmp_path / "cycle")
+    with pytest.raises(RuntimeError):
+        with cycle_window(spark, path, T0):
+            raise RuntimeError
+    save_cycle(spark, path, T0 - 7)  # set by hand: the plan is void
+    assert planned_cycle(spark, path) is None
+    with cycle_window(spark, path, T0 + 1) as window:
+        assert window == (T0 - 7, T0 + 1)
+
+
 def test_results_accumulate_and_a_repeated_cycle_replaces_itself(spark, cells, tmp_path):
     path = str(tmp_path / "out")
     first, second = (as_changes(cells(("r", c, "v", 1)), "ins") for c in "ab")
