@@ -172,7 +172,7 @@ class Pairs:
         bucket = known.bucket(w1[asked], w2[asked])
         if known.buckets < 1 << 16:
             bucket = bucket.astype(np.uint16)  # sorted by digits
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((w1[asked], bucket))
         back = np.full(len(key), -1)
         back[asked[order]] = np.arange(len(order))
         asked = asked[order]
@@ -186,7 +186,7 @@ class Pairs:
 
 
 def _body(w1: np.ndarray, *others: np.ndarray) -> bytes:
-    """Columns of long; equal numbers follow each other in the first, so its steps are kept."""
+    """Columns of long; the first one is in order, so its steps are kept."""
     return packed(np.concatenate([np.diff(w1, prepend=0), *others]))
 
 
