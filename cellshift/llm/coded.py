@@ -121,7 +121,8 @@ def with_numbers(cut_texts: DataFrame, words: DataFrame, missing: int, *values:
     """
     keys = [c for c in ("grp", "word") if c in words.columns]
     each = cut_texts.select("piece", "grp", F.posexplode("words").alias("place", "word"))
-    joined = each.select("piece", "place", *keys).join(words.select(*keys, "wid"), keys, "left")
+    # Merged at every size: how many words there are grows with the corpus.
+    joined = each.select("piece", "place", *keys).join(words.select(*keys, "wid").hint("merge"), keys, "left")
     wid = F.coalesce("wid", F.lit(missing).cast("long"))
     numbers = joined.groupBy("piece").agg(F.collect_list("place").alias("place"), F.collect_list(wid).alias("wid"))
     numbers = materialise(numbers)
