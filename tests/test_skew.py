@@ -5,9 +5,9 @@ from helpers import plan, rows
 from pyspark.sql import functions as F
 
 from cellshift import changes_by_audit, changes_by_differential, changes_by_log
-from cellshift.model import CELL_COLUMNS, MUTATION_COLUMNS
+from cellshift.model import CELL_COLUMNS, MUTATION_COLUMNS, MUTATION_SCHEMA
 from cellshift.operators import log
-from cellshift.streaming.cycles import collapse_batch, current_changes
+from cellshift.streaming.cycles import current_changes, run_cycle
 
 SMALL_PARTITIONS = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -125,9 +125,11 @@ def test_copies_of_a_cell_and_its_audit_cell_meet_once(spark):
 
 
 def test_a_hot_row_in_the_history_of_a_stream(spark, hot_row, small_partitions, tmp_path):
-    base = str(tmp_path / "state")
-    for number, part in enumerate(("ts <= 10000", "ts > 10000")):
-        collapse_batch(hot_row.where(part), number, base, buckets=4)
-    found = current_changes(spark, base)
+    base = str(tmp_path)
+    for part in ("ts <= 10000", "ts > 10000"):
+        hot_row.where(part).select(*MUTATION_COLUMNS).write.mode("append").parquet(f"{base}/log")
+        stream = spark.readStream.schema(MUTATION_SCHEMA).parquet(f"{base}/log")
+        run_cycle(stream, f"{base}/checkpoint", f"{base}/out").awaitTermination()
+    found = current_changes(spark, f"{base}/checkpoint")
     assert "skew=true" in run(found)
     assert rows(found) == rows(changes_by_log(hot_row))
