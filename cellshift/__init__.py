@@ -31,6 +31,7 @@ from cellshift.sources.cells import (
     read_cells,
     slice_columns,
 )
+from cellshift.sources.log_files import load_log, log_source, register_log_source
 from cellshift.sources.mutation_log import (
     log_lines,
     log_records,
@@ -105,11 +106,13 @@ __all__ = [
     "load_by_time",
     "load_chained",
     "load_digest_snapshot",
+    "load_log",
     "load_snapshot",
     "load_snapshot_table",
     "load_tracking",
     "log_lines",
     "log_records",
+    "log_source",
     "maintain_tracking",
     "merge_exports",
     "net_state",
@@ -125,6 +128,7 @@ __all__ = [
     "read_log",
     "rejected_lines",
     "render_changes",
+    "register_log_source",
     "render_log",
     "run_cycle",
     "run_tracking_cycle",

@@ -38,6 +38,7 @@ from cellshift.sources.cells import column_names, flatten_map, slice_columns
 from cellshift.sources.cells import flatten_super as flatten_super_rows
 from cellshift.sources.chains import compact, load_chained, store_delta, store_full
 from cellshift.sources.digests import changes_by_digests, store_digest_snapshot
+from cellshift.sources.log_files import load_log
 from cellshift.sources.mutation_log import (
     log_lines,
     parse_log,
@@ -237,6 +238,18 @@ def parse_multiline_log(spark, sf):
     return read_log(spark, path, escaped=True).drop("seq")
 
 
+@query
+def log_source_order(spark, sf):
+    """Changes of a log whose equal times, of a quarter of a day, only the places in its files tell apart.
+
+    A row's mutations lie in one file, in their order; tasks read ranges of 64 KB.
+    """
+    path = f"{run_dir(spark)}/log"
+    ordered = fx.mutations(spark, sf).repartition("row_key").sortWithinPartitions("seq")
+    write_log(ordered.withColumn("ts", F.expr("ts div 21600000000")), path)
+    return log.changes_by_log(load_log(spark, path, block_bytes=64 << 10))
+
+
 @query
 def parse_flagged_log_text(spark, sf):
     """Lines with any flag: writes and deletions are read, the rest is rejected."""

@@ -476,6 +476,7 @@ ORACLE_SQL: dict[str, str] = {
       lag(op) OVER (PARTITION BY {PATH} ORDER BY ts, seq) AS prev
       FROM ({MUTATIONS_SUPER})) WHERE rn = 1""",
     "log_changes_upsert": _log(MUTATIONS, "upsert"),
+    "log_source_order": _log(f"SELECT * REPLACE (ts // 21600000000 AS ts) FROM ({MUTATIONS})", "classified"),
     "log_changes_classified": _log(MUTATIONS, "classified"),
     "log_changes_upsert_super": _log(MUTATIONS_SUPER, "upsert"),
     "log_changes_classified_super": _log(MUTATIONS_SUPER, "classified"),
