@@ -2,8 +2,8 @@
 
 Learning rates are kept per coordinate, and the L1 term leaves most weights at exactly
 zero: what is broadcast are the others, at most one for each hash value. The model is
-fitted on a bounded sample of labelled rows (`rows`), the rows with the least hashes of
-their ids, in one task; features are made, and texts scored, wherever the texts are.
+fitted on a bounded sample of labelled rows (`rows`), one row of each of the ids with the
+least hashes, in one task; features are made, and texts scored, wherever the texts are.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -73,8 +73,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, epochs: int
     """(feature, weight) of the weights that are not zero; feature 2**BITS is the bias.
 
     labels: (id, 0 or 1), of which `rows` are taken; ids labelled twice count as 1 if one
-    label is 1, null labels and labels without a document not at all. Without labels
-    the result is empty.
+    label is 1, null labels and labels without a document not at all. Of the documents of
+    one id the one with the least hash of its text counts. Without labels the result is empty.
     """
     chosen = (
         labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
@@ -100,6 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, epochs: int
                 )
 
     made = texts.select("rank", "k2", "label", "text").mapInArrow(sketch, "rank long, k2 long, label int, features binary")
+    # One row for each id, cut before the shuffle: an id may hold any share of all rows.
+    nth = F.row_number().over(Window.partitionBy("rank").orderBy("k2"))
+    made = made.withColumn("nth", nth).where("nth = 1").drop("nth")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)), key=lambda r: r[:2])
@@ -121,13 +124,12 @@ def score(docs: DataFrame, model: DataFrame, id_column="doc_id", text_column="te
     Null and empty texts get what the bias alone says, and 0.5 without a model.
     """
     known = model.collect()  # at most 2**BITS + 1 rows
-    weights = np.zeros((1 << BITS) + 1)
-    weights[[r[0] for r in known]] = [r[1] for r in known]
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in known])
     rows = keyed(docs, id_column, text_column, list(keep))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
+        w = np.zeros((1 << BITS) + 1)
+        w[[at for at, _ in shared.value]] = [weight for _, weight in shared.value]
         for batch in batches:
             for part, some in pieces(batch, "text", _PIECE):
                 doc, feature = features(Words(some, LETTERS))

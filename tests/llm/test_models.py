@@ -1,6 +1,7 @@
 """Fingerprints, toxicity and packing."""
 
 
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -10,6 +11,8 @@ import pytest
 
 from cellshift.llm import fingerprints, packing, toxicity
 from cellshift.llm.queries import tokenizer
+from cellshift.llm.shared import keyed
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,6 +86,55 @@ def test_toxicity(spark, docs_of, odd):
     assert toxicity.score(docs_of([]), toxicity.fit(docs_of([]), learnt)).collect() == []
 
 
+def plain_ftrl(rows, alpha=1.0, beta=1.0, l1=5.0, l2=0.1, epochs=6):
+    """One coordinate at a time, features by name: the score function of (words, label) in order."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def features(words):
+        pairs = [(gap, a, b) for gap in (1, 2) for a, b in zip(words, words[gap:])]
+        return {("bias",)} | {("word", w) for w in words} | {("stem", w[:5]) for w in words} | set(pairs)
+
+    def weight(f):
+        if abs(z[f]) <= l1:
+            return 0.0
+        return ((l1 if z[f] > 0 else -l1) - z[f]) / ((beta + n[f] ** 0.5) / alpha + l2)
+
+    def score(words):
+        return 1 / (1 + math.exp(-sum(weight(f) for f in features(words))))
+
+    for _ in range(epochs):
+        for words, label in rows:
+            g = score(words) - label
+            for f in features(words):
+                w = weight(f)
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / alpha * w
+                n[f] += g * g
+    return score
+
+
+def test_ftrl_against_a_plain_one(spark, docs_of):
+    rng = random.Random(3)
+    words = ["alpha", "betaish", "betaing", "gam", "deltas", "eps", "zetas", "etas"]
+    pairs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for i in range(400)]
+    bad = lambda text: int("betai" in text and "gam" in text)
+    labels = spark.createDataFrame([(i, bad(t)) for i, t in pairs], "doc_id long, toxic int")
+    ranks = {r[0]: r[1] for r in labels.selectExpr("doc_id", "xxhash64(doc_id)").collect()}
+    # The first of the sample holds most rows; the text with the least hash is learnt from.
+    hot = min(ranks, key=ranks.get)
+    pairs += [(hot, f"gam alpha {rng.choice(words)} {'eps ' * (i % 90)}") for i in range(600)]
+    docs = docs_of(pairs)
+    hashes = {(r["id"], r["text"]): r["k2"] for r in keyed(docs, "doc_id", "text").collect()}
+    least = {}
+    for i, t in pairs:
+        least[i] = min(least.get(i, t), t, key=lambda x: hashes[i, x])
+    order = sorted(least, key=ranks.get)[:300]
+    score = plain_ftrl([(least[i].split(), bad(pairs[i][1])) for i in order])
+    model = toxicity.fit(docs, labels, rows=300)
+    assert model.count() > 20
+    for r in toxicity.score(docs, model, keep=[F.col("text").alias("own")]).collect():
+        assert r["score"] == pytest.approx(score(r["own"].split()), abs=1e-9)
+
+
 def test_tokens_are_those_of_the_tokenizers_library(odd):
     from tokenizers import Tokenizer
 
