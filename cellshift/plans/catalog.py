@@ -242,7 +242,7 @@ def parse_multiline_log(spark, sf):
 def log_source_order(spark, sf):
     """Changes of a log whose equal times, of a quarter of a day, only the places in its files tell apart.
 
-    A row's mutations lie in one file, in their order; tasks read ranges of 64 KB.
+    A row's mutations lie in one file, in their order; tasks read ranges of 64 KB or, of a larger log, a 200th.
     """
     path = f"{run_dir(spark)}/log"
     ordered = fx.mutations(spark, sf).repartition("row_key").sortWithinPartitions("seq")

@@ -28,6 +28,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FORMAT = "mutation_log"
 SCHEMA = "value string, file_time timestamp, file_path string, file_block bigint, seq bigint"
 BLOCK_BYTES = 128 << 20
+# A task costs a Python worker some tenths of a second whatever it reads, so smaller ranges grow
+# with the log: up to BLOCK_BYTES there are about so many, beyond that one for each BLOCK_BYTES.
+RANGES = 200
 # `seq` holds the file's number above the byte; what does not fit is refused.
 BYTE_BITS, FILE_BITS = 43, 20
 
@@ -36,6 +39,8 @@ _LINE = re.compile(rb"\r\n|\r|\n")
 _RECORD = re.compile(rb"(?<=\])\n(?=\[)")
 _MARK = b"\x1b"
 _READ_BYTES, _BATCH_ROWS = 4 << 20, 50_000
+# Read at a time beyond the end of a range, where its last record ends.
+_TAIL_BYTES = 64 << 10
 
 
 @dataclass
@@ -108,9 +113,15 @@ class _Ranges:
         self.block = int(options.get("blockBytes", BLOCK_BYTES))
         self.between = _RECORD if self.records or self.escaped else _LINE
 
-    def cut(self, file: fs.FileInfo, path: str, nth: int | None, start: int, end: int) -> list[ByteRange]:
-        time = file.mtime.astimezone(timezone.utc)
-        return [ByteRange(path, time, nth, at, min(at + self.block, end)) for at in range(start, end, self.block)]
+    def cut(self, parts: list[tuple[fs.FileInfo, int | None, int, int]]) -> list[ByteRange]:
+        """The ranges of (file, its number, first byte, byte after)."""
+        total = sum(end - start for _, _, start, end in parts)
+        size = max(self.block, min(BLOCK_BYTES, -(-total // RANGES)))
+        return [
+            ByteRange(self.url(file), file.mtime.astimezone(timezone.utc), nth, at, min(at + size, end))
+            for file, nth, start, end in parts
+            for at in range(start, end, size)
+        ]
 
     def url(self, file: fs.FileInfo) -> str:
         if "://" not in self.path or self.path.startswith("file:"):
@@ -131,7 +142,11 @@ class _Ranges:
         system, inner = _open(part.path)
         values, places = [], []
         with system.open_input_file(inner) as source:
-            for first, _, record in _starts(lambda at, n: source.read_at(n, at), source.size(), part.start, self.between):
+
+            def read(at: int, n: int) -> bytes:
+                return source.read_at(min(n, max(part.end - at, _TAIL_BYTES)), at)
+
+            for first, _, record in _starts(read, source.size(), part.start, self.between):
                 if first >= part.end:
                     break
                 values.append(self.value(record))
@@ -163,7 +178,7 @@ class _Batch(_Ranges, DataSourceReader):
         files = sorted(_files(self.path), key=lambda f: (f.mtime_ns, f.path))
         if len(files) >> FILE_BITS or any(f.size >> BYTE_BITS for f in files):
             raise ValueError(f"over {1 << FILE_BITS} files, or one of over {1 << BYTE_BITS} bytes: {self.path}")
-        ranges = [r for nth, f in enumerate(files) for r in self.cut(f, self.url(f), nth, 0, f.size)]
+        ranges = self.cut([(f, nth, 0, f.size) for nth, f in enumerate(files)])
         return ranges or [ByteRange("", datetime.now(timezone.utc), None, 0, 0)]
 
     def read(self, part: ByteRange) -> Iterator[pa.RecordBatch]:
@@ -213,12 +228,12 @@ class _Stream(_Ranges, DataSourceStreamReader):
         before = sum(f.path <= start["path"] for f in files)
         if before > start["files"]:
             raise ValueError(f"a segment turned up among those already read, up to {start['path']}")
-        ranges = []
+        parts = []
         for f in files[max(before - 1, 0):]:
             if start["path"] <= f.path <= end["path"]:
                 begin = start["byte"] if f.path == start["path"] else 0
-                ranges += self.cut(f, self.url(f), None, begin, end["byte"] if f.path == end["path"] else f.size)
-        return ranges
+                parts.append((f, None, begin, end["byte"] if f.path == end["path"] else f.size))
+        return self.cut(parts)
 
     def commit(self, end: dict) -> None:
         pass
@@ -226,7 +241,7 @@ class _Stream(_Ranges, DataSourceStreamReader):
 
 class MutationLog(DataSource):
     """Options: `path`; `records` when values may hold line breaks; `escaped` when they were
-    written with marks; `blockBytes`, the size of a task's range."""
+    written with marks; `blockBytes`, the least size of a task's range."""
 
     @classmethod
     def name(cls) -> str:

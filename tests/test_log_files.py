@@ -60,6 +60,14 @@ def test_places_order_equal_times(spark, mutations, tmp_path):
     assert len(set(seq)) == 240 and max(seq) >> log_files.BYTE_BITS == 2
 
 
+def test_tasks_do_not_grow_with_the_log(spark, mutations, tmp_path):
+    """However small the range asked for; a task reads little more than its range."""
+    (tmp_path / "log").write_bytes(b"[ks][r][1]\n" * 60_000)
+    lines = log_source(register_log_source(spark) or spark.read, str(tmp_path), block_bytes=100)
+    assert lines.rdd.getNumPartitions() <= log_files.RANGES
+    assert lines.count() == 60_000
+
+
 def test_values_with_line_breaks(spark, mutations, tmp_path):
     values = ["]\n[", "\n", "a\r\nb", "][\n]", "x]", "", "\x1b\n\x1b[", "]\n", "é\n[" * 50]
     made = mutations(*[(f"r{i}", None, "c", "ins", v, i, i) for i, v in enumerate(values)], ("d", None, None, "del", None, 9, 9))
