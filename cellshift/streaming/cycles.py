@@ -2,15 +2,19 @@
 
 Each cycle is a run of a streaming query over what has arrived since the last one. The query's
 checkpoint takes the place of the saved cycle: a lost executor or a restarted query goes
-on from the last batch that was committed. What has to be remembered is keyed by cell,
+on from the last batch that was committed. What has to be remembered of each cell lies
 in RocksDB state that Spark logs, snapshots and compacts below the checkpoint, and is read
 from there as a table (`net_state`, `current_tracking`):
 
 * of a log, each cell's newest mutation, the one before it and its first insertion
-  (`LogCell`). `changes_by_log` over those equals one run over the whole log.
-* of a tracking table, each cell's founding row and what is pending (`TrackedCell`), with
+  (`LogCells`). `changes_by_log` over those equals one run over the whole log.
+* of a tracking table, each cell's founding row and what is pending (`TrackedCells`), with
   an event-time timer at the end of each window that has something pending.
 
+Python state is fetched and stored by messages, about a millisecond a key however little it
+holds. So the key is a bucket of cells, by their hash: a batch pays for the buckets it touches
+and some microseconds for each cell in them, touched or not.
+
 Rows are reduced per cell before the shuffle, so that a cell with a third of all rows sends few
 records per Arrow batch.
 """
@@ -22,7 +26,7 @@ from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from cellshift.model import CHANGE_COLUMNS, DEL, INS, MUTATION_COLUMNS, PATH, ROW_KEYS, TRACKING_COLUMNS, UP_NEW, UP_OLD
@@ -33,6 +37,11 @@ from cellshift.sources.mutation_log import FILE_COLUMNS
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _CELL = "cell"  # name of the state variable
+BUCKETS = 16_384  # part of the checkpoint: another number needs a new one
+
+
+def _bucket(*cell: str) -> Column:
+    return F.pmod(F.xxhash64(*cell), F.lit(BUCKETS)).cast("int").alias("bucket")
 
 
 @contextmanager
@@ -47,9 +56,10 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
 
 
 def _state(spark: SparkSession, checkpoint: str) -> DataFrame | None:
-    """The state of all cells as of the last committed batch; None before the first."""
+    """The state as of the last committed batch, a row for each cell; None before the first."""
     try:
-        return spark.read.format("statestore").option("stateVarName", _CELL).load(checkpoint)
+        state = spark.read.format("statestore").option("stateVarName", _CELL).load(checkpoint)
+        return state.select(F.inline("value.cells"))
     except PySparkException as e:  # no checkpoint, or none with a committed batch
         if "STDS" not in (e.getCondition() or ""):
             raise
@@ -63,6 +73,11 @@ _NEWEST = "op string, value string, ts bigint, prev_op string, prev_ts bigint, i
 _ARRIVED = f"{_PATH_DDL}, {_NEWEST}, place string, prev_place string"
 
 
+def _fields(ddl: str) -> str:
+    """Columns of a table as fields of a struct."""
+    return ", ".join(f"{name}: {kind}" for name, kind in (c.split() for c in ddl.split(", ")))
+
+
 def reduce_arrivals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One row per cell of each Arrow batch: its newest mutation, the one before, its first
     insertion and how many there were. Equal times: by `place`, then by the order read."""
@@ -85,19 +100,31 @@ def reduce_arrivals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[[c.split()[0] for c in _ARRIVED.split(", ")]]
 
 
-class LogCell(StatefulProcessor):
-    """The two newest mutations of a cell and the time of its first insertion.
+class LogCells(StatefulProcessor):
+    """The two newest mutations of each cell of a bucket and the time of its first insertion.
 
     Of equal times the one that arrived in a later batch is the newer one.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.cell = handle.getValueState(_CELL, _NEWEST)
+        self.cells = handle.getValueState(_CELL, f"cells array<struct<{_fields(_PATH_DDL)}, {_fields(_NEWEST)}>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        n = len(PATH)
+        held = self.cells.get()
+        cells = {c[:n]: c[n:] for c in held[0]} if held else {}
+        arrived = {}
+        for r in rows:
+            arrived.setdefault(r[:n], []).append(r)
+        for path, new in arrived.items():
+            cells[path] = self._merged(cells.get(path), new)
+        self.cells.update(([path + kept for path, kept in cells.items()],))
+        return (Row(**dict(zip(PATH, path, strict=True))) for path in arrived)
+
+    def _merged(self, held: tuple | None, rows: list[Row]) -> tuple:
         found, inserted, mutations = [], [], 0
-        if self.cell.exists():
-            op, value, ts, prev_op, prev_ts, first, mutations = self.cell.get()
+        if held is not None:
+            op, value, ts, prev_op, prev_ts, first, mutations = held
             found.append((ts, 0, "1", op, value))
             if prev_op is not None:
                 found.append((prev_ts, 0, "0", prev_op, None))
@@ -112,8 +139,7 @@ class LogCell(StatefulProcessor):
         ts, _, _, op, value = found[0]
         prev_ts, _, _, prev_op, _ = found[1] if len(found) > 1 else (None,) * 5
         first = min((t for t in inserted if t is not None), default=None)
-        self.cell.update((op, value, ts, prev_op, prev_ts, first, mutations))
-        yield Row(**dict(zip(PATH, key, strict=True)))
+        return op, value, ts, prev_op, prev_ts, first, mutations
 
     def close(self) -> None:
         pass
@@ -126,7 +152,8 @@ def touched_cells(mutations: DataFrame) -> DataFrame:
     else:
         place = F.lit("")
     arrived = mutations.select(*PATH, "op", "value", "ts", "seq", place.alias("place")).mapInPandas(reduce_arrivals, _ARRIVED)
-    return arrived.groupBy(*PATH).transformWithState(LogCell(), _PATH_DDL, "Update", "None")
+    cells = arrived.select("*", _bucket(*PATH)).groupBy("bucket")
+    return cells.transformWithState(LogCells(), _PATH_DDL, "Update", "None")
 
 
 class Cycle:
@@ -177,19 +204,18 @@ def net_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     types = ", ".join(f"{c} {'bigint' if c in ('ts', 'seq') else 'string'}" for c in MUTATION_COLUMNS)
     if state is None:
         return spark.createDataFrame([], types)
-    v = F.col("value")
 
     def mutation(op, value, ts, seq: int):
         return F.struct(op.alias("op"), value.cast("string").alias("value"), ts.alias("ts"), F.lit(seq).cast("bigint").alias("seq"))
 
-    newest = mutation(v["op"], v["value"], v["ts"], 2)
-    before = F.when(v["prev_op"].isNotNull(), mutation(v["prev_op"], F.lit(None), v["prev_ts"], 1))
+    newest = mutation(state["op"], state["value"], state["ts"], 2)
+    before = F.when(state["prev_op"].isNotNull(), mutation(state["prev_op"], F.lit(None), state["prev_ts"], 1))
     # A third one, unless one of the two is an insertion of that time.
-    among = ((v["op"] == INS) & (v["ts"] == v["inserted_at"])) | ((v["prev_op"] == INS) & (v["prev_ts"] == v["inserted_at"]))
-    third = v["inserted_at"].isNotNull() & ~F.coalesce(among, F.lit(False))
-    first = F.when(third, mutation(F.lit(INS), F.lit(None), v["inserted_at"], 0))
+    among = ((state["op"] == INS) & (state["ts"] == state["inserted_at"])) | ((state["prev_op"] == INS) & (state["prev_ts"] == state["inserted_at"]))
+    third = state["inserted_at"].isNotNull() & ~F.coalesce(among, F.lit(False))
+    first = F.when(third, mutation(F.lit(INS), F.lit(None), state["inserted_at"], 0))
     each = F.explode(F.array_compact(F.array(newest, before, first))).alias("m")
-    return state.select(F.col("key.*"), each).select(*PATH, "m.*").select(*MUTATION_COLUMNS)
+    return state.select(*PATH, each).select(*PATH, "m.*").select(*MUTATION_COLUMNS)
 
 
 def current_changes(spark: SparkSession, checkpoint: str, mode: str = "classified", scope: str = "row") -> DataFrame:
@@ -228,14 +254,14 @@ def rejected_lines(spark: SparkSession, base: str) -> DataFrame:
 # What a cell's row in `up_old` came from, by precedence within a window.
 _RANK = {UP_OLD: 0, DEL: 1, INS: 2, UP_NEW: 3}
 _TRACKED = (
-    "until bigint, rank int, value string, ts bigint, "
-    "pending array<struct<until: bigint, state: string, ts: bigint, value: string>>"
+    f"cells array<struct<{_fields(', '.join(f'{c} string' for c in CELL))}, until: bigint, rank: int, value: string, ts: bigint, "
+    "pending: array<struct<until: bigint, state: string, ts: bigint, value: string>>>>"
 )
 _CHANGED = ", ".join(f"{c} {'bigint' if c == 'ts' else 'string'}" for c in CHANGE_COLUMNS) + ", cycle bigint"
 
 
-class TrackedCell(StatefulProcessor):
-    """A cell of a tracking table, whose windows close as event time passes their ends.
+class TrackedCells(StatefulProcessor):
+    """A bucket of cells of a tracking table, whose windows close as event time passes their ends.
 
     Pending rows wait for the end of their window, or, if that has passed, of the next one.
     There the newest row of each state is a change, and one of them takes the cell's place in
@@ -249,57 +275,80 @@ class TrackedCell(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.cell = handle.getValueState(_CELL, _TRACKED)
+        self.cells = handle.getValueState(_CELL, _TRACKED)
+        # End of the first window that has something pending: most timers of a batch that closes
+        # many windows need not fetch the cells.
+        self.waiting = handle.getValueState("waiting", "until bigint")
 
     def _end(self, ts: int) -> int:
         """End of the window that holds `ts`."""
         return ts - (ts - self.origin) % self.width + self.width
 
-    def _get(self) -> tuple:
-        if not self.cell.exists():
-            return None, []
-        *old, pending = self.cell.get()
-        return (None if old[0] is None else tuple(old)), [tuple(p) for p in pending]
-
-    def _put(self, old: tuple | None, pending: list) -> None:
-        self.cell.update((*(old or (None,) * 4), pending))
+    def _get(self) -> dict[tuple, tuple]:
+        """Cell -> (what it has in `up_old`, {(until, state): (ts, value)} of what is pending)."""
+        held, n = self.cells.get(), len(CELL)
+        cells = {}
+        for c in held[0] if held else ():
+            old = None if c[n] is None else c[n : n + 4]
+            cells[c[:n]] = old, {(until, state): (ts, value) for until, state, ts, value in c[n + 4]}
+        return cells
+
+    def _put(self, cells: dict[tuple, tuple]) -> None:
+        self.cells.update((
+            [
+                (*cell, *(old or (None,) * 4), [(until, state, *what) for (until, state), what in sorted(kept.items())])
+                for cell, (old, kept) in cells.items()
+            ],
+        ))
+        self.waiting.update((min(self._ends(cells), default=None),))
+
+    def _ends(self, cells: dict[tuple, tuple]) -> set[int]:
+        return {until for _, kept in cells.values() for until, _ in kept}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        old, pending = self._get()
-        kept = {(until, state): (ts, value) for until, state, ts, value in pending}
+        rows = [r for r in rows if r.at is None]  # the others tell the time and nothing else
+        if not rows:
+            return iter(())
+        cells = self._get()
+        timed = self._ends(cells)
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         for r in rows:
-            if r.at is not None:  # tells the time and nothing else
-                continue
+            cell = tuple(r[c] for c in CELL)
+            old, kept = cells.get(cell) or (None, {})
             until = self._end(r.ts)
             if r.state == UP_OLD:
                 new = (until, _RANK[UP_OLD], r.value, r.ts)
                 if old is None or (new[:2], r.ts, r.value) > (old[:2], old[3], old[2] or ""):
                     old = new
-                continue
-            if until <= passed:
-                until = self._end(passed)
-            if (until, r.state) not in kept:
-                self.handle.registerTimer(until // 1000)
-            kept[until, r.state] = max(kept.get((until, r.state), (r.ts, r.value)), (r.ts, r.value))
-        if old is not None or kept:
-            self._put(old, [(until, state, *what) for (until, state), what in sorted(kept.items())])
+            else:
+                if until <= passed:
+                    until = self._end(passed)
+                kept[until, r.state] = max(kept.get((until, r.state), (r.ts, r.value)), (r.ts, r.value))
+            cells[cell] = old, kept
+        for until in self._ends(cells) - timed:
+            self.handle.registerTimer(until // 1000)
+        self._put(cells)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        old, pending = self._get()
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        changed = []
-        for until, state, ts, value in pending:  # by window
-            if until > now:
-                continue
-            keyspace, table, row_key, column = key
-            op = "upd" if state == UP_NEW else state
-            changed.append(Row(op=op, keyspace=keyspace, column_family=self.source_table or table, row_key=row_key,
-                               super_column=None, column_name=column, value=value, ts=ts, cycle=until))
-            if old is None or (until, _RANK[state]) > old[:2]:
-                old = (until, _RANK[state], None if state == DEL else value, until)
-        self._put(old, [p for p in pending if p[0] > now])
+        (first,) = self.waiting.get() or (None,)
+        if first is None or first > now:
+            return iter(())
+        # All windows that have ended, at the first timer of them.
+        now = max(now, timerValues.getCurrentWatermarkInMs() * 1000)
+        cells, changed = self._get(), []
+        for cell, (old, kept) in cells.items():
+            keyspace, table, row_key, column = cell
+            for until, state in sorted(k for k in kept if k[0] <= now):  # by window
+                ts, value = kept.pop((until, state))
+                op = "upd" if state == UP_NEW else state
+                changed.append(Row(op=op, keyspace=keyspace, column_family=self.source_table or table, row_key=row_key,
+                                   super_column=None, column_name=column, value=value, ts=ts, cycle=until))
+                if old is None or (until, _RANK[state]) > old[:2]:
+                    old = (until, _RANK[state], None if state == DEL else value, until)
+            cells[cell] = old, kept
+        self._put(cells)
         return iter(changed)
 
     def close(self) -> None:
@@ -330,8 +379,8 @@ def run_tracking_cycle(
     rows = arrivals.select(*TRACKING_COLUMNS)
     rows = rows.mapInPandas(newest_of_windows, T.StructType([*rows.schema.fields, T.StructField("at", T.LongType())]))
     timed = rows.withColumn("at", F.timestamp_micros("at")).withWatermark("at", "0 seconds")
-    cells = timed.groupBy(*CELL).transformWithState(
-        TrackedCell(width, origin, source_table), _CHANGED, "Append", "EventTime"
+    cells = timed.select("*", _bucket(*CELL)).groupBy("bucket").transformWithState(
+        TrackedCells(width, origin, source_table), _CHANGED, "Append", "EventTime"
     )
     sink = cells.writeStream.outputMode("append").format("parquet").partitionBy("cycle").option("path", f"{base}/changes")
     with _rocksdb(arrivals.sparkSession):
@@ -343,8 +392,6 @@ def current_tracking(spark: SparkSession, checkpoint: str) -> DataFrame:
     state = _state(spark, f"{checkpoint}/tracked")
     if state is None:
         return spark.createDataFrame([], ", ".join(f"{c} {'bigint' if c == 'ts' else 'string'}" for c in TRACKING_COLUMNS))
-    old = state.where("value.rank is not null and value.rank <> 1")
-    old = old.select("key.*", F.lit(UP_OLD).alias("state"), "value.value", "value.ts")
-    waiting = state.select("key.*", F.explode("value.pending").alias("p"))
-    waiting = waiting.select(*CELL, "p.state", "p.value", "p.ts")
+    old = state.where("rank is not null and rank <> 1").select(*CELL, F.lit(UP_OLD).alias("state"), "value", "ts")
+    waiting = state.select(*CELL, F.explode("pending").alias("p")).select(*CELL, "p.state", "p.value", "p.ts")
     return old.select(*TRACKING_COLUMNS).unionByName(waiting.select(*TRACKING_COLUMNS))

@@ -21,6 +21,7 @@ from cellshift import (
 )
 from cellshift.model import MUTATION_COLUMNS, MUTATION_SCHEMA, PATH, TRACKING_SCHEMA
 from cellshift.operators.log import reduce_log
+from cellshift.streaming import cycles
 from cellshift.streaming.cycles import reduce_arrivals
 
 KEPT = ["op", "row_key", "super_column", "column_name", "value", "ts"]
@@ -200,3 +201,20 @@ def test_paths_of_the_state(spark, mutations, tmp_path):
     log = Log(spark, tmp_path)
     log.add(mutations(("r", None, "a", "ins", None, 1, 0), ("r", "s", None, "del", None, 2, 1)))
     assert rows(log.state(), *PATH[2:], "op", "value") == [("r", "s", None, "del", None), ("r", None, "a", "ins", None)]
+
+
+def test_cells_share_a_key_of_the_state(spark, mutations, tracking, tmp_path, monkeypatch):
+    """Two keys for 60 cells; what belongs to one cell does not touch the others."""
+    monkeypatch.setattr(cycles, "BUCKETS", 2)
+    made = [(f"r{i % 20}", None, "abc"[i // 20 % 3], "del" if i % 7 == 0 else "ins", str(i), i % 5, i) for i in range(180)]
+    log = Log(spark, tmp_path / "log")
+    for part in (made[:100], made[100:]):
+        log.add(mutations(*part))
+    assert rows(log.changes()) == rows(changes_by_log(mutations(*made)))
+    keys = spark.read.format("statestore").option("stateVarName", "cell")
+    assert keys.load(f"{tmp_path}/log/checkpoint/cells").count() == 2
+    t = Tracked(spark, tmp_path / "tracking")
+    t.add(tracking(*[(f"r{i}", "ins", "a", str(i), (i % 4 * 10 + 5) * SECOND) for i in range(40)]))
+    t.add(tracking(("x", "up_old", "a", "0", 61 * SECOND)))
+    assert t.changes() == sorted([(i % 4 * 10 + 10, "ins", "data", "a", str(i)) for i in range(40)], key=repr)
+    assert len(t.table()) == 41 and keys.load(f"{tmp_path}/tracking/cp/tracked").count() == 2
