@@ -16,6 +16,10 @@ from cellshift.model import (
 )
 
 
+# A bucket is sorted by one task, so a larger snapshot gets more buckets.
+CELLS_PER_BUCKET = 500_000
+
+
 def store_snapshot(cells: DataFrame, base: str, number: int) -> None:
     """Write snapshot `number` under `base`; an earlier one of that number is replaced."""
     cells.select(*CELL_COLUMNS).write.mode("overwrite").parquet(f"{base}/snapshot={number}")
@@ -31,6 +35,13 @@ def load_snapshot(spark: SparkSession, base: str, number: int) -> DataFrame | No
         return None
 
 
+def _buckets_stored(spark: SparkSession, table: str) -> int | None:
+    if not spark.catalog.tableExists(table):
+        return None
+    found = spark.sql(f"DESCRIBE EXTENDED {table}").where("col_name = 'Num Buckets'").first()
+    return None if found is None else int(found.data_type)
+
+
 def store_snapshot_table(cells: DataFrame, table: str, number: int, buckets: int) -> None:
     """As `store_snapshot`, into table `<table>_<number>`, bucketed on the join keys.
 
@@ -38,7 +49,19 @@ def store_snapshot_table(cells: DataFrame, table: str, number: int, buckets: int
     with the same number of buckets joins bucket by bucket without a shuffle. The
     keys cover the whole path, so the cells of one long row spread over all buckets.
     They are stored beside the path's columns.
+
+    There are `buckets` buckets, doubled until none is expected to hold more than
+    CELLS_PER_BUCKET cells, which takes a count of the cells. A snapshot takes the number of the
+    one before it as long as that is within four times its own, so that both match; if not,
+    comparing them shuffles one of them.
     """
+    spark = cells.sparkSession
+    n = cells.count()
+    while n > buckets * CELLS_PER_BUCKET:
+        buckets *= 2
+    before = _buckets_stored(spark, f"{table}_{number - 1}") if number > 0 else None
+    if before is not None and buckets <= 4 * before and before <= 4 * buckets:
+        buckets = before
     keyed = with_cell(cells.select(*CELL_COLUMNS))
     (
         keyed.select(*cell_path(), "value", "ts", PATH_HASH, "cell")

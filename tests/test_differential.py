@@ -12,6 +12,7 @@ from cellshift import (
     store_snapshot,
 )
 from cellshift.operators.differential import latest_cells
+from cellshift.sources import snapshots
 from cellshift.sources.snapshots import (
     load_snapshot_table,
     read_snapshot_text,
@@ -127,6 +128,20 @@ def test_missing_snapshot(spark, pair, tmp_path):
         changes_by_differential(None, None)
 
 
+def test_a_larger_snapshot_has_more_buckets(spark, cells, monkeypatch):
+    monkeypatch.setattr(snapshots, "CELLS_PER_BUCKET", 10)
+    made = [cells(*[(f"r{i}", "a", str(n), 1) for i in range(n, size)]) for n, size in enumerate((100, 200, 1000))]
+    for number, snapshot in enumerate(made):
+        store_snapshot_table(snapshot, "grown", number, buckets=4)
+    tables = [load_snapshot_table(spark, "grown", n) for n in range(3)]
+    # The second one keeps the number of the first, the third is too large to.
+    assert [snapshots._buckets_stored(spark, f"grown_{n}") for n in range(3)] == [16, 16, 128]
+    assert "Exchange" not in plan(changes_by_differential(*tables[:2], unique=True))
+    for n in (0, 1):
+        found = changes_by_differential(tables[n], tables[n + 1], unique=True)
+        assert rows(found) == rows(changes_by_differential(made[n], made[n + 1], unique=True))
+
+
 def test_bucketed_snapshots_are_compared_without_a_shuffle(spark, pair):
     for number, snapshot in enumerate(pair):
         store_snapshot_table(snapshot, "snap", number, buckets=4)
