@@ -41,7 +41,7 @@ from cellshift.sources.mutation_log import (
     split_log,
     write_log,
 )
-from cellshift.sources.chains import compact, load_chained, store_delta, store_full
+from cellshift.sources.chains import compact, load_chained, store_changes, store_delta, store_full
 from cellshift.sources.digests import changes_by_digests, load_digest_snapshot, store_digest_snapshot
 from cellshift.sources.periods import append_by_time, load_by_time, scan_by_time
 from cellshift.sources.sinks import append_changes, sort_by_key, write_changes
@@ -138,6 +138,7 @@ __all__ = [
     "sort_by_key",
     "split_audit_name",
     "split_log",
+    "store_changes",
     "store_delta",
     "store_digest_snapshot",
     "store_full",

@@ -36,7 +36,7 @@ from cellshift.plans import fixtures as fx
 from cellshift.session import shared_dir
 from cellshift.sources.cells import column_names, flatten_map, slice_columns
 from cellshift.sources.cells import flatten_super as flatten_super_rows
-from cellshift.sources.chains import compact, load_chained, store_delta, store_full
+from cellshift.sources.chains import compact, load_chained, store_changes, store_delta, store_full
 from cellshift.sources.digests import changes_by_digests, store_digest_snapshot
 from cellshift.sources.log_files import load_log
 from cellshift.sources.mutation_log import (
@@ -706,8 +706,7 @@ def chained_differential(spark, sf):
     old, new = fx.snap_old(spark, sf), fx.snap_new(spark, sf)
     changes = changes_by_differential(old, new, unique=True)
     store_full(old, path, 1)
-    gone = F.col("op") == DEL
-    store_delta(changes.where(~gone), path, 2, deletions=changes.where(gone))
+    store_changes(changes, path, 2)
     return load_chained(spark, path, 2)
 
 

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cellshift.functions.cycles import new_cycle
-from cellshift.model import CELL_COLUMNS, CELL_KEYS, CELL_SCHEMA, PATH, cell_path, with_cell
+from cellshift.model import CELL_COLUMNS, CELL_KEYS, CELL_SCHEMA, DEL, PATH, cell_path, with_cell
 from cellshift.operators.grouping import RANK, newest
 
 # Paths of deltas are broadcast only if the links count no more than this.
@@ -47,12 +47,23 @@ def store_delta(upserts: DataFrame, path: str, number: int, deletions: DataFrame
     deletions: paths that are gone (a scan sees none); a path in both is there. Only the
     changes are shuffled and written.
     """
-    written = newest(upserts.select(*CELL_COLUMNS), PATH, ["ts", "value"]).drop(RANK).withColumn("gone", F.lit(False))
+    rows = upserts.select(*CELL_COLUMNS, F.lit(False).alias("gone"))
     if deletions is not None:
         nothing = [F.lit(None).cast("string").alias("value"), F.lit(None).cast("bigint").alias("ts")]
-        taken = deletions.select(*PATH, *nothing, F.lit(True).alias("gone"))
-        written = newest(written.unionByName(taken).withColumn("there", ~F.col("gone")), PATH, ["there"]).drop(RANK, "there")
-    _store(written, path, number, False)
+        rows = rows.unionByName(deletions.select(*PATH, *nothing, F.lit(True).alias("gone")))
+    _store_rows(rows, path, number)
+
+
+def store_changes(changes: DataFrame, path: str, number: int) -> None:
+    """As `store_delta`, from change records such as those of a differential, in one pass over them."""
+    gone = F.col("op") == DEL
+    columns = [F.when(~gone, F.col(c)).alias(c) if c in ("value", "ts") else c for c in CELL_COLUMNS]
+    _store_rows(changes.select(*columns, gone.alias("gone")), path, number)
+
+
+def _store_rows(rows: DataFrame, path: str, number: int) -> None:
+    there = rows.withColumn("there", ~F.col("gone"))
+    _store(newest(there, PATH, ["there", "ts", "value"]).drop(RANK, "there"), path, number, False)
 
 
 def _links(spark: SparkSession, path: str, number: int) -> list[tuple[int, int]] | None:
@@ -93,7 +104,10 @@ def load_chained(spark: SparkSession, path: str, number: int) -> DataFrame | Non
         return full
     folders = [f"{path}/delta/number={n}" for n, _ in parts[1:]]
     deltas = spark.read.schema(_DELTA).option("basePath", f"{path}/delta").parquet(*folders)
-    last = newest(with_cell(deltas), CELL_KEYS, ["number"]).drop(RANK, "number")
+    last = with_cell(deltas)
+    if len(folders) > 1:  # a delta has a path once
+        last = newest(last, CELL_KEYS, ["number"]).drop(RANK)
+    last = last.drop("number")
     paths = last.select(*CELL_KEYS)
     if sum(cells for _, cells in parts[1:]) <= BROADCAST_CELLS:
         paths = F.broadcast(paths)

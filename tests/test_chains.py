@@ -2,10 +2,11 @@ import random
 
 import pytest
 from helpers import plan, rows
+from pyspark.sql import functions as F
 
 from cellshift import changes_by_differential, changes_by_scan
 from cellshift.sources import chains
-from cellshift.sources.chains import chain, compact, load_chained, store_delta, store_full
+from cellshift.sources.chains import chain, compact, load_chained, store_changes, store_delta, store_full
 
 
 def dump(seed, n=400):
@@ -68,3 +69,15 @@ def test_the_dump_is_not_shuffled_for_a_small_delta(spark, cells, tmp_path, monk
     large = load_chained(spark, path, 2)
     assert "BroadcastHashJoin" not in plan(large)
     assert rows(large) == rows(found)
+
+
+def test_changes_are_stored_in_one_pass(spark, cells, tmp_path):
+    """The same delta as from both kinds of changes apart, shuffled once; a path in both is there."""
+    old, new = cells(("r", "a", "1", 5), ("r", "b", "1", 5)), cells(("r", "b", "2", 6), ("r", "c", "1", 7))
+    changes = changes_by_differential(old, new, unique=True)
+    both = changes.unionByName(changes.where("column_name = 'b'").withColumn("op", F.lit("del")))
+    for n, found in ((1, changes), (2, both)):
+        store_full(old, f"{tmp_path}/{n}", 1)
+        store_changes(found, f"{tmp_path}/{n}", 2)
+        assert rows(load_chained(spark, f"{tmp_path}/{n}", 2)) == rows(new)
+        assert "Window" not in plan(load_chained(spark, f"{tmp_path}/{n}", 2))
