@@ -2,12 +2,14 @@
 
 A piece lists its distinct words once and then refers to them, so what meets over the
 corpus is a word per piece, not a word per occurrence: a word in every text is no hot key.
+They meet in buckets of words, to which a piece sends one packed row each.
 Memory follows a piece, which is as long as `_PIECE` or as the longest single text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from cellshift.llm.words import LOWER, pieces
 
 BREAK, SKIP = -1, -2
 _PIECE = 6 << 20
+_BUCKET = 250_000  # words with numbers in a bucket on average, if there are that many
 _BREAKS = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c in b" \t" else LOWER[c] for c in range(256))
 
 
@@ -112,39 +115,96 @@ def vocabulary(cut_texts: DataFrame) -> DataFrame:
     return each.groupBy("grp", "word").agg(F.sum("times").alias("c"))
 
 
-def with_numbers(cut_texts: DataFrame, words: DataFrame, missing: int, *values: str) -> DataFrame:
+def with_numbers(cut_texts: DataFrame, words: DataFrame, missing: int) -> DataFrame:
     """cut_texts with `wids`, packed: for each of the words of a piece its number, or `missing`.
 
     words: (grp, word, wid), without grp if the texts are one group. The words and times are
-    dropped. The numbers are written before they meet the tokens, so that the shuffle of the words,
-    the largest one, is gone by then.
+    dropped. Words meet their numbers in buckets: a piece sends each bucket its words as one packed
+    row, as a row for every word of a piece would be several times as much to shuffle. The numbers
+    are written before they meet the tokens, so that the shuffle of the words is gone by then.
     """
-    keys = [c for c in ("grp", "word") if c in words.columns]
-    each = cut_texts.select("piece", "grp", F.posexplode("words").alias("place", "word"))
-    # Merged at every size: how many words there are grows with the corpus.
-    joined = each.select("piece", "place", *keys).join(words.select(*keys, "wid").hint("merge"), keys, "left")
-    wid = F.coalesce("wid", F.lit(missing).cast("long"))
-    numbers = joined.groupBy("piece").agg(F.collect_list("place").alias("place"), F.collect_list(wid).alias("wid"))
-    numbers = materialise(numbers)
-    rows = cut_texts.select("*", F.size("words").alias("n_words")).drop("words", "times").join(numbers, "piece", "left")
+    grouped = "grp" in words.columns
+    partitions = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(partitions, words.count() // _BUCKET)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece, grp, words in zip(*(batch.column(c) for c in ("piece", "grp", "words")), strict=True):
+                own = words.values.cast(pa.binary()).to_pylist()
+                if not own:
+                    continue
+                bucket = np.fromiter(map(crc32, own), np.int64, len(own)) % buckets
+                order = np.argsort(bucket, kind="stable")
+                heads = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                parts = np.split(order, heads[1:])
+                n = len(parts)
+                yield pa.record_batch(
+                    [pa.array(bucket[order][heads]), pa.array([piece.as_py()] * n, pa.int64()), pa.array([grp.as_py()] * n, pa.string()),
+                     pa.array([_joined([own[i] for i in part]) for part in parts], pa.binary()), pa.nulls(n, pa.int64()),
+                     pa.array([packed(np.diff(part, prepend=0).astype(np.int32)) for part in parts], pa.binary())],
+                    names=["bucket", "piece", "grp", "body", "wid", "places"],
+                )
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In a bucket the words with numbers come first, then the questions."""
+        at, known = None, {}
+        for batch in batches:
+            found = []
+            rows = (batch.column(c).to_pylist() for c in ("bucket", "piece", "grp", "body", "wid", "places"))
+            for bucket, piece, grp, body, wid, places in zip(*rows, strict=True):
+                if bucket != at:
+                    at, known = bucket, {}
+                own = known.setdefault(grp if grouped else None, {})
+                if places is None:
+                    own[body] = wid
+                else:
+                    wids = np.array([own.get(w, missing) for w in _apart(body)], np.int64)
+                    found.append((piece, places, packed(wids)))
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["piece", "places", "wids"])
+
+    shape = "bucket long, piece long, grp string, body binary, wid long, places binary"
+    asked = cut_texts.select("piece", "grp", "words").mapInArrow(ask, shape)
+    word = F.col("word").cast("binary")
+    numbered = words.select(
+        (F.crc32(word) % buckets).alias("bucket"),
+        F.lit(-1).cast("long").alias("piece"),
+        (F.col("grp") if grouped else F.lit(None)).cast("string").alias("grp"),
+        word.alias("body"),
+        F.col("wid").cast("long").alias("wid"),
+        F.lit(None).cast("binary").alias("places"),
+    )
+    dealt = numbered.unionByName(asked).repartition(partitions, "bucket").sortWithinPartitions("bucket", "piece")
+    answers = materialise(dealt.mapInArrow(answer, "piece long, places binary, wids binary"))
+    by_piece = answers.groupBy("piece").agg(F.collect_list(F.struct("places", "wids")).alias("answers"))
+    rows = cut_texts.select("*", F.size("words").alias("n_words")).drop("words", "times").join(by_piece, "piece", "left")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for n, place, wid in zip(*(batch.column(c) for c in ("n_words", "place", "wid")), strict=True):
+            for n, each in zip(*(batch.column(c) for c in ("n_words", "answers")), strict=True):
                 wids = np.full(n.as_py(), missing, np.int64)
-                if place.is_valid:
-                    wids[place.values.to_numpy()] = wid.values.to_numpy()
+                for a in each.as_py() or ():
+                    wids[np.cumsum(unpacked(a["places"]))] = unpacked(a["wids"], np.int64)
                 found.append(packed(wids))
-            kept = batch.drop_columns(["n_words", "place", "wid"])
+            kept = batch.drop_columns(["n_words", "answers"])
             yield kept.append_column("wids", pa.array(found, pa.binary()))
 
-    schema = rows.drop("n_words", "place", "wid").schema.add("wids", "binary")
+    schema = rows.drop("n_words", "answers").schema.add("wids", "binary")
     result = materialise(rows.mapInArrow(put, schema))
-    discard(numbers)
+    discard(answers)
     return result
 
 
+def _joined(words: list[bytes]) -> bytes:
+    """No word holds a line end: all words end there."""
+    return packed(np.frombuffer(b"\n".join(words), np.uint8))
+
+
+def _apart(body: bytes) -> list[bytes]:
+    return unpacked(body, np.uint8).tobytes().split(b"\n")
+
+
 def group_of(column: Column) -> Column:
     """The column as text, null as `und`."""
     return F.coalesce(column.cast("string"), F.lit("und"))
